@@ -26,6 +26,8 @@ from .common import lower_ascii
 #: Fingerprints that one block should hold, about; sets the number of blocks.
 BLOCK_FINGERPRINTS = 1 << 15
 QUOTIENT_BITS = 16
+#: Parts that the copies of one text are dealt into before they are pre-aggregated by their bytes.
+SALTS = 8
 
 
 class CountingQuotientFilter:
@@ -119,8 +121,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     norm = norm.withColumn("fp", F.xxhash64("norm"))
     repeated = repeated_fingerprints(norm.select("fp"), docs.count())
     # byte verification: grouping compares the texts themselves, partial aggregation absorbs hot copies
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     classes = (
-        norm.join(repeated, "fp", "left_semi").groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        norm.select("*", salt).join(salted, ["fp", "salt"], "left_semi").groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     rows = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
