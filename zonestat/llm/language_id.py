@@ -29,7 +29,9 @@ FILTERS = 12
 EMBED = 8
 #: Most training windows that come to the driver.
 SAMPLE = 4000
-EPOCHS = 5
+#: Steps of Adam, over however many passes of the sample.
+STEPS = 350
+BATCH = 64
 
 
 class ByteConvNet:
@@ -57,12 +59,12 @@ class ByteConvNet:
             pooled.append(np.take_along_axis(a, at[:, None], 1)[:, 0] + self.p[f"b{w}"])
         return np.concatenate(pooled, axis=1), where
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 4e-3, batch: int = 64) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 4e-3, batch: int = BATCH) -> None:
         """Adam on the cross-entropy; gradients pass a max-pool only where its maximum lies."""
         rng = np.random.default_rng(11)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        step, epochs = 0, max(1, round(steps * batch / max(1, len(x))))
         for epoch in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
