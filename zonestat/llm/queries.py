@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .piece_codec import encode_decode
+from .toxicity import toxicity
 
 
 def piece_model() -> str:
@@ -26,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
@@ -33,6 +38,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op7_toxicity": op7_toxicity,
     "op9_piece_codec": op9_piece_codec,
 }
 
