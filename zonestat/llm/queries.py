@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .media_chunks import media_column
+from .mixing import mix
 from .piece_codec import encode_decode
 from .toxicity import toxicity
 
@@ -28,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_media_chunks": op8_media_chunks,
     "op9_piece_codec": op9_piece_codec,
