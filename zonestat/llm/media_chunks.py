@@ -27,7 +27,7 @@ BLOCK = 576
 LEAST, MOST = 2048, 32768
 #: Cuts come every 2 ** CUT_BITS bytes, about, after the least chunk size.
 CUT_BITS = 12
-LEVEL = 3
+LEVEL = 9
 #: Bytes of payload that one step of a batch cuts.
 STEP = 4_000_000
 MAGIC = b"ZCHUNKS1"
@@ -98,10 +98,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = hashlib.sha256(p).digest()
             if name not in seen:
                 seen.add(name)
-                rows += [(name, k, hashlib.sha256(c).digest()) for k, c in enumerate(parts)]
+                rows += [(name, k, hashlib.sha256(c).digest(), len(parts)) for k, c in enumerate(parts)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-            names=["payload", "seq", "digest"],
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.binary(), pa.int32()))], names=["payload", "seq", "digest", "of"]
         )
 
 
@@ -176,17 +175,17 @@ def chunk_store(texts: DataFrame) -> DataFrame:
 
 
 def chunk_lists(texts: DataFrame) -> DataFrame:
-    """Ordered chunk lists of distinct payloads: payload (its digest), seq, digest."""
-    return texts.mapInArrow(_lists, "payload binary, seq int, digest binary").dropDuplicates(["payload", "seq"])
+    """Ordered chunk lists of distinct payloads: payload (its digest), seq, digest, of (how many chunks)."""
+    return texts.mapInArrow(_lists, "payload binary, seq int, digest binary, of int").dropDuplicates(["payload", "seq"])
 
 
 def reconstruct(lists: DataFrame, store: DataFrame) -> DataFrame:
     """What each payload's stored form reads back as."""
-    parts = F.sort_array(F.collect_list(F.struct("seq", "digest", "stored"))).alias("parts")
-    return (
-        lists.join(store, "digest").groupBy("payload").agg(parts)
-        .mapInArrow(_read, "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int")
-    )
+    part = F.struct("seq", "digest", "stored")
+    whole = lists.where("of = 1").join(store, "digest").select("payload", F.array(part).alias("parts"))  # needs no second shuffle
+    several = lists.where("of > 1").join(store, "digest").groupBy("payload").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    kinds = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+    return whole.unionByName(several).mapInArrow(_read, kinds)
 
 
 def payload_digest(text: Column) -> Column:
