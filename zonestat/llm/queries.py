@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .media_chunks import media_column
 from .mixing import mix
+from .near_dedup import near_dedup
 from .piece_codec import encode_decode
 from .toxicity import toxicity
 
@@ -29,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_media_chunks": op8_media_chunks,
