@@ -12,6 +12,7 @@ from .language_id import language_id
 from .media_chunks import media_column
 from .mixing import mix
 from .near_dedup import near_dedup
+from .passages import repeated_passages
 from .piece_codec import encode_decode
 from .toxicity import toxicity
 
@@ -50,6 +51,10 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_media_chunks": op8_media_chunks,
     "op9_piece_codec": op9_piece_codec,
+    "op10_passages": op10_passages,
 }
 
 SQL: dict[str, str] = {
