@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import lower_ascii, table
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .license_scan import CUE, TEMPLATES, TERM, license_scan
 from .media_chunks import media_column
 from .mixing import mix
 from .near_dedup import near_dedup
 from .passages import repeated_passages
 from .piece_codec import encode_decode
 from .toxicity import toxicity
+from .warc_revisits import resolve_revisits
 
 
 def piece_model() -> str:
@@ -23,10 +26,42 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: by source, package and module; short notices are licence files."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    short = lower_ascii(text).rlike(CUE) & (F.length(text) <= 200)
+    name = F.when(short, F.lit("LICENSE")).otherwise(F.concat(F.lit("f"), F.col("doc_id"), F.lit(".txt")))
+    package, module = F.expr("doc_id div 400"), F.expr("doc_id div 40")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("p"), package), F.concat(F.lit("m"), module), name)
+    files = docs.select("doc_id", F.when(short & (F.col("doc_id") % 2 == 0), F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("p"), package), F.lit("LICENSE"))).otherwise(path).alias("path"), "text")
+    return license_scan(files)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archive records: of each a full response, a revisit an hour after and one an hour before."""
+    pages = table(spark, sf_dir, "pages")
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 12), F.lit('"'))
+    k = F.col("k")
+    changed = (k == 1) & (F.col("page_id") % 7 == 3)
+    etag = F.when(F.col("page_id") % 5 == 4, F.lit(None).cast("string")).when(changed, F.lit('"changed"')).otherwise(tag)
+    records = (
+        pages.select("page_id", "url", "html", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+        .select(
+            (F.col("page_id") * 3 + k).alias("id"), "url", F.timestamp_seconds(F.lit(1700000000) + F.col("page_id") * 60 + F.when(k == 1, 3600).when(k == 2, -3600).otherwise(0)).alias("at"),
+            F.when(k == 0, "response").otherwise("revisit").alias("kind"), etag.alias("etag"), F.when(F.col("page_id") % 11 != 5, F.concat(F.lit("day "), F.col("page_id") % 9)).alias("last_modified"),
+            F.when(k == 0, F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("cache-control"), F.lit("max-age=60")))
+            .otherwise(F.create_map(F.lit("Cache-Control"), F.concat(F.lit("max-age="), k * 100), F.lit("set-cookie"), F.lit("no"))).alias("headers"))
+    )
+    done = resolve_revisits(records)
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return done.select("id", "url_key", "kind", "outcome", "response_id", text.alias("headers"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -56,7 +91,9 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
@@ -66,7 +103,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passages": op10_passages,
 }
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}', {rank}, '{notice}')" for rank, (name, notice) in enumerate(TEMPLATES.items()))
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+
 SQL: dict[str, str] = {
+    "op1_license_scan": f"""
+        WITH f0 AS (SELECT doc_id AS id, text, {_LOWER("text")} AS low, coalesce(source, 'none') AS s, regexp_matches({_LOWER("text")}, '{CUE}') AND length(coalesce(text, '')) <= 200 AS short FROM documents),
+        f AS (SELECT id, low, short, s || '/p' || (id // 400) || CASE WHEN short AND id % 2 = 0 THEN '/LICENSE' WHEN short THEN '/m' || (id // 40) || '/LICENSE' ELSE '/m' || (id // 40) || '/f' || id || '.txt' END AS path FROM f0),
+        tpl(template, rank, notice) AS (VALUES {_TEMPLATE_ROWS}),
+        tt AS (SELECT template, rank, term, count(*) AS tf FROM (SELECT template, rank, unnest(regexp_extract_all({_LOWER("notice")}, '{TERM}')) AS term FROM tpl) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(regexp_extract_all(low, '{TERM}'))) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+        n AS (SELECT count(*) AS docs FROM f),
+        w AS (SELECT template, rank, term, tf, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tt LEFT JOIN df USING (term), n),
+        m AS (SELECT template, rank, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM w),
+        l AS (SELECT id, line, words FROM (SELECT id, unnest(string_split(low, chr(10))) AS words, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM f) WHERE regexp_matches(words, '{CUE}')),
+        tf AS (SELECT id, line, term, count(*) AS tf FROM (SELECT id, line, unnest(regexp_extract_all(words, '{TERM}')) AS term FROM l) GROUP BY ALL),
+        v AS (SELECT id, line, t.term, tf * coalesce(idf, ln(docs + 1) + 1) AS x FROM tf t LEFT JOIN (SELECT DISTINCT term, idf FROM w) i USING (term), n),
+        norm AS (SELECT id, line, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
+        c AS (SELECT id, template, rank, round(sum(x * weight) / any_value(norm), 6) AS score FROM v JOIN m USING (term) JOIN norm USING (id, line) GROUP BY id, line, template, rank),
+        own AS (SELECT * FROM c WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rank) = 1),
+        p AS (SELECT f.id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, ends_with(path, '/LICENSE') AS is_file, own.template AS own, own.score FROM f LEFT JOIN own USING (id)),
+        g AS (SELECT dir AS above, own AS dir_license FROM p WHERE is_file AND own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, id) = 1),
+        d AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM p WHERE own IS NULL)),
+        near AS (SELECT dir, above, dir_license FROM (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS above FROM d) JOIN g USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY k DESC) = 1)
+        SELECT id AS doc_id, path, coalesce(own, dir_license) AS license,
+               CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               coalesce(score, 0.0) AS score, CASE WHEN own IS NULL AND dir_license IS NOT NULL THEN above END AS license_dir
+        FROM p LEFT JOIN near USING (dir)""",
+    "op3_warc_revisits": r"""
+        WITH k(k) AS (VALUES (0), (1), (2)),
+        r AS (
+            SELECT page_id * 3 + k AS id, url, page_id, k, 1700000000 + page_id * 60 + CASE k WHEN 1 THEN 3600 WHEN 2 THEN -3600 ELSE 0 END AS ts,
+                   CASE WHEN page_id % 5 = 4 THEN NULL WHEN k = 1 AND page_id % 7 = 3 THEN '"changed"' ELSE '"' || substr(md5(coalesce(html, '')), 1, 12) || '"' END AS etag,
+                   CASE WHEN page_id % 11 <> 5 THEN 'day ' || (page_id % 9) END AS last_modified, strlen(coalesce(html, '')) AS bytes
+            FROM pages, k),
+        u AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS plain FROM r),
+        c AS (SELECT *, regexp_replace(lower(regexp_extract(plain, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:www\.)?([^/?]*)', 1)), '^www\.|:(80|443)$', '') AS host,
+                     regexp_replace(regexp_extract(plain, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                     list_sort(list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS q FROM u),
+        n AS (SELECT *, CASE WHEN url IS NULL THEN '' ELSE 'u' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key FROM c),
+        a AS (SELECT *, last_value(CASE WHEN k = 0 THEN {'id': id, 'etag': etag, 'lm': last_modified, 'bytes': bytes} END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, k <> 0, id ROWS UNBOUNDED PRECEDING) AS f FROM n),
+        o AS (SELECT *, CASE WHEN k = 0 THEN 'response' WHEN f IS NULL THEN 'orphan' WHEN coalesce(etag = f.etag, last_modified = f.lm) IS NULL THEN 'unverified' WHEN coalesce(etag = f.etag, last_modified = f.lm) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM a)
+        SELECT id, url_key, CASE WHEN k = 0 THEN 'response' ELSE 'revisit' END AS kind, outcome, CASE WHEN k = 0 THEN id ELSE f.id END AS response_id,
+               CASE WHEN k = 0 THEN 'cache-control=max-age=60;content-length=' || bytes || ';content-type=text/html'
+                    WHEN outcome = 'resolved' THEN 'Cache-Control=max-age=' || (k * 100) || ';content-length=' || f.bytes || ';content-type=text/html'
+                    ELSE 'Cache-Control=max-age=' || (k * 100) || ';set-cookie=no' END AS headers
+        FROM o""",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
