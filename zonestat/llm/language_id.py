@@ -158,6 +158,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([got, np.zeros(WINDOW, np.uint8)]), ends[:-1] - ends[0], ends[1:] - ends[0]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Folded | None:
     """A network fitted to rows whose crc32(id) mod 3 isn't 1; None if no row has a label."""
     ids = F.col(id_col).cast("string")
@@ -182,14 +190,14 @@ def train(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: i
 def language_id(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, keep: bool = False
 ) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score. With ``keep``, all columns of docs and these two of a prediction
-    (named _lang_pred, _lang_score) instead."""
+    """Per document: doc_id, held_out, lang_pred, score. With ``keep``, all columns of docs, then the two of
+    the prediction, whatever their names."""
     net = train(docs, id_col, text_col, label_col, sample)
     ids = F.col(id_col).cast("string")
     held_out = F.coalesce(F.crc32(ids.cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
     text = F.coalesce(text_col, F.lit(""))
     own = docs.select("*") if keep else docs.select(F.col(id_col).alias("doc_id"), held_out)
-    letter = F.when(text.rlike(r"\p{L}"), text).otherwise("").alias("_lettered")
+    letter = F.when(text.rlike(r"\p{L}"), text).otherwise("").alias(fresh(docs, "lettered"))
     given = docs.select(*([F.col(c) for c in docs.columns] if keep else [F.col(id_col).alias("doc_id"), held_out]), letter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +216,11 @@ def language_id(
             names = np.array(net.classes if net else ["und"], dtype=object)
             out = [c for c in batch.columns[:-1]]
             out += [pa.array(np.where(known, names[p.argmax(1)], "und"), pa.string()), pa.array(np.where(known, p.max(1), 0.0).astype(np.float64))]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(out, names=names_out)
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(own.schema.fields).add("_lang_pred" if keep else "lang_pred", StringType()).add("_lang_score" if keep else "score", DoubleType())
+    added = [fresh(docs, "lang_pred"), fresh(docs, "score")] if keep else ["lang_pred", "score"]
+    schema = StructType(own.schema.fields).add(added[0], StringType()).add(added[1], DoubleType())
+    names_out = schema.names
     return given.mapInArrow(run, schema)

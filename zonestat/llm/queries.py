@@ -59,7 +59,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = resolve_revisits(records)
     text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return done.select("id", "url_key", "kind", "outcome", "response_id", text.alias("headers"))
+    return done.select("id", "url_key", "kind", "outcome", F.coalesce("response_id", F.lit(-1)).alias("response_id"), text.alias("headers"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ SQL: dict[str, str] = {
         n AS (SELECT *, CASE WHEN url IS NULL THEN '' ELSE 'u' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key FROM c),
         a AS (SELECT *, last_value(CASE WHEN k = 0 THEN {'id': id, 'etag': etag, 'lm': last_modified, 'bytes': bytes} END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, k <> 0, id ROWS UNBOUNDED PRECEDING) AS f FROM n),
         o AS (SELECT *, CASE WHEN k = 0 THEN 'response' WHEN f IS NULL THEN 'orphan' WHEN coalesce(etag = f.etag, last_modified = f.lm) IS NULL THEN 'unverified' WHEN coalesce(etag = f.etag, last_modified = f.lm) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM a)
-        SELECT id, url_key, CASE WHEN k = 0 THEN 'response' ELSE 'revisit' END AS kind, outcome, CASE WHEN k = 0 THEN id ELSE f.id END AS response_id,
+        SELECT id, url_key, CASE WHEN k = 0 THEN 'response' ELSE 'revisit' END AS kind, outcome, CASE WHEN k = 0 THEN id ELSE coalesce(f.id, -1) END AS response_id,
                CASE WHEN k = 0 THEN 'cache-control=max-age=60;content-length=' || bytes || ';content-type=text/html'
                     WHEN outcome = 'resolved' THEN 'Cache-Control=max-age=' || (k * 100) || ';content-length=' || f.bytes || ';content-type=text/html'
                     ELSE 'Cache-Control=max-age=' || (k * 100) || ';set-cookie=no' END AS headers
