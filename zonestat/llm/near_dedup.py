@@ -195,7 +195,7 @@ def candidates(reps: DataFrame, rows: int) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """Least reachable id of each vertex (id, label), by label propagation with pointer jumps."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(vertices.select("id", F.col("id").alias("label")))
+    labels = vertices.select("id", F.col("id").alias("label"))
     for _ in range(most):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "label", F.least("label", "low").alias("low"))
@@ -208,6 +208,18 @@ def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFra
     raise RuntimeError("components didn't settle")
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: whole components are joined by their labels, few beside their members."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
+    edges = cut(between.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if not edges.limit(1).count():
+        return labels
+    moved = components(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), edges).where("label < id")
+    moved = moved.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return cut(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full shingle sets are similar enough."""
     for batch in batches:
@@ -245,31 +257,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     vertices = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(given.join(vertices, "id").dropDuplicates(["id"]))
     groups = components(vertices, pairs)
-    links = tested = labels = None
-    for turn in range(8):
+    labels = vertices.select("id", F.col("id").alias("label"))
+    open_ = tested = None
+    for turn in range(5):
         if turn == 0:  # each against the least of its candidate group
             chosen = groups.where("label < id").select(F.col("label").alias("a"), F.col("id").alias("b"))
+        elif turn < 4:  # the most similar open candidate of each document
+            ends = open_.select("a", "b", F.explode(F.array("a", "b")).alias("of"), F.struct("agree", "a", "b").alias("rank"))
+            chosen = ends.groupBy("of").agg(F.max("rank").alias("rank")).select("rank.a", "rank.b").distinct()
         else:
-            side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-            open_ = pairs.join(tested, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
-            if turn < 4:  # the most similar open candidate of each document
-                ends = open_.select("a", "b", F.explode(F.array("a", "b")).alias("of"), F.struct("agree", "a", "b").alias("rank"))
-                chosen = ends.groupBy("of").agg(F.max("rank").alias("rank")).select("rank.a", "rank.b").distinct()
-            else:
-                chosen = open_.select("a", "b")
+            chosen = open_.select("a", "b")
         chosen = cut(chosen)
         if not chosen.limit(1).count():
             break
         sure = cut(confirm(chosen, texts))
-        links = sure if links is None else cut(links.unionByName(sure))
-        tested = chosen if tested is None else cut(tested.unionByName(chosen))
-        labels = components(vertices, links)
-        if turn >= 4:
-            break
+        labels = joined(labels, sure)
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+        apart = (pairs if open_ is None else open_).select("a", "b", "agree").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
+        open_ = cut(apart.select("a", "b", "agree").join(tested, ["a", "b"], "left_anti"))
     members = sketched.select("id", F.col("n").alias("n_shingles"), "name").join(classes.withColumnRenamed("n", "n_shingles"), ["name", "n_shingles"], "left")
-    if labels is not None:
-        members = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    else:
-        members = members.withColumn("label", F.lit(None).cast("long"))
+    members = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
     return members.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
