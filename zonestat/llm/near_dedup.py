@@ -11,7 +11,7 @@ Links are confirmed on full shingle sets, in rounds: first every document of a c
 against the group's least; then, as long as candidates join documents that no confirmed path
 connects, the most similar of them, and finally all. A group of n copies costs about n checks, and no
 candidate between unconnected documents stays unchecked. Documents with equal sets are one vertex.
-Components come from label propagation with pointer jumps, in DataFrame joins.
+Components come from contracting the graph of links, in DataFrame joins.
 
 Nulls and texts without words: n_shingles 0, linked with nothing. Shorter texts than five words have
 their whole sequence as one shingle. A null id is linked with nothing and kept (component_id null).
@@ -193,19 +193,32 @@ def candidates(reps: DataFrame, rows: int) -> DataFrame:
 
 
 def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """Least reachable id of each vertex (id, label), by label propagation with pointer jumps."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = vertices.select("id", F.col("id").alias("label"))
+    """Least reachable id of each vertex (id, label), by contraction.
+
+    In each round every vertex takes the least of its neighbours, pointers jump twice, and the graph
+    shrinks to what its labels are joined by; the rounds' maps are put together from the last one back.
+    """
+    open_ = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    maps: list[DataFrame] = []
     for _ in range(most):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "label", F.least("label", "low").alias("low"))
-        jump = step.select(F.col("id").alias("low"), F.col("low").alias("lower"))
-        new = cut(step.join(jump, "low", "left").select("id", "label", F.least("low", "lower").alias("new")))
-        moved = new.where("new < label").limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
-        if not moved:
-            return labels
-    raise RuntimeError("components didn't settle")
+        if not open_.limit(1).count():
+            break
+        both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("up")))
+        jump = lambda m: m.join(up.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
+        maps.append(cut(jump(jump(up))))
+        side = lambda c: maps[-1].select(F.col("id").alias(c), F.col("up").alias(f"up_{c}"))
+        ends = open_.join(side("a"), "a").join(side("b"), "b").where("up_a <> up_b")
+        open_ = cut(ends.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+    else:
+        raise RuntimeError("components didn't settle")
+    if not maps:
+        return vertices.select("id", F.col("id").alias("label"))
+    whole = maps.pop()
+    while maps:
+        later = whole.select(F.col("id").alias("up"), F.col("up").alias("last"))
+        whole = cut(maps.pop().join(later, "up", "left").select("id", F.coalesce("last", "up").alias("up")))
+    return cut(vertices.select("id").join(whole, "id", "left").select("id", F.coalesce("up", "id").alias("label")))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
