@@ -65,7 +65,11 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     outcome = F.when(F.col("r").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
     marked = found.select("id", outcome.alias("outcome"), F.col("r.id").alias("response_id")).dropDuplicates(["id"])
     responses = given.where("kind = 'response'").select(F.col("id").alias("response_id"), F.col("headers").alias("response_headers")).dropDuplicates(["response_id"])
-    revisits = given.where("kind <> 'response'").join(marked, "id", "left").join(responses, "response_id", "left")
+    joined = given.where("kind <> 'response'").join(marked, "id", "left")
+    revisits = joined.where("response_id is not null").join(responses, "response_id", "left")
+    # orphans need no join: their null would bring all of them to one task
+    orphans = joined.where("response_id is null").withColumn("response_headers", F.lit(None).cast("map<string,string>"))
+    revisits = revisits.unionByName(orphans)
     headers = F.when(F.col("outcome") == "resolved", merge_headers(F.coalesce("response_headers", F.create_map().cast("map<string,string>")), F.coalesce("headers", F.create_map().cast("map<string,string>")))).otherwise(F.col("headers"))
     whole = given.where("kind = 'response'").select("id", "url_key", "kind", F.lit("response").alias("outcome"), F.col("id").alias("response_id"), "headers")
     return whole.unionByName(revisits.select("id", "url_key", "kind", F.coalesce("outcome", F.lit("orphan")).alias("outcome"), "response_id", headers.alias("headers")))
