@@ -4,7 +4,429 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import catalog as K
+from ..operators import incremental as I
+from ..operators import mask as M
+from ..operators import series as S
+from ..operators import stats as A
+from ..sources.readers import info_extent
+from . import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def held(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return held
+
+
+def _stats(v: str) -> str:
+    return (
+        f"count({v}) AS n, round(avg({v}), 6) AS mean, round(sum({v} * weight) / sum(weight), 6) AS mean_wt, round(stddev_samp({v}), 6) AS sd, round(min({v}), 6) AS min, round(max({v}), 6) AS max, "
+        f"round(quantile_cont({v}, 0.1), 6) AS p10, round(quantile_cont({v}, 0.9), 6) AS p90, round(sum(weight), 6) AS weight_sum"
+    )
+
+
+_GRID = f"WITH {B.SLAB}, {B.AXES}, {B.BOX_MASK}, {B.JOINED}"
+
+
+# statistics inside a mask
+@query(f"{_GRID} SELECT time::DATE AS date, {_stats('value')} FROM joined WHERE value IS NOT NULL GROUP BY 1")
+def stats_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(A.stats_daily(B.slab(spark, sf_dir), B.box_mask(spark), C.value_expr("value")))
+
+
+@query(f"{_GRID} SELECT time::DATE AS date, {_stats('(value - 273.15::DOUBLE)')} FROM joined WHERE value IS NOT NULL GROUP BY 1")
+def stats_daily_kelvin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(A.stats_daily(B.slab(spark, sf_dir), B.box_mask(spark), C.value_expr("value", "degree_Kelvin")))
+
+
+@query(
+    f"WITH {B.SLAB}, {B.AXES}, {B.EDGES}, {B.INSIDE} SELECT place_id, time::DATE AS date, {_stats('value').replace('weight', '1.0::DOUBLE', 2).replace('sum(weight)', 'count(*)::DOUBLE')} "
+    "FROM slab s JOIN inside ON round(s.latitude::DOUBLE, 3) = round(lat, 3) AND round(s.longitude::DOUBLE, 3) = round(lon, 3) WHERE value IS NOT NULL GROUP BY ALL"
+)
+def stats_daily_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places in one pass over the slab."""
+    lon, lat = B.axes(spark)
+    mask = M.grid_mask(B.edges(spark, *B.PLACES), lon, lat, weights=False)
+    return B.rounded(A.stats_daily(B.slab(spark, sf_dir), mask, C.value_expr("value")))
+
+
+@query(f"""{_GRID}, cells AS (SELECT time::DATE AS date, length(event_type)::BIGINT AS class, weight FROM joined),
+    t AS (SELECT date, count(*) AS nt, sum(weight) AS wt FROM cells GROUP BY 1)
+    SELECT date, class, count(*) AS n, round(sum(weight), 6) AS weight, round(sum(weight) / any_value(wt), 6) AS fraction, round(100.0::DOUBLE * count(*) / any_value(nt), 6) AS percent_cells
+    FROM cells JOIN t USING (date) GROUP BY date, class""")
+def stats_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(A.stats_categorical(B.slab(spark, sf_dir), B.box_mask(spark), F.length("event_type") + 0.25))
+
+
+@query(f"""WITH {B.POINTS} SELECT date_trunc('month', time)::DATE AS date, count(value) AS n, count(DISTINCT (time, longitude, latitude)) AS n_casts, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd,
+    round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90 FROM joined GROUP BY 1""")
+def stats_monthly_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = C.long_format(B.points(spark, sf_dir), "N")
+    return B.rounded(A.stats_points(pts, B.station_mask(spark, sf_dir), F.col("value")))
+
+
+@query(f"WITH {B.POINTS} SELECT round(mlat, 6) AS latitude, round(mlon, 6) AS longitude, 1.0::DOUBLE AS weight, round(avg(value), 6) AS value, count(value) AS n, max(time)::DATE AS date FROM joined GROUP BY mlat, mlon")
+def points_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = C.long_format(B.points(spark, sf_dir), "N")
+    return B.rounded(A.station_means(pts, B.station_mask(spark, sf_dir), F.col("value")))
+
+
+@query(f"""{_GRID.replace("ts AS time", "date_trunc('day', ts) AS time")} SELECT time::DATE AS date, round(mlat, 6) AS latitude, round(mlon, 6) AS longitude, round(weight, 6) AS weight, round(value, 6) AS value
+    FROM joined WHERE time = (SELECT max(time) FROM joined)""")
+def last_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = B.slab(spark, sf_dir).withColumn("time", F.date_trunc("day", "time"))
+    return B.rounded(A.last_step(days, B.box_mask(spark), C.value_expr("value")))
+
+
+@query(f"WITH {B.SLAB} SELECT DISTINCT round(longitude::DOUBLE, 4) AS longitude, round(latitude::DOUBLE, 4) AS latitude FROM slab")
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(A.stations(B.slab(spark, sf_dir)).select(*[F.col(c).cast("double") for c in ("longitude", "latitude")]), 4)
+
+
+@query(f"WITH {B.SLAB} SELECT event_type, count(*) AS n, count(value) AS valid FROM (SELECT DISTINCT * FROM slab) GROUP BY 1")
+def slab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lobes whose rows overlap: repeats count once."""
+    slab = B.slab(spark, sf_dir)
+    return A.without_repeats(slab, slab.where("latitude > 20.3")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("valid"))
+
+
+# masks
+@query(f"WITH {B.AXES}, {B.EDGES}, {B.INSIDE} SELECT place_id, round(lat, 6) AS latitude, round(lon, 6) AS longitude, 1.0::DOUBLE AS weight FROM inside")
+def grid_mask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = B.axes(spark)
+    return B.rounded(M.grid_mask(B.edges(spark, *B.PLACES), lon, lat, weights=False))
+
+
+@query(f"WITH {B.AXES}, {B.EDGES}, {B.INSIDE} SELECT place_id, i, j, round(lon, 6) AS lon, round(lat, 6) AS lat FROM inside")
+def grid_mask_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = B.axes(spark)
+    return B.rounded(M.inside_parity(B.edges(spark, *B.PLACES), M.axis_edges(lon), M.axis_edges(lat)).select("place_id", F.col("i").cast("long"), F.col("j").cast("long"), "lon", "lat"))
+
+
+@query(f"WITH {B.AXES}, {B.BOX_MASK} SELECT 'box' AS place_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(weight, 6) AS weight FROM mask")
+def grid_mask_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = B.axes(spark)
+    return B.rounded(M.grid_mask(B.edges(spark, "box"), lon, lat))
+
+
+@query(f"WITH {B.AXES}, {B.BOX_MASK} SELECT count(*) AS cells, round(sum(weight), 6) AS total_weight, count(*) FILTER (weight < 0.999) AS partial FROM mask")
+def mask_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(A.mask_summary(B.box_mask(spark)))
+
+
+@query(f"""WITH {B.EDGES}, pos AS (SELECT DISTINCT {B.LON0} + 0.001::DOUBLE * (c_custkey % 503) AS lon, {B.LAT0} + 0.001::DOUBLE * (c_custkey % 701) AS lat FROM customer),
+    hit AS (SELECT place_id, part, lon, lat FROM pos, edges WHERE (py > lat) <> (qy > lat) AND lon < px + (lat - py) * (qx - px) / (qy - py) GROUP BY ALL HAVING count(*) % 2 = 1)
+    SELECT DISTINCT place_id, round(lon, 6) AS lon, round(lat, 6) AS lat, 1.0::DOUBLE AS weight FROM hit""")
+def point_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pos = B.read(spark, sf_dir, "customer").select((F.lit(B.LON0) + F.lit(0.001) * (k % 503)).alias("lon"), (F.lit(B.LAT0) + F.lit(0.001) * (k % 701)).alias("lat"))
+    return B.rounded(M.point_mask(B.edges(spark, *B.PLACES), pos))
+
+
+_LATTICE = "v AS (SELECT DISTINCT (s_suppkey * s_suppkey)::DOUBLE / 8 AS centre FROM supplier)"
+
+
+def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "supplier").select(((F.col("s_suppkey") * F.col("s_suppkey")).cast("double") / 8).alias("centre")).distinct()
+
+
+@query(f"""WITH {_LATTICE}, g AS (SELECT centre, lag(centre) OVER w AS p, lead(centre) OVER w AS n, row_number() OVER w - 1 AS i FROM v WINDOW w AS (ORDER BY centre))
+    SELECT i, centre, centre - coalesce((centre - p) / 2, (n - centre) / 2, 0.5::DOUBLE) AS lo, centre + coalesce((n - centre) / 2, (centre - p) / 2, 0.5::DOUBLE) AS hi FROM g""")
+def axis_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.axis_edges(_centres(spark, sf_dir)).withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"WITH {_LATTICE} SELECT round(median(gap), 6) AS spacing FROM (SELECT centre - lag(centre) OVER (ORDER BY centre) AS gap FROM v)")
+def axis_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(M.axis_spacing(_centres(spark, sf_dir)))
+
+
+_BOXES = """b AS (SELECT 'n' || s_nationkey AS place_id, s_suppkey AS part, ((s_suppkey * 37) % 340 - 175)::DOUBLE AS x0, ((s_suppkey * 37) % 340 - 175 + s_suppkey % 5)::DOUBLE AS x1,
+    (s_suppkey % 60)::DOUBLE AS y0, (s_suppkey % 60 + 3)::DOUBLE AS y1 FROM supplier WHERE s_nationkey % 3 > 0 OR (s_suppkey * 37) % 340 < 170)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    west = (k * 37) % 340 - 175
+    rows = B.read(spark, sf_dir, "supplier").where((F.col("s_nationkey") % 3 > 0) | ((k * 37) % 340 < 170))
+    d = lambda c, name: c.cast("double").alias(name)
+    return rows.select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("place_id"), k.alias("part"), d(west, "x0"), d(west + k % 5, "x1"), d(k % 60, "y0"), d(k % 60 + 3, "y1"))
+
+
+@query(f"""WITH {_BOXES}, w AS (SELECT *, max(x1) OVER p - min(x0) OVER p > 180 AS wide FROM b WINDOW p AS (PARTITION BY place_id))
+    SELECT place_id, place_id || CASE WHEN NOT wide THEN '' WHEN (x0 + x1) / 2 < 0 THEN ':W' ELSE ':E' END AS lobe_id, min(x0) AS west, min(y0) AS south, max(x1) AS east, max(y1) AS north, count(*) AS n_parts FROM w GROUP BY ALL""")
+def lobes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.lobes(_boxes(spark, sf_dir))
+
+
+@query(f"""WITH {_BOXES}, s AS (SELECT place_id, x0 AS a, x1 AS b FROM b), m AS (SELECT *, max(b) OVER (PARTITION BY place_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    i AS (SELECT place_id, a - reach AS gap, a, reach FROM m WHERE a > reach QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY a - reach DESC, a) = 1),
+    t AS (SELECT place_id, min(x0) AS f, max(x1) AS l, min(y0) AS south, max(y1) AS north FROM b GROUP BY 1)
+    SELECT place_id, CASE WHEN gap > f + 360 - l THEN a ELSE f END AS west, south, CASE WHEN gap > f + 360 - l THEN reach ELSE l END AS east, north FROM t LEFT JOIN i USING (place_id)""")
+def union_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.union_bbox(_boxes(spark, sf_dir).withColumnsRenamed({"x0": "west", "y0": "south", "x1": "east", "y1": "north"}))
+
+
+@query("""WITH v AS (SELECT c_custkey AS k, (c_custkey % 1081 - 540)::DOUBLE / 1.5 AS lon FROM customer)
+    SELECT k, round(CASE WHEN lon - 360 * floor(lon / 360) > 180 THEN lon - 360 * floor(lon / 360) - 360 ELSE lon - 360 * floor(lon / 360) END, 6) AS about_0, round(lon - 360 * floor(lon / 360), 6) AS about_180,
+           round(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END, 6) AS in_dataset FROM v""")
+def lon_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon = (F.col("c_custkey") % 1081 - 540).cast("double") / 1.5
+    return B.rounded(B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), C.normal_longitude(lon).alias("about_0"), C.normal_longitude(lon, 180).alias("about_180"), C.dataset_longitude(lon, 359.9).alias("in_dataset")))
+
+
+# day-of-year series and cubes
+def _series_sql(smooth: int) -> str:
+    value = "mean" if smooth < 2 else f"avg(mean) OVER (PARTITION BY year(date) ORDER BY date ROWS BETWEEN {smooth // 2} PRECEDING AND {(smooth - 1) // 2} FOLLOWING)"
+    return f"""WITH {B.DAILY}, s AS (SELECT date, year(date) AS year, dayofyear(make_date(2000, month(date), day(date))) AS band, {value} AS value FROM raw),
+        c AS (SELECT band, avg(value) AS clim FROM s WHERE year BETWEEN 1995 AND 1998 GROUP BY 1)
+        SELECT year, band, date, round(value, 6) AS value, round(clim, 6) AS clim, round(value - clim, 6) AS anom FROM s LEFT JOIN c USING (band)"""
+
+
+@query(_series_sql(0))
+def series_doy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.series_by_day(B.daily_orders(spark, sf_dir), (1995, 1998)))
+
+
+@query(_series_sql(7))
+def series_doy_smooth7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.series_by_day(B.daily_orders(spark, sf_dir), (1995, 1998), smooth=7))
+
+
+@query(_series_sql(4))
+def series_doy_smooth4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.series_by_day(B.daily_orders(spark, sf_dir), (1995, 1998), smooth=4))
+
+
+@query(f"""WITH {B.DAILY}, s AS (SELECT year(date) AS year, month(date) AS month, mean FROM raw)
+    SELECT DISTINCT year, month, round(avg(CASE WHEN year BETWEEN 1995 AND 1997 THEN mean END) OVER (PARTITION BY month), 6) AS then_mean FROM s""")
+def filtered_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered average over a window: the condition goes inside the average."""
+    rows = B.daily_orders(spark, sf_dir).select(F.year("date").cast("long").alias("year"), F.month("date").cast("long").alias("month"), "mean")
+    then = F.avg(F.when(F.col("year").between(1995, 1997), F.col("mean"))).over(Window.partitionBy("month"))
+    return B.rounded(rows.withColumn("then_mean", then).select("year", "month", "then_mean").distinct())
+
+
+@query(f"WITH {B.CUBE}, {B.CLIM} SELECT place_id, band, row, col, round(mean, 6) AS mean, round(sd, 6) AS sd, n FROM clim")
+def climatology_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.climatology(B.cube(spark, sf_dir), (1995, 1998)))
+
+
+@query(f"""WITH {B.CUBE}, p AS (SELECT place_id, ((band - 1 + k) % 366 + 366) % 366 + 1 AS band, row, col, value FROM cube, (SELECT unnest(range(-2, 3)) AS k) WHERE year BETWEEN 1995 AND 1998)
+    SELECT place_id, band, row, col, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(value) AS n FROM p GROUP BY ALL""")
+def climatology_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.climatology(B.cube(spark, sf_dir), (1995, 1998), pool=2))
+
+
+_WEIGHTS = "w AS (SELECT place_id, r AS row, c AS col, (1 + r + c)::DOUBLE / 16 AS weight FROM (VALUES ('p0'), ('p1')) p(place_id), range(8) a(r), range(8) b(c) WHERE r + c > 2)"
+
+
+def _weights(spark: SparkSession) -> DataFrame:
+    cells = spark.range(128).select(F.concat(F.lit("p"), F.expr("id div 64")).alias("place_id"), F.expr("id div 8 % 8").alias("row"), F.expr("id % 8").alias("col"))
+    return cells.where("row + col > 2").withColumn("weight", (1 + F.col("row") + F.col("col")).cast("double") / 16)
+
+
+@query(f"""WITH {B.CUBE}, {_WEIGHTS} SELECT place_id, year, band, round(sum(value * weight) / sum(weight), 6) AS mean, round(avg(value), 6) AS mean_unwt, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS min, round(max(value), 6) AS max,
+    count(value)::INT AS n_cells, round(sum(weight), 6) AS weight_sum FROM cube JOIN w USING (place_id, row, col) WHERE value IS NOT NULL GROUP BY ALL""")
+def zonal_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.zonal_daily(B.cube(spark, sf_dir), _weights(spark)))
+
+
+@query(f"WITH {B.CUBE}, {B.CLIM} SELECT place_id, year, band, row, col, round(value - mean, 6) AS anom FROM cube JOIN clim USING (place_id, band, row, col)")
+def anomaly_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = B.cube(spark, sf_dir)
+    return B.rounded(S.anomaly(cube, S.climatology(cube, (1995, 1998))))
+
+
+@query(f"""WITH {B.CUBE}, {B.CLIM}, a AS (SELECT place_id, year, row, value - mean AS anom, 0.125::DOUBLE * 111.32 * cos(radians(25.5 - (row + 0.5) * 0.125)) * 0.125 * 110.57 AS km2 FROM cube JOIN clim USING (place_id, band, row, col))
+    SELECT place_id, year, count(*) FILTER (anom > 2.5) AS n, count(*) AS valid, round(sum(CASE WHEN anom > 2.5 THEN km2 ELSE 0 END), 4) AS km2, round(sum(km2), 4) AS valid_km2 FROM a WHERE anom IS NOT NULL GROUP BY ALL""")
+def exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = B.cube(spark, sf_dir)
+    anomalies = S.anomaly(cube, S.climatology(cube, (1995, 1998)))
+    return B.rounded(S.exceedance(anomalies, 2.5, (-81.0, 24.5, -80.0, 25.5), 8, 8, ("place_id", "year")), 4)
+
+
+@query(f"""WITH {B.CUBE} SELECT place_id, year, band, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(100.0::DOUBLE * count(value) / count(*), 6) AS valid_percent FROM cube GROUP BY ALL""")
+def band_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.band_statistics(B.cube(spark, sf_dir)))
+
+
+@query(f"""WITH {B.CUBE}, v AS (SELECT place_id, year, band, count(value) AS n FROM cube GROUP BY ALL)
+    SELECT place_id, max(year) AS year, 59::BIGINT AS band FROM v WHERE n > 0 AND year <= 2000 AND band = CASE WHEN (year % 4 = 0 AND year % 100 <> 0) OR year % 400 = 0 THEN 60 ELSE 59 END AND NOT ((year % 4 = 0 AND year % 100 <> 0) OR year % 400 = 0)
+    GROUP BY 1 HAVING max(year) > (SELECT coalesce(max(year), 0) FROM v x WHERE n > 0 AND band = 60 AND year <= 2000 AND x.place_id = v.place_id)
+    UNION ALL SELECT place_id, max(year), 60::BIGINT FROM v WHERE n > 0 AND year <= 2000 AND band = 60 GROUP BY 1 HAVING max(year) > (SELECT coalesce(max(year), 0) FROM v x WHERE n > 0 AND band = 59 AND year <= 2000 AND x.year % 4 <> 0 AND x.place_id = v.place_id)""")
+def now_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = B.cube(spark, sf_dir).groupBy("place_id", "year", "band").agg(F.count("value").alias("n"))
+    return S.now_choice(valid, 2000, 60).select("place_id", "year", F.col("band").cast("long"))
+
+
+@query(f"""WITH {B.CUBE}, t AS (SELECT place_id, row, col, avg(value) AS v FROM cube WHERE band = 100 AND year BETWEEN 1995 AND 1998 GROUP BY ALL) SELECT place_id, row, col, round(v, 6) AS mean FROM t""")
+def custom_then(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.mean_of_years(B.cube(spark, sf_dir), 100, (1995, 1998)).drop("n"))
+
+
+# incremental series
+_WINDOWS = "win AS (SELECT 'u' || n_nationkey AS unit, DATE '2026-01-01' + (n_nationkey % 7)::INT AS ws, DATE '2026-12-31' - (n_nationkey % 11)::INT AS we FROM nation)"
+_DONE = """done AS (SELECT 'u' || s_nationkey AS unit, DATE '2026-01-01' + ((s_suppkey * 17) % 330)::INT AS s, DATE '2026-01-01' + ((s_suppkey * 17) % 330 + s_suppkey % 29)::INT AS e FROM supplier)"""
+
+
+@query(f"""WITH {_WINDOWS}, {_DONE}, days AS (SELECT unit, unnest(generate_series(ws, we, INTERVAL 1 DAY))::DATE AS d, ws, we FROM win),
+    open AS (SELECT unit, d FROM days x WHERE NOT EXISTS (SELECT 1 FROM done y WHERE y.unit = x.unit AND y.s >= x.ws AND y.e <= x.we AND x.d BETWEEN y.s AND y.e)),
+    g AS (SELECT unit, d, d - row_number() OVER (PARTITION BY unit ORDER BY d)::INT AS k FROM open) SELECT unit, min(d) AS start, max(d) AS "end" FROM g GROUP BY unit, k""")
+def chunk_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda base, n: F.date_add(F.lit(base).cast("date"), n.cast("int"))
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    windows = B.read(spark, sf_dir, "nation").select(F.concat(F.lit("u"), n).alias("unit"), day("2026-01-01", n % 7).alias("start"), day("2026-12-31", -(n % 11)).alias("end"))
+    at = (k * 17) % 330
+    done = B.read(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), F.col("s_nationkey")).alias("unit"), day("2026-01-01", at).alias("start"), day("2026-01-01", at + k % 29).alias("end"))
+    return I.gaps(done, windows)
+
+
+@query(f"WITH {_WINDOWS}, s AS (SELECT unit, unnest(generate_series(ws, we, INTERVAL 20 DAY))::DATE AS slice_start, we FROM win) SELECT unit, slice_start, least(we, slice_start + 19) AS slice_end FROM s")
+def chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    windows = B.read(spark, sf_dir, "nation").select(F.concat(F.lit("u"), n).alias("unit"), F.date_add(F.lit("2026-01-01").cast("date"), (n % 7).cast("int")).alias("start"), F.date_add(F.lit("2026-12-31").cast("date"), (-(n % 11)).cast("int")).alias("end"))
+    return I.slice_table(windows, 20).select("unit", F.col("slice_start").cast("date").alias("slice_start"), "slice_end")
+
+
+@query(f"""WITH {B.CHUNKS} SELECT date, n, round(mean, 6) AS mean, 'pid' AS place_id, 'ds' AS dataset_id, 'v' AS variable FROM chunk WHERE date BETWEEN span_start AND span_end
+    QUALIFY row_number() OVER (PARTITION BY date ORDER BY span_start, span_end) = 1""")
+def assemble_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(I.assemble(B.chunks(spark, sf_dir), {"place_id": "pid", "dataset_id": "ds", "variable": "v"}))
+
+
+@query(f"""WITH {B.CHUNKS}, c AS (SELECT date, class, n + class AS n, span_start, span_end FROM chunk, (SELECT unnest([1, 2, 3])::BIGINT AS class))
+    SELECT date, class, n, 'pid' AS place_id FROM c WHERE date BETWEEN span_start AND span_end QUALIFY row_number() OVER (PARTITION BY date, class ORDER BY span_start, span_end) = 1""")
+def assemble_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.chunks(spark, sf_dir).withColumn("class", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)]))).select("date", "class", (F.col("n") + F.col("class")).alias("n"), "span_start", "span_end")
+    return I.assemble(rows, {"place_id": "pid"}, ("date", "class"))
+
+
+@query(f"WITH {B.DAILY} SELECT date, round(mean, 6) AS mean, n FROM raw WHERE date BETWEEN DATE '1996-02-10' AND DATE '1996-04-20'")
+def coverage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window of a materialised series that covers it."""
+    orders = B.read(spark, sf_dir, "orders").where(F.col("o_orderdate").between(F.lit("1996-02-10").cast("timestamp"), F.lit("1996-04-20 23:59:59.999999").cast("timestamp")))
+    series = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg(F.col("o_totalprice") * B.UNEVEN).alias("mean"), F.count("*").alias("n"))
+    return B.rounded(I.in_window(series, "1996-02-10", "1996-04-20"))
+
+
+# catalog
+@query(f"WITH {B.ITEMS} SELECT id, place_id FROM items WHERE k % 4 <> 0")
+def manifest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.items(spark, sf_dir)
+    return K.pending(items.unionByName(items), items.where("k % 4 = 0")).select("id", "place_id")
+
+
+@query(f"WITH {B.ITEMS} SELECT id, 'fresh' AS state FROM items WHERE k % 3 = 0 UNION ALL SELECT id, 'earlier' FROM items WHERE k % 3 <> 0 AND k % 2 = 0 AND variable <> 'v4'")
+def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.items(spark, sf_dir)
+    fresh = items.where("k % 3 = 0").withColumn("state", F.lit("fresh"))
+    earlier = items.where("k % 2 = 0").withColumn("state", F.lit("earlier"))
+    return K.merge_items(fresh, earlier, F.col("variable") != "v4").select("id", "state")
+
+
+@query(f"WITH {B.ITEMS} SELECT id FROM items WHERE id NOT IN (SELECT id FROM items WHERE k % 7 < 5)")
+def manifest_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.items(spark, sf_dir)
+    return K.unlisted(items, items.where("k % 7 < 5"), "id").select("id")
+
+
+@query(f"WITH {B.ITEMS} SELECT id, place_id FROM items WHERE place_id IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1)")
+def manifest_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = B.read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("place_id"))
+    return K.listed(B.items(spark, sf_dir), covered).select("id", "place_id")
+
+
+@query(f"""WITH {B.ITEMS} SELECT collection, min(start) AS start, max("end") AS "end", count(*) AS items, count(DISTINCT place_id) AS places, array_to_string(list_sort(list_distinct(list(variable))), ',') AS variables FROM items GROUP BY 1""")
+def collection_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.roll_up(B.items(spark, sf_dir))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 6 = 0 THEN 'expired' WHEN s_nationkey % 2 = 0 THEN 'active' ELSE 'unknown' END AS status, CASE WHEN s_suppkey % 6 = 0 THEN 'op' || s_suppkey ELSE 'none' END AS operator FROM supplier")
+def status_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = B.read(spark, sf_dir, "supplier")
+    key = F.concat(F.lit("OCS-"), F.col("s_suppkey")).alias("lease")
+    rows = s.select(F.col("s_suppkey").alias("k"), key, F.when(F.col("s_nationkey") % 2 == 0, "active").otherwise("unknown").alias("status"), F.lit("none").alias("operator"))
+    overlay = s.where("s_suppkey % 6 = 0").select(F.concat(F.lit(" OCS-"), F.col("s_suppkey"), F.lit(" ")).alias("lease"), F.lit("expired").alias("status"), F.concat(F.lit("op"), F.col("s_suppkey")).alias("operator"))
+    return K.overlay_status(rows, overlay, "lease", ["status", "operator"]).select("k", "status", "operator")
+
+
+@query(f"""WITH {B.INDEX}, w AS (SELECT 'p' || n_nationkey AS place_id, CASE n_nationkey % 3 WHEN 0 THEN 'cables' WHEN 1 THEN 'leases' END AS wanted FROM nation)
+    SELECT place_id, wanted, collection, name, count(*) OVER (PARTITION BY place_id, wanted) > 1 AS ambiguous FROM w JOIN idx USING (place_id)
+    QUALIFY row_number() OVER (PARTITION BY place_id, wanted ORDER BY coalesce(collection = wanted, false) DESC, rank, collection) = 1""")
+def resolve_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    wanted = B.read(spark, sf_dir, "nation").select(F.concat(F.lit("p"), n).alias("place_id"), F.when(n % 3 == 0, "cables").when(n % 3 == 1, "leases").alias("collection"))
+    return K.resolve_places(B.index(spark, sf_dir), wanted).select("place_id", "wanted", "collection", "name", "ambiguous")
+
+
+@query(f"WITH {B.INDEX} SELECT collection, place_id, name, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY collection) - 50, 0) AS more FROM idx WINDOW w AS (PARTITION BY collection ORDER BY name, place_id) QUALIFY row_number() OVER w <= 50")
+def picker_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.capped(B.index(spark, sf_dir), "collection", ["name", "place_id"], F.lit(50)).select("collection", "place_id", "name", "place", "more")
+
+
+@query(f"""WITH {B.INDEX}, h AS (SELECT * FROM idx WHERE lower(name) LIKE '%r%'), s AS (SELECT *, greatest(10, least(50, 200 // (SELECT count(DISTINCT collection) FROM h))) AS share FROM h)
+    SELECT collection, place_id, name, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY collection) - share, 0) AS more FROM s WINDOW w AS (PARTITION BY collection ORDER BY area_km2 DESC, name, place_id) QUALIFY row_number() OVER w <= share""")
+def search_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = B.index(spark, sf_dir).where(F.lower("name").contains("r"))
+    return K.search(hits, "collection", [F.desc("area_km2"), "name", "place_id"]).select("collection", "place_id", "name", "place", "more")
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, 'a' || (p_partkey % 97) AS id, CASE p_partkey % 3 WHEN 0 THEN 'x' ELSE 'y' END AS label FROM part), a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS nth FROM r),
+    b AS (SELECT *, row_number() OVER (PARTITION BY id, label, nth > 1 ORDER BY k) AS again FROM a)
+    SELECT k, CASE WHEN nth = 1 THEN id ELSE id || ':' || label || CASE WHEN again > 1 THEN '-' || again ELSE '' END END AS unique_id FROM b""")
+def suffix_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = B.read(spark, sf_dir, "part").select(k.alias("k"), F.concat(F.lit("a"), k % 97).alias("id"), F.when(k % 3 == 0, "x").otherwise("y").alias("label"))
+    return K.suffix_repeats(rows, "id", "label", ["k"]).select("k", "unique_id")
+
+
+@query("""SELECT 'd' || n_nationkey AS dataset_id, strftime(to_timestamp(1000000000 + n_nationkey * 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS start, '2026-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS "end",
+    CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS step_days, CASE WHEN n_nationkey % 2 = 0 THEN 'daily' ELSE '8-day' END AS step_label, 100 + n_nationkey AS n_values FROM nation""")
+def info_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents from attribute rows: ranges in seconds, or coverage attributes where a range has one end."""
+    n = F.col("n_nationkey")
+    base = B.read(spark, sf_dir, "nation").select(n, F.concat(F.lit("d"), n).alias("dataset_id"))
+    row = lambda kind, var, attr, value: F.struct(F.lit(kind).alias("row_type"), F.lit(var).alias("variable"), F.lit(attr).alias("attribute"), value.alias("value"))
+    step = F.when(n % 2 == 0, "1 day").otherwise("8 days 0h 0m 0s")
+    rows = base.select("dataset_id", F.explode(F.array(
+        row("attribute", "time", "actual_range", (F.lit(1000000000) + n * 86400).cast("string")), row("attribute", "NC_GLOBAL", "time_coverage_end", F.concat(F.lit("2026-01-"), F.lpad((n + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))),
+        row("dimension", "time", "", F.concat(F.lit("nValues="), (n + 100).cast("string"), F.lit(", evenlySpaced=true, averageSpacing="), step)))).alias("r")).select("dataset_id", "r.*")
+    return info_extent(rows)
+
+
+@query("""SELECT 'h' || (user_id % 20) AS host, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds, min(ts) AS first, max(ts) AS last, count(DISTINCT user_id) AS units FROM events GROUP BY 1""")
+def outage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.read(spark, sf_dir, "events")
+    return K.outages(e.select(F.concat(F.lit("h"), F.col("user_id") % 20).alias("host"), F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("user_id").alias("unit")))
+
+
+@query("SELECT event_type AS status, count(*) AS units, sum(user_id)::BIGINT AS rows, sum(event_id)::BIGINT AS bytes FROM events GROUP BY 1")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.read(spark, sf_dir, "events")
+    return K.run_totals(e.select(F.col("event_type").alias("status"), F.col("user_id").alias("rows"), F.col("event_id").alias("bytes")))
+
+
+@query("SELECT o_orderkey AS k, dayofyear(make_date(2000, month(o_orderdate), day(o_orderdate))) AS band, (dayofyear(make_date(2000, month(o_orderdate), day(o_orderdate))) - 1 + 361) % 366 + 1 AS five_before FROM orders")
+def leap_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = C.band_of(F.to_date("o_orderdate"))
+    return B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), band.alias("band"), C.step_band(band, -5).alias("five_before"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT DISTINCT 'p' || (c_custkey % 9) AS name, c_custkey % 9 AS k FROM customer) GROUP BY 1")
+def provider_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = B.read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), k % 9).alias("name"), k.alias("ord"), F.lit("u").alias("url"), F.lit("host").alias("role"))
+    return K.first_providers(rows).groupBy("name").agg(F.count("*").alias("n"))

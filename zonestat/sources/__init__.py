@@ -1 +1 @@
-"""sources of zonestat."""
+"""Sources and sinks: request URLs with pushed-down constraints, table readers, writers."""

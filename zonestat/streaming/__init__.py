@@ -1 +1 @@
-"""streaming of zonestat."""
+"""Structured Streaming forms of the daily statistics (an extension)."""
