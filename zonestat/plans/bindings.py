@@ -56,7 +56,7 @@ def edges(spark: SparkSession, *places: str) -> DataFrame:
     return M.edges_of(spark, {p: PLACES[p] for p in places})
 
 
-AXES = f"""ax AS (SELECT i, {LON0} + {STEP} * i AS lon FROM range({NLON}) t(i)), ay AS (SELECT j, {LAT0} + {STEP} * j AS lat FROM range({NLAT}) t(j))"""
+AXES = f"""ax AS (SELECT i, {LON0}::DOUBLE + {STEP}::DOUBLE * i AS lon FROM range({NLON}) t(i)), ay AS (SELECT j, {LAT0}::DOUBLE + {STEP}::DOUBLE * j AS lat FROM range({NLAT}) t(j))"""
 EDGES = "edges(place_id, part, px, py, qx, qy) AS (VALUES " + ", ".join(
     f"('{pid}', {p}, {ring[k][0]}::DOUBLE, {ring[k][1]}::DOUBLE, {ring[k + 1][0]}::DOUBLE, {ring[k + 1][1]}::DOUBLE)"
     for pid, parts in PLACES.items() for p, rings in enumerate(parts) for ring in rings for k in range(len(ring) - 1)
@@ -110,7 +110,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg(F.col("o_totalprice") * UNEVEN).alias("mean"), F.count("*").alias("n"))
 
 
-DAILY = f"raw AS (SELECT o_orderdate::DATE AS date, avg(o_totalprice * {UNEVEN}) AS mean, count(*) AS n FROM orders GROUP BY 1)"
+DAILY = f"raw AS (SELECT o_orderdate::DATE AS date, avg(o_totalprice * {UNEVEN}::DOUBLE) AS mean, count(*) AS n FROM orders GROUP BY 1)"
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CUBE = f"""cube AS (
     SELECT 'p' || (l_linenumber % 2) AS place_id, year(l_shipdate) AS year, dayofyear(make_date(2000, month(l_shipdate), day(l_shipdate))) AS band, l_suppkey % 8 AS row, l_partkey % 8 AS col,
-           avg(CASE WHEN l_orderkey % 19 <> 0 THEN l_extendedprice / 1000 * {UNEVEN} END) AS value FROM lineitem GROUP BY ALL)"""
+           avg(CASE WHEN l_orderkey % 19 <> 0 THEN l_extendedprice / 1000 * {UNEVEN}::DOUBLE END) AS value FROM lineitem GROUP BY ALL)"""
 CLIM = "clim AS (SELECT place_id, band, row, col, avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM cube WHERE year BETWEEN 1995 AND 1998 GROUP BY ALL)"
 
 

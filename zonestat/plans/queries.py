@@ -394,7 +394,7 @@ def suffix_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'd' || n_nationkey AS dataset_id, strftime(to_timestamp(1000000000 + n_nationkey * 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS start, '2026-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS "end",
-    CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS step_days, CASE WHEN n_nationkey % 2 = 0 THEN 'daily' ELSE '8-day' END AS step_label, 100 + n_nationkey AS n_values FROM nation""")
+    CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS step_days, CASE WHEN n_nationkey % 2 = 0 THEN 'daily' ELSE '8-day' END AS step_label, (100 + n_nationkey)::BIGINT AS n_values FROM nation""")
 def info_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extents from attribute rows: ranges in seconds, or coverage attributes where a range has one end."""
     n = F.col("n_nationkey")
