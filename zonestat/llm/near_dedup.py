@@ -195,18 +195,23 @@ def candidates(reps: DataFrame, rows: int) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """Least reachable id of each vertex (id, label), by contraction.
 
-    In each round every vertex takes the least of its neighbours, pointers jump twice, and the graph
-    shrinks to what its labels are joined by; the rounds' maps are put together from the last one back.
+    In each round every vertex points to the neighbour of least hash, itself included, which makes short
+    chains even of long paths; pointers are doubled thrice, and the graph shrinks to what its pointers
+    are joined by. The rounds' maps are put together from the last one back; then a component's least id
+    is its label.
     """
     open_ = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     maps: list[DataFrame] = []
-    for _ in range(most):
+    for turn in range(most):
         if not open_.limit(1).count():
             break
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("hash"), F.col(c).alias("id"))
         both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("up")))
-        jump = lambda m: m.join(up.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
-        maps.append(cut(jump(jump(up))))
+        up = both.groupBy("a").agg(F.min(order("b")).alias("near")).select(F.col("a").alias("id"), F.least(order("a"), F.col("near"))["id"].alias("up"))
+        for _ in range(3):
+            up = cut(up)
+            up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
+        maps.append(cut(up))
         side = lambda c: maps[-1].select(F.col("id").alias(c), F.col("up").alias(f"up_{c}"))
         ends = open_.join(side("a"), "a").join(side("b"), "b").where("up_a <> up_b")
         open_ = cut(ends.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
@@ -218,7 +223,9 @@ def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFra
     while maps:
         later = whole.select(F.col("id").alias("up"), F.col("up").alias("last"))
         whole = cut(maps.pop().join(later, "up", "left").select("id", F.coalesce("last", "up").alias("up")))
-    return cut(vertices.select("id").join(whole, "id", "left").select("id", F.coalesce("up", "id").alias("label")))
+    least = whole.groupBy("up").agg(F.min("id").alias("label"))
+    labels = whole.join(least, "up").select("id", "label")
+    return cut(vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
