@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions.columns import spacing_days, step_label
 from ..schemas import MASK
 
+#: Parts of a place, their rings, their points.
+PARTS = ArrayType(ArrayType(ArrayType(StructType().add("x", DoubleType()).add("y", DoubleType()))))
+
 
 def slabs(spark: SparkSession, *paths: str) -> DataFrame:
     """Slab files of a place's lobes as one table, with the file of each row."""
@@ -77,11 +82,6 @@ def place_by_id(spark: SparkSession, path: str, place_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("place_id") == place_id)
 
 
-def wkb_parts(geometry: Column) -> Column:
-    """Polygons of WKB or EWKB values as an array of parts, rings and points (x, y)."""
-    return _wkb(geometry)
-
-
 def _decode(value: bytes | None) -> list | None:
     """One WKB value: byte order, flags for z, m and SRID, polygons and what holds them."""
     import struct
@@ -124,11 +124,7 @@ def _decode(value: bytes | None) -> list | None:
     return read(0)[0]
 
 
-def _wkb(geometry: Column) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("array<array<array<struct<x: double, y: double>>>>")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(_decode)
-
-    return decode(geometry)
+@F.pandas_udf(PARTS)
+def wkb_parts(geometry: pd.Series) -> pd.Series:
+    """Polygons of WKB or EWKB values as an array of parts, rings and points (x, y)."""
+    return geometry.map(_decode)
