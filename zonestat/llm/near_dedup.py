@@ -7,9 +7,9 @@ longest prefixes. Depth adapts to the region: where few documents share a prefix
 SHALLOW values are candidates; in dense regions only the nearest, which share more, are (REACH).
 Candidates whose one-bit sketches or set sizes rule out the wanted similarity go at once.
 
-Links are confirmed on full shingle sets, in rounds: first every document of a candidate group
-against the group's least; then, as long as candidates join documents that no confirmed path
-connects, the most similar of them, and finally all. A group of n copies costs about n checks, and no
+Links are confirmed on full shingle sets, in three rounds: first every document of a candidate group
+against the group's least; then, of candidates that join documents which no confirmed path connects
+yet, the most similar of each document; finally all that are left. A group of n copies costs about n checks, and no
 candidate between unconnected documents stays unchecked. Documents with equal sets are one vertex.
 Components come from contracting the graph of links, in DataFrame joins.
 
@@ -279,10 +279,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = components(vertices, pairs)
     labels = vertices.select("id", F.col("id").alias("label"))
     open_ = tested = None
-    for turn in range(5):
+    for turn in range(3):
         if turn == 0:  # each against the least of its candidate group
             chosen = groups.where("label < id").select(F.col("label").alias("a"), F.col("id").alias("b"))
-        elif turn < 4:  # the most similar open candidate of each document
+        elif turn == 1:  # the most similar open candidate of each document
             ends = open_.select("a", "b", F.explode(F.array("a", "b")).alias("of"), F.struct("agree", "a", "b").alias("rank"))
             chosen = ends.groupBy("of").agg(F.max("rank").alias("rank")).select("rank.a", "rank.b").distinct()
         else:
