@@ -159,8 +159,10 @@ def grid_mask(edges: DataFrame, lon: DataFrame, lat: DataFrame, weights: bool =
     With weights, cells inside and their eight neighbours count by the share that the place covers; a
     place without any cell centre inside takes the cells that its parts' boxes touch.
     """
-    ax, ay = axis_edges(lon), axis_edges(lat)
+    # axes and the cells inside are each used several times
+    ax, ay = axis_edges(lon).persist(), axis_edges(lat).persist()
     inside = inside_scan(edges, ax, ay)
+    inside = inside.persist() if weights else inside
     if not weights:
         return inside.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.lit(1.0).alias("weight"))
     x = ax.select(F.col("i"), F.col("centre").alias("lon"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))

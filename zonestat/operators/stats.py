@@ -2,8 +2,8 @@
 
 A slab is a table with time, latitude, longitude and values; a mask has latitude, longitude and weight.
 Masks are joined by rounded coordinates and may hold many places (then with ``place_id``): one pass over
-the slab serves them all. Spark broadcasts a mask where its size allows; a mask with a column place_id
-gives rows by place.
+the slab serves them all, and gives rows by place. ``small_side(mask)`` checks a mask's size and has it
+broadcast, so that the slab isn't shuffled for the join; a larger mask is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +16,17 @@ from ..functions.columns import cell_key, class_code, month_of, quantile, ratio,
 GRID_DECIMALS, POINT_DECIMALS = 3, 5
 
 
+#: Most rows of a mask that is broadcast: 32 bytes each.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, most_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, computed once and kept, with a broadcast hint if it has at most ``most_rows`` rows."""
+    kept = df.persist()
+    few = kept.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(kept) if few else kept
+
+
 def _places(mask: DataFrame) -> list[str]:
     return ["place_id"] if "place_id" in mask.columns else []
 

@@ -78,8 +78,10 @@ JOINED = """joined AS (
 
 
 def box_mask(spark: SparkSession) -> DataFrame:
+    from ..operators.stats import small_side
+
     lon, lat = axes(spark)
-    return M.grid_mask(edges(spark, "box"), lon, lat).drop("place_id")
+    return small_side(M.grid_mask(edges(spark, "box"), lon, lat).drop("place_id"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +94,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.stats import stations
+    from ..operators.stats import small_side, stations
 
-    return stations(points(spark, sf_dir)).where((F.col("latitude") > 30.045) & (F.col("longitude") < -120.055)).withColumn("weight", F.lit(1.0))
+    return small_side(stations(points(spark, sf_dir)).where((F.col("latitude") > 30.045) & (F.col("longitude") < -120.055)).withColumn("weight", F.lit(1.0)))
 
 
 POINTS = """pts AS (
