@@ -126,7 +126,7 @@ def fit(ordinary: list[bytes], toxic: list[bytes]) -> Model:
     found = [b"\n".join(r) for t in distinct if (r := runs(t, wanted))]
     parts = [f[i : i + 256] for f in found for i in range(0, len(f), 256)]
     common = _dictionary([w for t in ordinary for w in windows(t) if len(w) > 8], ORDINARY_BYTES, 64, 8)
-    model = Model(common, _dictionary(parts, TOXIC_BYTES, 16, 6), np.zeros(7), np.zeros(6), np.ones(6))
+    model = Model(common, _dictionary(parts, TOXIC_BYTES, 64, 6), np.zeros(7), np.zeros(6), np.ones(6))
     x = np.array([model.features(t) for t in ordinary + toxic])
     model.weights, model.centre, model.scale = calibrate(x, np.r_[np.zeros(len(ordinary)), np.ones(len(toxic))])
     return model
