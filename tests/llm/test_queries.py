@@ -37,3 +37,24 @@ def test_pipeline(spark, sf, tmp_path):
     assert [name for name, _ in P.STAGES] == ["language", "exact", "near", "mixture", "tokens"]
     assert n[0] >= n[1] >= n[2] >= n[3] and n[1] > 0.9 * n[0] and n[5] == n[4]
     assert P.run(spark, sf).count() == n[5]
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs_of, clash, sf):
+    import corpus_pipeline as P
+
+    rows = [(k, f"the small house number {k} stands by the old river and waits {k * 7}", "en", "s") for k in range(30)]
+    rows += [(40, None, "en", None), (41, "", "en", "s"), (42, "das Haus " * 30_000, None, None), (None, "a house without a number", "en", "s"), (44, "THE small house", "en", "t"), (45, "the SMALL house", "en", "t"), (45, "the SMALL house", "en", "t")]
+    docs = clash(docs_of(rows)).selectExpr("*", "1 AS taken_id", "2 AS taken_copies", "3 AS lettered", "4 AS keep_id")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, sf)
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0 and empty.columns == out.columns
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        if name != "tokens":
+            assert out.columns == docs.columns
+        if name == "language":
+            assert 40 not in ids and 41 not in ids and None in ids and 0 in ids
+        if name == "exact":
+            assert ids.count(45) == 1 and 44 not in ids and ids.count(None) == 1
+        if name == "near":
+            assert 44 not in ids or 45 not in ids
