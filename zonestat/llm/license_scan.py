@@ -14,6 +14,9 @@ rows are repeated in the result. Other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +44,30 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
 
 
-def template_terms(docs: DataFrame, text_col: str, templates: dict[str, str]) -> DataFrame:
-    """Weights of each template's terms (template, rank, term, idf, weight): one row for each, as few as the templates."""
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(k, i, text) for i, (k, text) in enumerate(templates.items())], "template string, rank int, notice string")
+def template_terms(docs: DataFrame, text_col: str, templates: dict[str, str]) -> tuple[DataFrame, float]:
+    """Weights of each template's terms (template, rank, term, idf, weight), one row for each, as few as the templates;
+    and the inverse document frequency of terms that no document has."""
+    rows = docs.sparkSession.createDataFrame([(k, i, text) for i, (k, text) in enumerate(templates.items())], "template string, rank int, notice string")
     tf = rows.select("template", "rank", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "rank", "term").agg(F.count("*").alias("tf"))
-    vocabulary = F.broadcast(tf.agg(F.collect_set("term").alias("vocabulary")))  # a handful of words
-    seen = docs.select(terms(F.col(text_col)).alias("words")).crossJoin(vocabulary).select(F.explode(F.array_intersect("words", "vocabulary")).alias("term"))
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for text in templates.values() for t in re.findall(TERM, text.lower())})])
+    seen = docs.select(F.explode(F.array_intersect(terms(F.col(text_col)), vocabulary)).alias("term"))
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("docs"))
-    idf = (F.log((F.col("docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
-    weighed = tf.join(F.broadcast(df), "term", "left").crossJoin(F.broadcast(n)).select("template", "rank", "term", "tf", idf, F.log(F.col("docs") + 1.0).alias("unseen"))
+    n = docs.count()
+    idf = (F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
+    weighed = tf.join(F.broadcast(df), "term", "left").select("template", "rank", "term", "tf", idf)
     norm = weighed.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
-    return weighed.join(F.broadcast(norm), "template").select("template", "rank", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"), (F.col("unseen") + 1).alias("unseen"))
+    return weighed.join(F.broadcast(norm), "template").select("template", "rank", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")), math.log(n + 1) + 1
 
 
 def own_licences(files: DataFrame, templates: dict[str, str]) -> DataFrame:
     """Best licence of each file that has one (id, own, score)."""
-    model = cut(template_terms(files, "text", templates))  # small, and used four times
+    model, unseen = template_terms(files, "text", templates)
+    model = cut(model)  # small, and used three times
     cue = lower_ascii(F.col("text")).rlike(CUE)
     lines = files.where(cue).select("id", F.posexplode(F.split(lower_ascii(F.col("text")), "\n")).alias("line", "words")).where(F.col("words").rlike(CUE))
     tf = lines.select("id", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("id", "line", "term").agg(F.count("*").alias("tf"))
     idf = model.groupBy("term").agg(F.first("idf").alias("idf"))
-    unseen = model.agg(F.first("unseen").alias("unseen"))
-    vectors = tf.join(F.broadcast(idf), "term", "left").crossJoin(F.broadcast(unseen)).withColumn("x", F.col("tf") * F.coalesce("idf", "unseen"))
+    vectors = tf.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     by_template = model.groupBy("term").agg(F.collect_list(F.struct("template", "rank", "weight")).alias("in"))
     parts = vectors.join(F.broadcast(by_template), "term", "left")
     square = F.sum(F.when(F.col("first"), F.pow("x", F.lit(2))).otherwise(0.0))

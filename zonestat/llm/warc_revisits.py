@@ -46,10 +46,10 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """Per record: id, url_key, kind, outcome (response, resolved, mismatch, unverified or orphan), response_id, headers."""
     given = records.select("id", F.when(F.col("url").isNotNull(), F.concat(F.lit("u"), canonical_url(F.col("url")))).otherwise("").alias("url_key"), "at", "kind", "etag", "last_modified", "headers")
     light = given.drop("headers")
-    span = light.agg(F.min("at").alias("from"), F.max("at").alias("to"))
-    second = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    width = F.greatest(F.floor((second("to") - second("from")) / F.lit(slices)) + 1, F.lit(1))
-    light = light.crossJoin(F.broadcast(span)).withColumn("slice", F.floor((second("at") - second("from")) / width)).drop("from", "to")
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    first, last = light.agg(F.min(micros), F.max(micros)).first()
+    width = max(1, ((last or 0) - (first or 0)) // slices + 1)
+    light = light.withColumn("slice", F.floor((micros - F.lit(first or 0)) / F.lit(width)))
     full = F.when((F.col("kind") == "response") & F.col("at").isNotNull(), F.struct("at", "id", "etag", "last_modified"))
     order = Window.partitionBy("url_key", "slice").orderBy("at", F.col("kind") != "response", "id").rowsBetween(Window.unboundedPreceding, 0)
     near = light.withColumn("found", F.last(full, ignorenulls=True).over(order))
