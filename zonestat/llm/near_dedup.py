@@ -7,10 +7,10 @@ longest prefixes. Depth adapts to the region: where few documents share a prefix
 SHALLOW values are candidates; in dense regions only the nearest, which share more, are (REACH).
 Candidates whose one-bit sketches or set sizes rule out the wanted similarity go at once.
 
-Links are confirmed on full shingle sets, in three rounds: first every document of a candidate group
-against the group's least; then, of candidates that join documents which no confirmed path connects
-yet, the most similar of each document; finally all that are left. A group of n copies costs about n checks, and no
-candidate between unconnected documents stays unchecked. Documents with equal sets are one vertex.
+Links are confirmed on full shingle sets, in two rounds: first every document of a group of likely
+copies against the group's least; then all candidates that join documents which no confirmed path
+connects yet. A group of n copies costs about n checks, and no candidate between unconnected documents
+stays unchecked. Documents with equal sets are one vertex.
 Components come from contracting the graph of links, in DataFrame joins.
 
 Nulls and texts without words: n_shingles 0, linked with nothing. Shorter texts than five words have
@@ -39,6 +39,8 @@ REACH = {2: 12, 3: 10, 4: 6, 5: 4, 6: 3, 7: 2, 8: 2}
 FAR = max(REACH.values())
 #: Least share of agreeing one-bit values: 4.3 standard deviations under that of similarity 0.75.
 AGREE = 96
+#: Agreement that is as likely above similarity 0.75 as below: such candidates are confirmed first.
+LIKELY = 112
 #: Rows that a range partition of the forest should hold, about.
 ROWS = 200_000
 
@@ -276,26 +278,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     vertices = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(given.join(vertices, "id").dropDuplicates(["id"]))
-    groups = components(vertices, pairs)
-    labels = vertices.select("id", F.col("id").alias("label"))
-    open_ = tested = None
-    for turn in range(3):
-        if turn == 0:  # each against the least of its candidate group
-            chosen = groups.where("label < id").select(F.col("label").alias("a"), F.col("id").alias("b"))
-        elif turn == 1:  # the most similar open candidate of each document
-            ends = open_.select("a", "b", F.explode(F.array("a", "b")).alias("of"), F.struct("agree", "a", "b").alias("rank"))
-            chosen = ends.groupBy("of").agg(F.max("rank").alias("rank")).select("rank.a", "rank.b").distinct()
-        else:
-            chosen = open_.select("a", "b")
-        chosen = cut(chosen)
-        if not chosen.limit(1).count():
-            break
-        sure = cut(confirm(chosen, texts))
-        labels = joined(labels, sure)
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-        apart = (pairs if open_ is None else open_).select("a", "b", "agree").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
-        open_ = cut(apart.select("a", "b", "agree").join(tested, ["a", "b"], "left_anti"))
+    # each against the least of its group of likely copies
+    groups = components(vertices, pairs.where(F.col("agree") >= LIKELY))
+    stars = cut(groups.where("label < id").select(F.col("label").alias("a"), F.col("id").alias("b")))
+    labels = joined(vertices.select("id", F.col("id").alias("label")), cut(confirm(stars, texts)))
+    # all candidates that join documents which no confirmed path connects
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
+    open_ = cut(apart.select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    labels = joined(labels, cut(confirm(open_, texts)))
     members = sketched.select("id", F.col("n").alias("n_shingles"), "name").join(classes.withColumnRenamed("n", "n_shingles"), ["name", "n_shingles"], "left")
     members = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
