@@ -3,14 +3,16 @@
 A document's signature is TREES runs of DEPTH min-hash values. For each tree, all documents are put
 in the order of their run (a global sort: range partitions, streams inside them, and the few rows at
 their edges put together once more), so that the neighbours of a document are those that share its
-longest prefixes. Depth adapts to the region: where few documents share a prefix, all that share
-SHALLOW values are candidates; in dense regions only the nearest, which share more, are (REACH).
-Candidates whose one-bit sketches or set sizes rule out the wanted similarity go at once.
-
-Links are confirmed on full shingle sets, in two rounds: first every document of a group of likely
-copies against the group's least; then all candidates that join documents which no confirmed path
-connects yet. A group of n copies costs about n checks, and no candidate between unconnected documents
-stays unchecked. Documents with equal sets are one vertex.
+longest prefixes. All that share SHALLOW values of a tree are candidates; those that lie near (REACH) are
+met in the sorted order, the others in a pass over dense runs.
+Candidates whose sketches or set sizes rule out the wanted similarity go at once.
+
+Links are confirmed on full shingle sets: first every document of a group of likely copies against the
+group's least; then all near candidates that join documents which no confirmed path connects yet. Then
+the runs longer than their reach that several components still have: the members outside the run's
+largest component meet all of its members in blocks, likely originals first and more in each round,
+until every pair is confirmed, ruled out or connected. A group of n copies costs about n checks, and no
+candidate between unconnected documents stays unchecked. Documents with equal sets are one vertex.
 Components come from contracting the graph of links, in DataFrame joins.
 
 Nulls and texts without words: n_shingles 0, linked with nothing. Shorter texts than five words have
@@ -41,6 +43,14 @@ FAR = max(REACH.values())
 AGREE = 96
 #: Agreement that is as likely above similarity 0.75 as below: such candidates are confirmed first.
 LIKELY = 112
+#: The longest run whose members all lie within each other's reach.
+SHORT = min(REACH.values()) + 1
+#: Members of a longer run that a block should hold, about.
+BLOCK = 512
+#: Least number of equal signature values: 4.3 standard deviations under that of similarity 0.75.
+ALIKE = 75
+#: Partners of a block that a member has been held against after each round; the last takes all.
+PARTNERS = (2, 16, 1 << 30)
 #: Rows that a range partition of the forest should hold, about.
 ROWS = 200_000
 
@@ -267,6 +277,98 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
+def dense(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of runs, which share SHALLOW values of a tree, that are longer than any reach and that several components have.
+
+    Each has its label, its block and the run's blocks: the first ``opened`` hold members outside the run's largest component.
+    """
+    prefix = F.conv(F.hex(F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * SHALLOW))), 16, 10).cast("long")
+    forest = reps.join(labels, "id").select("id", "label", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    forest = forest.select("id", "label", (prefix + F.col("tree") * F.lit(1 << (16 * SHALLOW))).alias("run"))
+    shares = forest.groupBy("run", "label").agg(F.count("*").alias("m"))
+    runs = shares.groupBy("run").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top")).where((F.col("size") > SHORT) & (F.col("size") > F.col("top.m")))
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    runs = runs.select("run", F.col("top.label").alias("largest"), blocks(F.col("size") - F.col("top.m")).alias("opened"), blocks(F.col("top.m")).alias("closed"))
+    salt = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+    block = F.when(F.col("label") == F.col("largest"), F.col("opened") + salt(F.col("closed"))).otherwise(salt(F.col("opened")))
+    placed = forest.join(runs, "run").select("run", "id", "label", "opened", (F.col("opened") + F.col("closed")).alias("blocks"), block.alias("block"))
+    return placed.join(reps.select("id", "n", "signature"), "id")
+
+
+def _of_blocks(here: np.ndarray, there: np.ndarray, same: bool, n, label, now, signature, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of two blocks that may be links between components, of rank lo to hi in the order of either's partners."""
+    x, y = signature[here], signature[there]
+    if len(here) * len(there) <= 1 << 14:
+        agree = (x[:, None] == y[None]).sum(axis=2)
+    else:
+        agree = np.zeros((len(here), len(there)), np.int64)
+        for k in range(HASHES):
+            agree += x[:, k, None] == y[None, :, k]
+    p, q = n[here][:, None], n[there][None]
+    ok = (agree >= ALIKE) & (4 * np.minimum(p, q) >= 3 * np.maximum(p, q)) & (label[here][:, None] != label[there][None])
+    if not ok.any():
+        return here[:0], there[:0]
+    # an original is like more of the others than a copy is: it comes first
+    score = np.where(ok, agree, 0.0)
+    rank = lambda z, axis: np.argsort(np.argsort(-np.where(ok, z, -1.0), axis=axis, kind="stable"), axis=axis, kind="stable")
+    best = np.minimum(rank(score + score.mean(axis=0)[None], 1), rank(score + score.mean(axis=1)[:, None], 0))
+    ok &= (best >= lo) & (best < hi) & (now[here][:, None] != now[there][None])
+    i, j = np.nonzero(np.triu(ok) if same else ok)
+    return here[i], there[j]
+
+
+def _propose(lo: int, hi: int):
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["run", "p", "q", "block", "id", "n", "label", "now"]
+
+        def pairs(cols: list[np.ndarray], end: int) -> pa.RecordBatch:
+            run, p, q, block, ids, n, label, now, signature = (c[:end] for c in cols)
+            first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if end else np.zeros(0, np.int64)
+            found = []
+            for at, to in zip(first, np.r_[first[1:], end], strict=True):
+                mine = np.arange(at, to)
+                if (now[at:to] == now[at]).all():
+                    continue
+                i, j = _of_blocks(mine[block[at:to] == p[at]], mine[block[at:to] == q[at]], p[at] == q[at], n, label, now, signature, lo, hi)
+                found.append((run[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+            out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["run", "a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signature = np.frombuffer(b"".join(s.as_py() for s in batch.column("signature")), np.uint16).reshape(-1, HASHES)
+            new = [*(batch.column(c).to_numpy() for c in names), signature]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            open_ = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+            end = int(np.argmax(open_))  # the last pair of blocks may go on
+            yield pairs(held, end)
+            held = [c[end:] for c in held]
+        if held is not None:
+            yield pairs(held, len(held[0]))
+
+    return propose
+
+
+def settle(reps: DataFrame, labels: DataFrame, given: DataFrame, checked: DataFrame) -> DataFrame:
+    """Labels after the confirmation of all candidates of dense runs that aren't connected yet. ``checked``: pairs that are settled."""
+    members = cut(dense(reps, labels))
+    for lo, hi in zip((0, *PARTNERS[:-1]), PARTNERS, strict=True):
+        now = members.join(labels.withColumnRenamed("label", "now"), "id")
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("opened"), F.col("blocks")).otherwise(F.col("opened")) - 1)).alias("other")
+        met = now.select("run", "block", "id", "n", "label", "now", "signature", other)
+        met = met.select("run", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n", "label", "now", "signature")
+        proposed = cut(met.repartition("run", "p", "q").sortWithinPartitions("run", "p", "q").mapInArrow(_propose(lo, hi), "run long, a long, b long"))
+        if lo == 0:  # runs without a first partner have none
+            members = cut(members.join(proposed.select("run").distinct(), "run", "left_semi"))
+        pairs = cut(proposed.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            labels = joined(labels, cut(confirm(pairs, cut(given.join(ids, "id").dropDuplicates(["id"])))))
+    return labels
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -287,6 +389,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     apart = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
     open_ = cut(apart.select("a", "b").join(stars, ["a", "b"], "left_anti"))
     labels = joined(labels, cut(confirm(open_, texts)))
+    every = cut(reps.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+    labels = settle(reps, every, given, pairs.select("a", "b"))
     members = sketched.select("id", F.col("n").alias("n_shingles"), "name").join(classes.withColumnRenamed("n", "n_shingles"), ["name", "n_shingles"], "left")
     members = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
