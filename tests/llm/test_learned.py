@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from zonestat.llm import language_id as L
-from zonestat.llm.toxicity import calibrate, fit, grams, runs, toxicity, windows
+from zonestat.llm.toxicity import apart, calibrate, fit, grams, runs, toxicity, windows
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -87,3 +87,16 @@ def test_toxicity_parts():
     w, _, _ = calibrate(np.array([[0.0], [1.0], [0.0], [1.0]]), np.array([0.0, 1, 0, 1]))
     assert w[1] > 0
     assert fit([b"good text here"] * 3, [b"bad text there"] * 3).score(np.zeros((1, 6))).shape == (1,)
+
+
+def test_a_common_header_makes_no_copies():
+    rng = np.random.default_rng(3)
+    fill = lambda n: b" ".join(b"w%d" % k for k in rng.integers(0, 10**6, n))
+    header = b"this notice of seventy bytes stands before each of the texts of a source. " * 2
+    bad = [header + fill(20) + b" horriblebadword " + fill(20) for _ in range(40)]
+    good = [header + fill(40) for _ in range(40)]
+    model = fit(good, bad)
+    score = lambda t: model.score(model.features(t)[None])[0]
+    assert b"horriblebadword" in model.toxic
+    assert score(header + fill(20) + b" horriblebadword " + fill(20)) > 0.7 > score(header + fill(40))
+    assert len(apart(bad)) == 40 and len(apart([t + b" end" for t in bad] + bad + bad)) == 40

@@ -2,7 +2,7 @@
 
 Two dictionaries are trained on labelled text: one on ordinary windows, one on what recurs in toxic
 texts and never occurs in ordinary ones (runs of bytes whose n-grams are in several distinct toxic
-texts and in no ordinary one). Every window of every whole text is compressed with the ordinary
+texts and in no ordinary one; of near copies, told by their whole sampled texts, one counts). Every window of every whole text is compressed with the ordinary
 dictionary, and with both put together: the bytes that the toxic dictionary saves are the window's
 distance. A logistic calibration, fitted by Newton's method to the same bounded sample, maps a text's
 distances to a score between 0 and 1; 0.7 and more is predicted toxic.
@@ -37,6 +37,8 @@ LEVEL = 3
 #: A toxic n-gram is in at least this many, and this share, of the distinct toxic texts.
 LEAST, SHARE = 3, 0.03
 THRESHOLD = 0.7
+#: Toxic texts that share this much of their n-grams are near copies; they meet by one of so many least hashes.
+COPY, PROBES = 0.8, 16
 
 
 @lru_cache(maxsize=8)
@@ -114,10 +116,28 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return w, centre, scale
 
 
+def apart(texts: list[bytes]) -> list[bytes]:
+    """Texts without near copies, of which the first stays: whole texts are compared, by the overlap of their n-grams."""
+    first: dict[int, list[int]] = {}
+    kept: list[tuple[bytes, np.ndarray]] = []
+    for t in dict.fromkeys(texts):
+        mine = np.unique(grams(t))
+        least = np.sort((mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40))[:PROBES].tolist()
+        for i in sorted({i for h in least for i in first.get(h, ())}):
+            both = len(np.intersect1d(mine, kept[i][1], assume_unique=True))
+            if both >= COPY * (len(mine) + len(kept[i][1]) - both):
+                break
+        else:
+            for h in least:
+                first.setdefault(h, []).append(len(kept))
+            kept.append((t, mine))
+    return [t for t, _ in kept]
+
+
 def fit(ordinary: list[bytes], toxic: list[bytes]) -> Model:
     ordinary, toxic = [t.lower() for t in ordinary], [t.lower() for t in toxic]
     count = np.zeros(1 << SLOTS, np.int32)
-    distinct = list({t[:WINDOW]: t for t in toxic}.values())  # near copies start alike: one of them votes
+    distinct = apart(toxic)
     for t in distinct:
         count[np.unique(grams(t))] += 1
     wanted = count >= max(LEAST, int(SHARE * len(distinct)))
