@@ -100,3 +100,15 @@ def test_a_common_header_makes_no_copies():
     assert b"horriblebadword" in model.toxic
     assert score(header + fill(20) + b" horriblebadword " + fill(20)) > 0.7 > score(header + fill(40))
     assert len(apart(bad)) == 40 and len(apart([t + b" end" for t in bad] + bad + bad)) == 40
+
+
+def test_the_sample_is_full_and_holds_every_language(spark, docs_of, monkeypatch):
+    common = [(k, f"the house number {k} is old", "en" if k % 60 == 0 else None, "s") for k in range(12000)]
+    rare = [(20000 + k, f"das Haus Nummer {k} ist alt", "de", "s") for k in range(3)]
+    seen = {}
+    fit = L.ByteConvNet.fit
+    monkeypatch.setattr(L.ByteConvNet, "fit", lambda net, x, y, **more: (seen.update(n=np.bincount(y).tolist(), classes=net.classes), fit(net, x, y, **more)))
+    docs = docs_of(common + rare)
+    L.train(docs, "doc_id", "text", "lang", sample=60)
+    assert seen["classes"] == ["de", "en"] and seen["n"][0] >= 1 and 59 <= sum(seen["n"]) <= 60
+    assert L.quotas({"a": 10**9, "b": 5}, 4000)["b"] == 5 and L.quotas({"a": 3, "b": 5}, 4000) == {"a": 3, "b": 5}

@@ -2,7 +2,8 @@
 
 Bytes are embedded, convolved with filters of several widths, max-pooled over a window and mapped to
 languages by a softmax. The network is trained in numpy on the driver, on at most ``sample`` windows
-of labelled text (a documented bound; one window per document, at a place that its id's hash gives).
+of labelled text (a documented bound; one window per document, at a place that its id's hash gives),
+which are shared out by the counts of eligible rows, so that every language is learned at every size.
 Every whole text is then read in fixed-length windows, in batches: a document's language has the
 largest mean log-probability over its windows, weighted by their bytes.
 
@@ -29,6 +30,8 @@ FILTERS = 12
 EMBED = 8
 #: Most training windows that come to the driver.
 SAMPLE = 4000
+#: Windows that a language has in the sample at least, if it has so many rows.
+FEW = 100
 #: Steps of Adam, over however many passes of the sample.
 STEPS = 350
 BATCH = 64
@@ -166,18 +169,36 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Training windows of each language, ``sample`` in all if there are so many: in proportion to its rows, but FEW at least
+    (less where that many don't fit for all)."""
+    few = max(1, min(FEW, sample // len(counts)))
+    least = {k: min(n, few) for k, n in counts.items()}
+    left = max(0, min(sample, sum(counts.values())) - sum(least.values()))
+    over = sum(counts.values()) - sum(least.values())
+    return {k: least[k] + (left * (n - least[k]) // over if over else 0) for k, n in counts.items()}
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Folded | None:
     """A network fitted to rows whose crc32(id) mod 3 isn't 1; None if no row has a label."""
     ids = F.col(id_col).cast("string")
     place = F.pmod(F.xxhash64(ids, F.lit("place")), F.greatest(F.lit(1), F.length(text_col) - WINDOW)).cast("int") + 1
-    # about three times the sample passes the threshold, however many rows there are: tasks send little to the driver
-    share = min(1.0, 3 * sample / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(ids, F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40))
+    label = F.col(label_col).cast("string")
+    eligible = docs.where(F.col(label_col).isNotNull() & (F.crc32(ids.cast("binary")) % 3 != 1) & F.col(text_col).rlike(r"\p{L}"))
+    counts = {r["label"]: r["n"] for r in eligible.groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return None
+    wanted = quotas(counts, sample)
+    # somewhat more than its quota of each language passes the threshold, however many rows there are: tasks send little to the driver
+    most = {k: min(1.0, (2 * q + 40) / counts[k]) for k, q in wanted.items()}
+    bound = F.create_map(*[F.lit(x) for k in most for x in (k, int(most[k] * (1 << 40)))])
+    drawn = F.pmod(F.xxhash64(ids, F.lit("sample")), F.lit(1 << 40)) < F.element_at(bound, label)
     rows = (
-        docs.where(drawn & F.col(label_col).isNotNull() & (F.crc32(ids.cast("binary")) % 3 != 1) & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.xxhash64(ids).alias("at"), F.substring(text_col, place, F.lit(WINDOW)).alias("window"), F.col(label_col).cast("string").alias("label"))
-        .orderBy("at", "window", "label").limit(sample).toPandas()
+        eligible.where(drawn)
+        .select(F.xxhash64(ids).alias("at"), F.substring(text_col, place, F.lit(WINDOW)).alias("window"), label.alias("label")).toPandas()
+        .sort_values(["at", "window", "label"])
     )
+    rows = rows[rows.groupby("label").cumcount() < rows["label"].map(wanted)]
     if rows.empty:
         return None
     classes = sorted(rows["label"].unique())
