@@ -3,17 +3,22 @@
 A document's signature is TREES runs of DEPTH min-hash values. For each tree, all documents are put
 in the order of their run (a global sort: range partitions, streams inside them, and the few rows at
 their edges put together once more), so that the neighbours of a document are those that share its
-longest prefixes. All that share SHALLOW values of a tree are candidates; those that lie near (REACH) are
-met in the sorted order, the others in a pass over dense runs.
-Candidates whose sketches or set sizes rule out the wanted similarity go at once.
+longest prefixes. The depth adapts to the region: where at most REGION rows share a prefix of SHALLOW
+values or more, all their pairs are candidates; where more do, a row's candidates are the smaller regions
+further down and its direct neighbour. Candidates whose sketches or set sizes rule out the wanted
+similarity go at once.
 
 Links are confirmed on full shingle sets: first every document of a group of likely copies against the
-group's least; then all near candidates that join documents which no confirmed path connects yet. Then
-the runs longer than their reach that several components still have: the members outside the run's
-largest component meet all of its members in blocks, likely originals first and more in each round,
-until every pair is confirmed, ruled out or connected. A group of n copies costs about n checks, and no
-candidate between unconnected documents stays unchecked. Documents with equal sets are one vertex.
-Components come from contracting the graph of links, in DataFrame joins.
+group's least; then all candidates that join documents which no confirmed path connects yet. Regions
+at SHALLOW that hold more rows, of several components, are then completed by their rarest shingles:
+two sets of similarity 0.75 share one of their rarest quarter, at places that leave room for enough
+others. Documents that share such a shingle meet the one of them that has the fewest rare shingles (an
+original among its copies); then, those that are still apart, each other in blocks. No pair is left
+out, whatever the region's size; a crowd that shares less than 0.75 has no shingle in common that early,
+so it costs next to nothing. Documents with equal sets are one vertex. Components come from contracting
+the graph of links, in DataFrame joins.
+
+Sets are of 64-bit hashes of shingles; equal sets are told by a 128-bit digest of all of them.
 
 Nulls and texts without words: n_shingles 0, linked with nothing. Shorter texts than five words have
 their whole sequence as one shingle. A null id is linked with nothing and kept (component_id null).
@@ -23,6 +28,7 @@ Rows that repeat an id are one vertex. Other columns are ignored; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -36,23 +42,25 @@ from .shingles import mix, shingle_hashes, shingle_sets, steps, word_hashes
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
 SHALLOW = 2
-#: How many neighbours back a document looks that share so many values with it.
-REACH = {2: 12, 3: 10, 4: 6, 5: 4, 6: 3, 7: 2, 8: 2}
-FAR = max(REACH.values())
+#: Rows with a common prefix up to which all pairs are candidates; in larger regions, direct neighbours are.
+REGION = 12
 #: Least share of agreeing one-bit values: 4.3 standard deviations under that of similarity 0.75.
 AGREE = 96
 #: Agreement that is as likely above similarity 0.75 as below: such candidates are confirmed first.
 LIKELY = 112
-#: The longest run whose members all lie within each other's reach.
-SHORT = min(REACH.values()) + 1
-#: Members of a longer run that a block should hold, about.
+#: Documents with a common rare shingle that a block should hold, about.
 BLOCK = 512
-#: Least number of equal signature values: 4.3 standard deviations under that of similarity 0.75.
-ALIKE = 75
-#: Partners of a block that a member has been held against after each round; the last takes all.
-PARTNERS = (2, 16, 1 << 30)
+#: Shingles of large regions are counted in 2 ** BUCKETS counters, 4 bytes each: all that is broadcast. The
+#: counts order shingles, so fewer counters than shingles cost time, never links.
+BUCKETS = 20
+#: Tasks that documents with one rare shingle are dealt to when they meet the first of them.
+SALTS = 8
+#: Partners in a block that a document is held against at a time, the likeliest first; the last takes all.
+PARTNERS = (2, 1 << 30)
 #: Rows that a range partition of the forest should hold, about.
 ROWS = 200_000
+#: Rows from the edges of partitions that a group should hold, about.
+EDGES = 10_000
 
 _rng = np.random.default_rng(5)
 _MULTIPLY = _rng.integers(1 << 31, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -94,18 +102,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, owner = h[first], owner[first]
             n = np.bincount(owner, minlength=len(texts))
             values = signatures(h, n)
-            # a set's name: two independent sums over its members
-            names = np.zeros((len(texts), 2), np.uint64)
-            some = np.flatnonzero(n)
-            if len(some):
-                begin = (np.cumsum(n) - n)[some]
-                names[some, 0], names[some, 1] = np.add.reduceat(h, begin), np.add.reduceat(mix(h + np.uint64(77)), begin)
+            names = [blake2b(x.tobytes(), digest_size=16).digest() for x in np.split(h, np.cumsum(n)[:-1])]  # members are sorted
             low = (mix(values.astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2")
             bits = np.packbits(low.astype(np.uint8) & 1, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(texts)), pa.array(n.astype(np.int64)),
-                    pa.array([x.tobytes() for x in names], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()),
+                    pa.array(names, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()),
                 ],
                 names=["id", "n", "name", "signature", "bits"],
             )
@@ -116,18 +119,26 @@ _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 def _near(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, n: np.ndarray, ids: np.ndarray, fresh: int, part: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Candidate pairs of rows in forest order, of which the first ``fresh`` were there before: a, b, agreeing bits."""
+    head = np.ascontiguousarray(key[:, :SHALLOW])
+
+    def shared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.where(tree[i] == tree[j], np.cumprod(key[i] == key[j], axis=1).sum(axis=1), 0)
+
     found = []
-    for s in range(1, min(FAR, len(ids) - 1) + 1):
+    for s in range(1, min(REGION, len(ids))):
         j = np.arange(max(fresh, s), len(ids))
         i = j - s
-        ok = (tree[i] == tree[j]) & (key[i, : SHALLOW] == key[j, : SHALLOW]).all(axis=1)
+        ok = (tree[i] == tree[j]) & (head[i] == head[j]).all(axis=1)
         ok &= (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
         if part is not None:
             ok &= part[i] != part[j]
         i, j = i[ok], j[ok]
-        shared = np.cumprod(key[i] == key[j], axis=1).sum(axis=1)
-        ok = s <= np.array([REACH.get(d, 0) for d in range(DEPTH + 1)])[shared]
-        i, j = i[ok], j[ok]
+        if s > 1:  # no more than REGION rows share what the two do: the row so far back shares less
+            over = np.zeros(len(j), np.int64)
+            deep = j >= REGION
+            over[deep] = shared(j[deep] - REGION, j[deep])
+            ok = over < shared(i, j)
+            i, j = i[ok], j[ok]
         agree = HASHES - _POPULATION[bits[i] ^ bits[j]].sum(axis=1, dtype=np.int64)
         ok = agree >= AGREE
         i, j, agree = i[ok], j[ok], agree[ok]
@@ -171,19 +182,19 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = len(rows[0]) - len(new[0])
         yield out(pairs=_near(*rows, fresh))
         total += len(new[0])
-        if first is None or len(first[0]) < FAR:
-            first = tuple(x[:FAR] for x in (new if first is None else tuple(np.concatenate(y) for y in zip(first, new, strict=True))))
-        held = tuple(x[-FAR:] for x in rows)
+        if first is None or len(first[0]) < REGION:
+            first = tuple(x[:REGION] for x in (new if first is None else tuple(np.concatenate(y) for y in zip(first, new, strict=True))))
+        held = tuple(x[-REGION:] for x in rows)
     if held is not None:
         yield out(rows=first)
-        keep = min(FAR, total - len(first[0]))
+        keep = min(REGION, total - len(first[0]))
         if keep > 0:
             yield out(rows=tuple(x[-keep:] for x in held))
 
 
 def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates between range partitions, of one tree's rows at their edges."""
-    pdf = pdf.sort_values(["key", "a"], kind="stable")
+    """Candidates between range partitions, of rows at their edges; rows that share SHALLOW values come together."""
+    pdf = pdf.sort_values(["tree", "key", "a"], kind="stable")
     key = np.frombuffer(b"".join(pdf["key"]), ">u2").reshape(len(pdf), DEPTH).astype(np.uint16)
     bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), HASHES // 8)
     a, b, agree = _near(pdf["tree"].to_numpy(), key, bits, pdf["n"].to_numpy(), pdf["a"].to_numpy(), 0, pdf["part"].to_numpy())
@@ -200,7 +211,9 @@ def candidates(reps: DataFrame, rows: int) -> DataFrame:
         .mapInArrow(_stream, "kind byte, a long, b long, agree long, part long, tree long, key binary, bits binary, n long")
     )
     inside = found.where("kind = 0").select("a", "b", "agree")
-    across = found.where("kind = 1").select("a", "part", "tree", "key", "bits", "n").groupBy("tree").applyInPandas(_edges, "a long, b long, agree long")
+    groups = max(1, parts * 2 * REGION // EDGES)
+    edges = found.where("kind = 1").select("a", "part", "tree", "key", "bits", "n", F.pmod(F.xxhash64("tree", F.substring("key", 1, 2 * SHALLOW)), F.lit(groups)).alias("group"))
+    across = edges.groupBy("group").applyInPandas(_edges, "a long, b long, agree long")
     return inside.unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
@@ -278,68 +291,131 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def dense(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of runs, which share SHALLOW values of a tree, that are longer than any reach and that several components have.
-
-    Each has its label, its block and the run's blocks: the first ``opened`` hold members outside the run's largest component.
-    """
-    prefix = F.conv(F.hex(F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * SHALLOW))), 16, 10).cast("long")
+    """Ids in regions at SHALLOW that are larger than REGION and that several components have."""
     forest = reps.join(labels, "id").select("id", "label", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    forest = forest.select("id", "label", (prefix + F.col("tree") * F.lit(1 << (16 * SHALLOW))).alias("run"))
-    shares = forest.groupBy("run", "label").agg(F.count("*").alias("m"))
-    runs = shares.groupBy("run").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top")).where((F.col("size") > SHORT) & (F.col("size") > F.col("top.m")))
-    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
-    runs = runs.select("run", F.col("top.label").alias("largest"), blocks(F.col("size") - F.col("top.m")).alias("opened"), blocks(F.col("top.m")).alias("closed"))
-    salt = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
-    block = F.when(F.col("label") == F.col("largest"), F.col("opened") + salt(F.col("closed"))).otherwise(salt(F.col("opened")))
-    placed = forest.join(runs, "run").select("run", "id", "label", "opened", (F.col("opened") + F.col("closed")).alias("blocks"), block.alias("block"))
-    return placed.join(reps.select("id", "n", "signature"), "id")
+    forest = forest.select("id", "label", "tree", F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * SHALLOW)).alias("head"))
+    regions = forest.groupBy("tree", "head").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    large = regions.where((F.col("size") > REGION) & (F.col("low") < F.col("high"))).select("tree", "head")
+    return forest.join(large, ["tree", "head"], "left_semi").select("id").distinct()
 
 
-def _of_blocks(here: np.ndarray, there: np.ndarray, same: bool, n, label, now, signature, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of two blocks that may be links between components, of rank lo to hi in the order of either's partners."""
-    x, y = signature[here], signature[there]
-    if len(here) * len(there) <= 1 << 14:
-        agree = (x[:, None] == y[None]).sum(axis=2)
-    else:
-        agree = np.zeros((len(here), len(there)), np.int64)
-        for k in range(HASHES):
-            agree += x[:, k, None] == y[None, :, k]
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket of shingles in a batch: how many, and the least and largest label of their documents."""
+    for batch in batches:
+        label = batch.column("label").to_numpy()
+        for at, texts in steps(batch.column("text").cast(pa.large_binary())):
+            sets = shingle_sets(texts)
+            bucket = _bucket(np.concatenate(sets))
+            of = np.repeat(label[at : at + len(texts)], [len(x) for x in sets])
+            order = np.argsort(bucket, kind="stable")
+            bucket, of = bucket[order], of[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+            if len(first):
+                cols = [bucket[first], np.diff(np.r_[first, len(bucket)]), np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "m", "low", "high"])
+
+
+_RARE = ["token", "id", "n", "place", "label", "hi", "lo"]
+
+
+def _rarest(table):
+    """Each document's rarest quarter of shingles, and one more: those alone that other components may have.
+
+    Shingles of one component come first in the order, then others by their counter and hash. ``place`` counts from 1.
+    """
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = table.value
+        for batch in batches:
+            ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            bits = batch.column("bits")
+            for at, texts in steps(batch.column("text").cast(pa.large_binary())):
+                out = []
+                for k, x in enumerate(shingle_sets(texts)):
+                    n = len(x)
+                    c = count[_bucket(x)]
+                    crossing = np.flatnonzero(c)
+                    first, most = n - len(crossing), n - -(-3 * n // 4) + 1
+                    if first >= most:
+                        continue
+                    crossing = crossing[np.lexsort((x[crossing], c[crossing]))][: most - first]
+                    place = first + 1 + np.arange(len(crossing))
+                    hi, lo = np.frombuffer(bits[at + k].as_py(), np.int64)
+                    size = len(crossing)
+                    out.append((x[crossing].view(np.int64), np.full(size, ids[at + k]), np.full(size, n), place, np.full(size, label[at + k]), np.full(size, hi), np.full(size, lo)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_RARE)
+
+    return rarest
+
+
+def rarest(texts: DataFrame) -> DataFrame:
+    """Rarest shingles of texts (id, text, bits, label); see ``_rarest``."""
+    spark = texts.sparkSession
+    counted = texts.select("label", "text").mapInArrow(_counted, "bucket long, m long, low long, high long")
+    counted = counted.groupBy("bucket").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    held = counted.select(F.col("bucket").cast("int"), F.least("m", F.lit((1 << 31) - 1)).cast("int").alias("m")).toArrow()  # 2 ** BUCKETS rows at most
+    count = np.zeros(1 << BUCKETS, np.int32)
+    count[held.column("bucket").to_numpy()] = held.column("m").to_numpy()
+    kinds = ", ".join(f"{c} long" for c in _RARE)
+    return cut(texts.select("id", "text", "bits", "label").mapInArrow(_rarest(spark.sparkContext.broadcast(count)), kinds))
+
+
+def with_first(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b): documents and the first by rank of those that share a rare shingle, the two likeliest for each."""
+    about = F.struct((F.col("place") / F.col("n")).alias("rank"), *[c for c in _RARE if c != "token"])
+    firsts = rows.groupBy("token").agg(F.min(about).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    firsts = firsts.select("token", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["token", "salt"]).where(F.col("label") != F.col("f.label"))
+    n, m = F.col("n"), F.col("f.n")
+    room = 7 * (1 + F.least(n - F.col("place"), m - F.col("f.place"))) >= 3 * (n + m)
+    agree = HASHES - F.bit_count(F.col("hi").bitwiseXOR(F.col("f.hi"))) - F.bit_count(F.col("lo").bitwiseXOR(F.col("f.lo")))
+    met = met.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & room).select("id", F.col("f.id").alias("first"), agree.alias("agree")).where(F.col("agree") >= AGREE)
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "first")), False), 1, 2).alias("of"))  # by a document's own shingles
+    return best.select("id", F.explode("of.first").alias("first")).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+
+
+def _of_blocks(here: np.ndarray, there: np.ndarray, same: bool, n, place, label, hi, lo, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of two blocks that may be links between components, the ``most`` likeliest of each document."""
     p, q = n[here][:, None], n[there][None]
-    ok = (agree >= ALIKE) & (4 * np.minimum(p, q) >= 3 * np.maximum(p, q)) & (label[here][:, None] != label[there][None])
+    room = 7 * (1 + np.minimum(p - place[here][:, None], q - place[there][None])) >= 3 * (p + q)
+    ok = room & (4 * np.minimum(p, q) >= 3 * np.maximum(p, q)) & (label[here][:, None] != label[there][None])
     if not ok.any():
         return here[:0], there[:0]
-    # an original is like more of the others than a copy is: it comes first
-    score = np.where(ok, agree, 0.0)
-    rank = lambda z, axis: np.argsort(np.argsort(-np.where(ok, z, -1.0), axis=axis, kind="stable"), axis=axis, kind="stable")
-    best = np.minimum(rank(score + score.mean(axis=0)[None], 1), rank(score + score.mean(axis=1)[:, None], 0))
-    ok &= (best >= lo) & (best < hi) & (now[here][:, None] != now[there][None])
+    agree = HASHES - np.bitwise_count(hi[here][:, None] ^ hi[there][None]).astype(np.int64) - np.bitwise_count(lo[here][:, None] ^ lo[there][None])
+    ok &= agree >= AGREE
+    if most < max(ok.shape):
+        score = np.where(ok, agree, -1)
+        rank = lambda axis: np.argsort(np.argsort(-score, axis=axis, kind="stable"), axis=axis, kind="stable")
+        ok &= np.minimum(rank(0), rank(1)) < most
     i, j = np.nonzero(np.triu(ok) if same else ok)
     return here[i], there[j]
 
 
-def _propose(lo: int, hi: int):
+def _propose(most: int):
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["run", "p", "q", "block", "id", "n", "label", "now"]
+        names = ["token", "p", "q", "block", "id", "n", "place", "label", "hi", "lo"]
 
         def pairs(cols: list[np.ndarray], end: int) -> pa.RecordBatch:
-            run, p, q, block, ids, n, label, now, signature = (c[:end] for c in cols)
-            first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if end else np.zeros(0, np.int64)
+            token, p, q, block, ids, n, place, label, hi, lo = (c[:end] for c in cols)
+            first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if end else np.zeros(0, np.int64)
             found = []
             for at, to in zip(first, np.r_[first[1:], end], strict=True):
                 mine = np.arange(at, to)
-                if (now[at:to] == now[at]).all():
-                    continue
-                i, j = _of_blocks(mine[block[at:to] == p[at]], mine[block[at:to] == q[at]], p[at] == q[at], n, label, now, signature, lo, hi)
-                found.append((run[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
-            out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["run", "a", "b"])
+                i, j = _of_blocks(mine[block[at:to] == p[at]], mine[block[at:to] == q[at]], p[at] == q[at], n, place, label, hi, lo, most)
+                found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+            out = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out.T], names=["a", "b"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signature = np.frombuffer(b"".join(s.as_py() for s in batch.column("signature")), np.uint16).reshape(-1, HASHES)
-            new = [*(batch.column(c).to_numpy() for c in names), signature]
+            new = [batch.column(c).to_numpy() for c in names]
             held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
             open_ = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
             end = int(np.argmax(open_))  # the last pair of blocks may go on
@@ -351,21 +427,37 @@ def _propose(lo: int, hi: int):
     return propose
 
 
+def in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b) of documents that share a rare shingle and aren't connected: all but the members of the largest
+    component under the shingle meet each other and them, in pairs of blocks."""
+    shares = rows.groupBy("token", "label").agg(F.count("*").alias("m"), F.max((7 * (F.col("place") - 1) <= F.col("n")).cast("int")).alias("early"))
+    tokens = shares.groupBy("token").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top"), F.max("early").alias("early"))
+    tokens = tokens.where((F.col("size") > F.col("top.m")) & (F.col("early") == 1))  # the smaller set has it in its first seventh
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    tokens = tokens.select("token", F.col("top.label").alias("largest"), blocks(F.col("size") - F.col("top.m")).alias("opened"), blocks(F.col("top.m")).alias("closed"))
+    salt = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+    block = F.when(F.col("label") == F.col("largest"), F.col("opened") + salt(F.col("closed"))).otherwise(salt(F.col("opened")))
+    placed = rows.join(tokens, "token").select(*_RARE, "opened", (F.col("opened") + F.col("closed")).alias("blocks"), block.alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("opened"), F.col("blocks")).otherwise(F.col("opened")) - 1)).alias("other")
+    met = placed.select(*_RARE, "block", other).select(*_RARE, "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return met.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_propose(most), "a long, b long").distinct()
+
+
 def settle(reps: DataFrame, labels: DataFrame, given: DataFrame, checked: DataFrame) -> DataFrame:
-    """Labels after the confirmation of all candidates of dense runs that aren't connected yet. ``checked``: pairs that are settled."""
-    members = cut(dense(reps, labels))
-    for lo, hi in zip((0, *PARTNERS[:-1]), PARTNERS, strict=True):
-        now = members.join(labels.withColumnRenamed("label", "now"), "id")
-        other = F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("opened"), F.col("blocks")).otherwise(F.col("opened")) - 1)).alias("other")
-        met = now.select("run", "block", "id", "n", "label", "now", "signature", other)
-        met = met.select("run", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n", "label", "now", "signature")
-        proposed = cut(met.repartition("run", "p", "q").sortWithinPartitions("run", "p", "q").mapInArrow(_propose(lo, hi), "run long, a long, b long"))
-        if lo == 0:  # runs without a first partner have none
-            members = cut(members.join(proposed.select("run").distinct(), "run", "left_semi"))
-        pairs = cut(proposed.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
+    """Labels after large regions are completed by rare shingles. ``checked``: pairs that are settled."""
+    ids = cut(dense(reps, labels))
+    if not ids.limit(1).count():
+        return labels
+    texts = cut(given.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(reps.select("id", "bits"), "id"))
+    for most in (0, *PARTNERS):
+        rows = rarest(texts.join(labels, "id"))
+        proposed = in_blocks(rows, most) if most else with_first(rows)
+        pairs = cut(proposed.join(checked, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            labels = joined(labels, cut(confirm(pairs, cut(given.join(ids, "id").dropDuplicates(["id"])))))
+            labels = joined(labels, cut(confirm(pairs, texts.select("id", "text"))))
+            checked = checked.unionByName(pairs)
+        elif most:
+            break
     return labels
 
 
