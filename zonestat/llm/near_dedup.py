@@ -220,21 +220,22 @@ def candidates(reps: DataFrame, rows: int) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """Least reachable id of each vertex (id, label), by contraction.
 
-    In each round every vertex points to the neighbour of least hash, itself included, which makes short
-    chains even of long paths; pointers are doubled thrice, and the graph shrinks to what its pointers
-    are joined by. The rounds' maps are put together from the last one back; then a component's least id
-    is its label.
+    In each round every vertex points to the neighbour of most neighbours (of equal ones, of least hash),
+    itself included, which settles stars at once and makes short chains even of long paths; pointers are
+    doubled twice, and the graph shrinks to what its pointers are joined by. The rounds' maps are put
+    together from the last one back; then a component's least id is its label.
     """
     open_ = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     maps: list[DataFrame] = []
     for turn in range(most):
         if not open_.limit(1).count():
             break
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("hash"), F.col(c).alias("id"))
+        order = lambda c, many: F.struct((-F.col(many)).alias("many"), F.xxhash64(c, F.lit(turn)).alias("hash"), F.col(c).alias("id"))
         both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min(order("b")).alias("near")).select(F.col("a").alias("id"), F.least(order("a"), F.col("near"))["id"].alias("up"))
-        for _ in range(3):
-            up = cut(up)
+        many = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("of_b"))
+        near = both.join(many, "b").groupBy("a").agg(F.min(order("b", "of_b")).alias("near"), F.count("*").alias("of_a"))
+        up = cut(near.select(F.col("a").alias("id"), F.least(order("a", "of_a"), F.col("near"))["id"].alias("up")))
+        for _ in range(2):
             up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
         maps.append(cut(up))
         side = lambda c: maps[-1].select(F.col("id").alias(c), F.col("up").alias(f"up_{c}"))
