@@ -53,8 +53,10 @@ BLOCK = 512
 #: Shingles of large regions are counted in 2 ** BUCKETS counters, 4 bytes each: all that is broadcast. The
 #: counts order shingles, so fewer counters than shingles cost time, never links.
 BUCKETS = 20
-#: Tasks that documents with one rare shingle are dealt to when they meet the first of them.
-SALTS = 8
+#: Documents with one shingle that go to one task when they meet the first of them, about, and the most tasks for one.
+SPREAD, SALTS = 4096, 64
+#: Large regions that a document must lie in to be completed: two of similarity 0.75 share fewer with a probability of 4e-5.
+LEAST_REGIONS = 2
 #: Partners in a block that a document is held against at a time, the likeliest first; the last takes all.
 PARTNERS = (2, 1 << 30)
 #: Rows that a range partition of the forest should hold, about.
@@ -292,12 +294,12 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def dense(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Ids in regions at SHALLOW that are larger than REGION and that several components have."""
+    """Ids in LEAST_REGIONS or more regions at SHALLOW that are larger than REGION and that several components have."""
     forest = reps.join(labels, "id").select("id", "label", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     forest = forest.select("id", "label", "tree", F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * SHALLOW)).alias("head"))
     regions = forest.groupBy("tree", "head").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     large = regions.where((F.col("size") > REGION) & (F.col("low") < F.col("high"))).select("tree", "head")
-    return forest.join(large, ["tree", "head"], "left_semi").select("id").distinct()
+    return forest.join(large, ["tree", "head"], "left_semi").groupBy("id").count().where(F.col("count") >= LEAST_REGIONS).select("id")
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -320,7 +322,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "m", "low", "high"])
 
 
-_RARE = ["token", "id", "n", "place", "label", "hi", "lo"]
+_RARE = ["token", "spread", "id", "n", "place", "label", "hi", "lo"]
 
 
 def _rarest(table):
@@ -347,7 +349,8 @@ def _rarest(table):
                     place = first + 1 + np.arange(len(crossing))
                     hi, lo = np.frombuffer(bits[at + k].as_py(), np.int64)
                     size = len(crossing)
-                    out.append((x[crossing].view(np.int64), np.full(size, ids[at + k]), np.full(size, n), place, np.full(size, label[at + k]), np.full(size, hi), np.full(size, lo)))
+                    spread = np.minimum(SALTS, 1 + c[crossing] // SPREAD).astype(np.int64)
+                    out.append((x[crossing].view(np.int64), spread, np.full(size, ids[at + k]), np.full(size, n), place, np.full(size, label[at + k]), np.full(size, hi), np.full(size, lo)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_RARE)
 
@@ -368,10 +371,10 @@ def rarest(texts: DataFrame) -> DataFrame:
 
 def with_first(rows: DataFrame) -> DataFrame:
     """Candidates (a, b): documents and the first by rank of those that share a rare shingle, the two likeliest for each."""
-    about = F.struct((F.col("place") / F.col("n")).alias("rank"), *[c for c in _RARE if c != "token"])
-    firsts = rows.groupBy("token").agg(F.min(about).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    firsts = firsts.select("token", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["token", "salt"]).where(F.col("label") != F.col("f.label"))
+    about = F.struct((F.col("place") / F.col("n")).alias("rank"), *_RARE[2:])
+    firsts = rows.groupBy("token", "spread").agg(F.min(about).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    firsts = firsts.select("token", "f", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), "spread")).join(firsts, ["token", "salt"]).where(F.col("label") != F.col("f.label"))
     n, m = F.col("n"), F.col("f.n")
     room = 7 * (1 + F.least(n - F.col("place"), m - F.col("f.place"))) >= 3 * (n + m)
     agree = HASHES - F.bit_count(F.col("hi").bitwiseXOR(F.col("f.hi"))) - F.bit_count(F.col("lo").bitwiseXOR(F.col("f.lo")))
