@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 from datetime import date
 
 import pytest
@@ -80,23 +81,52 @@ def spans(text):
     return [parse(s) for s in text.split()]
 
 
-@pytest.mark.parametrize(
-    ("days", "done", "todo", "supersede"),
-    [
-        (90, "", "01-01_03-31 04-01_04-17", None), (90, "01-01_03-31 04-01_04-10", "04-01_04-17", "04-01_04-10"), (20, "01-01_02-19 02-20_04-10", "04-11_04-17", None),
-        (30, "01-01_01-30 03-02_03-31 04-01_04-17", "01-31_03-01", None),
-    ],
-)
-def test_chunk_plans(days, done, todo, supersede):
-    plan = I.plan_chunks(W, days, {str(s): s for s in spans(done)})
-    assert plan.todo == spans(todo)
-    assert plan.supersede == (spans(supersede)[0] if supersede else None) and plan.drop == []
-
-
-def test_chunk_plan_drops_strangers():
-    done = {"old": Span(date(2025, 12, 1), date(2025, 12, 31)), "notes": None, "whole": W}
-    plan = I.plan_chunks(W, 90, done)
-    assert plan.drop == ["old", "notes"] and plan.todo == [] and plan.keep == [W]
+def work(spark, days, done, window=W):
+    rows = [("u", name, s.start if s else None, s.end if s else None) for name, s in done.items()]
+    files = spark.createDataFrame(rows, "unit string, file string, start date, end date")
+    got = I.chunk_work(files, spark.createDataFrame([("u", window.start, window.end)], "unit string, start date, end date"), days)
+    return {(r["action"], r["file"], r["start"], r["end"]) for r in got.collect()}
+
+
+def by_force(days, done, window):
+    """Day by day: what no kept file holds, cut into parts."""
+    inside = {f: s for f, s in done.items() if s and window.start <= s.start and s.end <= window.end}
+    out = {("remove", f, s and s.start, s and s.end) for f, s in done.items() if f not in inside}
+    if inside:
+        tip = max(s.end for s in inside.values())
+        last = [f for f, s in inside.items() if s.end == tip]
+        if len(last) == 1 and tip < window.end and inside[last[0]].days < days:
+            s = inside.pop(last[0])
+            out.add(("replace", last[0], s.start, s.end))
+    out |= {("keep", f, s.start, s.end) for f, s in inside.items()}
+    held = {s.start + dt.timedelta(k) for s in inside.values() for k in range(s.days)}
+    run = []
+    for k in range(window.days + 1):
+        day = window.start + dt.timedelta(k)
+        if k == window.days or day in held or len(run) == days:
+            out |= {("fetch", None, run[0], run[-1])} if run else set()
+            run = []
+        if k < window.days and day not in held:
+            run.append(day)
+    return out
+
+
+def test_chunk_work(spark):
+    rng = random.Random(4)
+    window = Span(date(2031, 5, 3), date(2031, 9, 20))
+    for days in (14, 45):
+        done = {"notes": None, "before": Span(date(2031, 4, 20), date(2031, 5, 9))}
+        assert work(spark, days, done, window) == by_force(days, done, window)
+        for k in range(rng.randrange(2, 6)):
+            start = window.start + dt.timedelta(rng.randrange(120))
+            done[f"f{k}"] = Span(start, start + dt.timedelta(rng.randrange(1, days + 3)))
+        assert work(spark, days, done, window) == by_force(days, done, window)
+    short = {"a": Span(window.start, date(2031, 6, 16)), "b": Span(date(2031, 6, 17), date(2031, 6, 30))}
+    assert ("replace", "b", date(2031, 6, 17), date(2031, 6, 30)) in work(spark, 45, short, window)
+    assert work(spark, 45, {"all": window}, window) == {("keep", "all", window.start, window.end)}
+
+
+def test_chunk_days():
     assert I.chunk_days(2000) == 50 and I.chunk_days(0, 30) == 2700 and I.chunk_days(10**6) == 1
 
 

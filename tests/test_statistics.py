@@ -2,67 +2,73 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zonestat.functions.columns import class_code, long_format, no_nan, value_expr
 from zonestat.operators import stats as A
 
-MASK = [(20.00, -160.00, 1.00), (20.00, -159.95, 0.50), (20.05, -160.00, 1.00), (20.05, -159.95, 0.25)]
-CELLS = [(20.00, -160.00), (20.00, -159.95), (20.05, -160.00), (20.05, -159.95)]
+LATS, LONS = (43.125, 43.375), (-66.875, -66.625, -66.375)
+CELLS = [(lat, lon) for lat in LATS for lon in LONS]
+WEIGHTS = (0.125, 1.0, 0.75, 0.5, 1.0, 0.375)
+MASK = [(*c, w) for c, w in zip(CELLS, WEIGHTS, strict=True)]
+MAY, JUNE = [4.5, 6.25, 5.75, 7.0, 8.5, 6.0], [9.0, 11.5, 10.25, 12.0, 12.75, 10.5]
+KINDS = [7, 7, 3, 5, 3, 7]
 
 
 @pytest.fixture(scope="module")
 def grid(spark):
-    first, second = dt.datetime(2026, 1, 1, 12), dt.datetime(2026, 1, 9, 12)
-    rows = [(first, *c, k, v) for c, k, v in zip(CELLS, [1, 2, 1, 3], [25.0, 26.0, 27.0, 29.0], strict=True)]
-    rows += [(second, *c, 2, v) for c, v in zip(CELLS, [25.5, 26.5, 27.5, 29.5], strict=True)] + [(first, 40.0, -60.0, 9, 99.0)]
-    slab = spark.createDataFrame(rows, "time timestamp, latitude float, longitude float, CLASS int, SST double")
+    days = ((dt.datetime(2031, 5, 30, 6), MAY), (dt.datetime(2031, 6, 2, 18), JUNE))
+    rows = [(at, *c, k, v) for at, values in days for c, k, v in zip(CELLS, KINDS, values, strict=True)]
+    rows.append((days[0][0], -12.5, 100.25, 1, 55.0))  # outside the mask
+    slab = spark.createDataFrame(rows, "time timestamp, latitude float, longitude float, kind int, v double")
     return slab, spark.createDataFrame(MASK, "latitude double, longitude double, weight double")
 
 
 def test_daily_over_a_float_axis(grid):
     slab, mask = grid
-    got = {str(r["date"]): r for r in A.stats_daily(slab, mask, value_expr("SST")).collect()}
-    assert set(got) == {"2026-01-01", "2026-01-09"}
-    one = got["2026-01-01"]
-    assert (one["n"], one["mean"]) == (4, 26.75)
-    assert one["mean_wt"] == pytest.approx((25 + 13 + 27 + 7.25) / 2.75)
-    assert one["weight_sum"] == 2.75 and one["min"] == 25 and one["max"] == 29
+    got = {str(r["date"]): r for r in A.stats_daily(slab, mask, value_expr("v")).collect()}
+    assert set(got) == {"2031-05-30", "2031-06-02"}
+    for day, values in (("2031-05-30", MAY), ("2031-06-02", JUNE)):
+        r = got[day]
+        assert r["n"] == 6 and r["mean"] == pytest.approx(np.mean(values)) and r["sd"] == pytest.approx(np.std(values, ddof=1))
+        assert r["mean_wt"] == pytest.approx(np.average(values, weights=WEIGHTS)) and r["weight_sum"] == pytest.approx(sum(WEIGHTS))
+        assert (r["min"], r["max"]) == (min(values), max(values))
+        assert (r["p10"], r["p90"]) == (pytest.approx(np.quantile(values, 0.1)), pytest.approx(np.quantile(values, 0.9)))
 
 
 def test_kelvin(grid):
     slab, mask = grid
-    got = A.stats_daily(slab, mask, value_expr("SST", "K")).orderBy("date").first()
-    assert got["mean"] == pytest.approx(26.75 - 273.15)
+    got = A.stats_daily(slab, mask, value_expr("v", "K")).orderBy("date").first()
+    assert got["mean"] == pytest.approx(np.mean(MAY) - 273.15)
     assert value_expr("x", "knots") is not None
 
 
 def test_categories_sum_to_one(grid):
     slab, mask = grid
-    rows = A.stats_categorical(slab, mask, F.col("CLASS")).collect()
-    day = {r["class"]: r for r in rows if str(r["date"]) == "2026-01-01"}
-    assert set(day) == {1, 2, 3}
-    assert day[1]["fraction"] == pytest.approx(2 / 2.75) and day[3]["fraction"] == pytest.approx(0.25 / 2.75)
+    rows = A.stats_categorical(slab, mask, F.col("kind")).collect()
+    day = {r["class"]: r for r in rows if str(r["date"]) == "2031-05-30"}
+    weight = {k: sum(w for w, x in zip(WEIGHTS, KINDS, strict=True) if x == k) for k in set(KINDS)}
+    assert {k: r["n"] for k, r in day.items()} == {k: KINDS.count(k) for k in weight}
+    for k, r in day.items():
+        assert r["fraction"] == pytest.approx(weight[k] / sum(WEIGHTS)) and r["percent_cells"] == pytest.approx(100 * KINDS.count(k) / 6)
     assert sum(r["fraction"] for r in day.values()) == pytest.approx(1, abs=1e-12)
-    assert sum(r["percent_cells"] for r in day.values()) == pytest.approx(100)
-    assert [r["n"] for _, r in sorted(day.items())] == [2, 1, 1]
 
 
 def test_last_step_keeps_cells_without_value(grid):
     slab, mask = grid
-    holed = slab.withColumn("SST", F.when((F.col("latitude") < 20.01) & (F.col("longitude") < -159.99), None).otherwise(F.col("SST")))
-    rows = A.last_step(holed, mask, value_expr("SST")).orderBy("latitude", "longitude").collect()
-    assert [(r["latitude"], r["longitude"], r["weight"]) for r in rows] == sorted((a, b, w) for a, b, w in MASK)
-    assert [r["value"] for r in rows] == [None, 26.5, 27.5, 29.5]
-    assert {str(r["date"]) for r in rows} == {"2026-01-09"}
+    holed = slab.withColumn("v", F.when((F.col("latitude") > 43.2) & (F.col("longitude") > -66.5), None).otherwise(F.col("v")))
+    rows = A.last_step(holed, mask, value_expr("v")).orderBy("latitude", "longitude").collect()
+    assert [(r["latitude"], r["longitude"], r["weight"]) for r in rows] == MASK
+    assert [r["value"] for r in rows] == [*JUNE[:5], None] and {str(r["date"]) for r in rows} == {"2031-06-02"}
 
 
 def test_nulls_leave_weights_out(grid):
     slab, mask = grid
-    holed = slab.withColumn("SST", F.when(F.col("CLASS") == 3, None).otherwise(F.col("SST")))
-    got = A.stats_daily(holed, mask, value_expr("SST")).orderBy("date").first()
-    assert (got["n"], got["weight_sum"]) == (3, 2.5)
+    holed = slab.withColumn("v", F.when(F.col("kind") == 5, None).otherwise(F.col("v")))
+    got = A.stats_daily(holed, mask, value_expr("v")).orderBy("date").first()
+    assert (got["n"], got["weight_sum"]) == (5, pytest.approx(sum(WEIGHTS) - 0.5))
 
 
 def test_points_and_stations(spark):
@@ -83,8 +89,8 @@ def test_points_and_stations(spark):
 
 
 def test_day_ends_at_utc_midnight(spark, grid):
-    slab = spark.sql("SELECT timestamp'2026-01-01 23:59:59.999Z' AS time, float(20.0) AS latitude, float(-160.0) AS longitude, 1D AS v")
-    assert str(A.stats_daily(slab, grid[1], F.col("v")).first()["date"]) == "2026-01-01"
+    slab = spark.sql("SELECT timestamp'2031-05-30 23:59:59.999Z' AS time, float(43.125) AS latitude, float(-66.625) AS longitude, 1D AS v")
+    assert str(A.stats_daily(slab, grid[1], F.col("v")).first()["date"]) == "2031-05-30"
 
 
 def test_nan_and_classes(spark):
@@ -94,5 +100,5 @@ def test_nan_and_classes(spark):
 
 def test_empty_slab(spark, grid):
     slab, mask = grid
-    assert A.stats_daily(slab.limit(0), mask, value_expr("SST")).count() == 0
-    assert A.last_step(slab.limit(0), mask, value_expr("SST")).count() == 0
+    assert A.stats_daily(slab.limit(0), mask, value_expr("v")).count() == 0
+    assert A.last_step(slab.limit(0), mask, value_expr("v")).count() == 0

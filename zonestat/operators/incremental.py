@@ -19,17 +19,8 @@ class Span:
         return (self.end - self.start).days + 1
 
 
-def slices(span: Span, days: int) -> list[Span]:
-    """A span in parts of at most ``days``."""
-    out, at = [], span.start
-    while at <= span.end:
-        out.append(Span(at, min(span.end, at + timedelta(days - 1))))
-        at += timedelta(days)
-    return out
-
-
 def slice_table(windows: DataFrame, days: int) -> DataFrame:
-    """The same over a table of windows (start, end): one row for each slice."""
+    """Windows (start, end) in parts of at most ``days``: one row for each slice."""
     starts = F.sequence("start", "end", F.make_interval(days=F.lit(days)))
     return windows.withColumn("slice_start", F.explode(starts)).withColumn("slice_end", F.least("end", F.date_add("slice_start", days - 1)))
 
@@ -44,30 +35,25 @@ def gaps(done: DataFrame, windows: DataFrame, by: str = "unit") -> DataFrame:
     return rows.select(by, first.alias("gap_start"), F.date_add("start", -1).alias("gap_end")).where("gap_start <= gap_end").select(by, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
 
 
-@dataclass(frozen=True)
-class ChunkPlan:
-    keep: list[Span]
-    todo: list[Span]
-    drop: list[str]
-    supersede: Span | None
-
-
-def plan_chunks(window: Span, days: int, done: dict[str, Span | None]) -> ChunkPlan:
-    """Which chunks of one series stay, which are fetched, and which go; a short last chunk is fetched again.
+def chunk_work(done: DataFrame, windows: DataFrame, days: int, by: str = "unit") -> DataFrame:
+    """What to do for each unit's series: (unit, file, start, end, action), for any number of units in one plan.
 
-    ``done`` has the span of each file, None for files that aren't chunks.
+    ``done`` has the files that exist, with the span of each (null for files that aren't chunks). A file is
+    to ``remove`` if its span isn't inside the unit's window, or the unit has no window; to ``replace`` if it
+    alone reaches furthest but is shorter than a chunk and not at the window's end; else to ``keep``. Days
+    that kept files leave open are to ``fetch``, in parts of at most ``days``.
     """
-    fits = lambda s: s is not None and s.start >= window.start and s.end <= window.end
-    keep = sorted((s for s in done.values() if fits(s)), key=lambda s: s.start)
-    supersede = None
-    if keep and keep[-1].end < window.end and keep[-1].days < days and all(s.end < keep[-1].end for s in keep[:-1]):
-        supersede = keep.pop()
-    todo, at = [], window.start
-    for s in [*keep, Span(window.end + timedelta(1), window.end + timedelta(1))]:
-        if at < s.start:
-            todo += slices(Span(at, s.start - timedelta(1)), days)
-        at = max(at, s.end + timedelta(1))
-    return ChunkPlan(keep, todo, [f for f, s in done.items() if not fits(s)], supersede)
+    fence = windows.select(by, F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+    files = done.select(by, "file", "start", "end").join(fence, by, "left")
+    files = files.withColumn("inside", F.coalesce((F.col("start") >= F.col("w_start")) & (F.col("end") <= F.col("w_end")), F.lit(False)))
+    mates = Window.partitionBy(by, "inside")
+    files = files.withColumn("tip", F.max("end").over(mates)).withColumn("at_tip", F.count_if(F.col("end") == F.col("tip")).over(mates))
+    growing = (F.col("end") == F.col("tip")) & (F.col("at_tip") == 1) & (F.col("end") < F.col("w_end")) & (F.datediff("end", "start") + 1 < days)
+    action = F.when(~F.col("inside"), "remove").when(growing, "replace").otherwise("keep")
+    filed = files.select(by, "file", "start", "end", action.alias("action"))
+    open_ = slice_table(gaps(filed.where("action = 'keep'").select(by, "start", "end"), windows, by), days)
+    fetch = open_.select(by, F.lit(None).cast("string").alias("file"), F.col("slice_start").cast("date").alias("start"), F.col("slice_end").alias("end"), F.lit("fetch").alias("action"))
+    return filed.unionByName(fetch)
 
 
 def chunk_days(cells_per_step: int, step_days: float = 1, steps: int = 90, values: int = 100_000) -> int:

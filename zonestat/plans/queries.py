@@ -294,6 +294,23 @@ def chunk_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.gaps(done, windows)
 
 
+@query(f"""WITH {_WINDOWS}, f AS (SELECT 'u' || s_nationkey AS unit, 'f' || s_suppkey AS file, CASE WHEN s_suppkey % 13 > 0 THEN DATE '2026-01-01' + ((s_suppkey * 17) % 350)::INT END AS s,
+        CASE WHEN s_suppkey % 13 > 0 THEN DATE '2026-01-01' + ((s_suppkey * 17) % 350 + s_suppkey % 29)::INT END AS e FROM supplier),
+    i AS (SELECT f.*, ws, we, coalesce(s >= ws AND e <= we, false) AS fits FROM f LEFT JOIN win USING (unit)), t AS (SELECT *, max(e) OVER (PARTITION BY unit, fits) AS tip FROM i),
+    a AS (SELECT *, CASE WHEN NOT fits THEN 'remove' WHEN e = tip AND e < we AND e - s + 1 < 25 AND count(*) FILTER (e = tip) OVER (PARTITION BY unit, fits) = 1 THEN 'replace' ELSE 'keep' END AS action FROM t),
+    days AS (SELECT unit, unnest(generate_series(ws, we, INTERVAL 1 DAY))::DATE AS d FROM win), open AS (SELECT unit, d FROM days x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.unit = x.unit AND action = 'keep' AND x.d BETWEEN y.s AND y.e)),
+    g AS (SELECT unit, d, d - row_number() OVER (PARTITION BY unit ORDER BY d)::INT AS k FROM open), h AS (SELECT unit, d, k, (row_number() OVER (PARTITION BY unit, k ORDER BY d) - 1) // 25 AS part FROM g)
+    SELECT unit, file, s AS start, e AS "end", action FROM a UNION ALL SELECT unit, NULL, min(d), max(d), 'fetch' FROM h GROUP BY unit, k, part""")
+def chunk_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of many units against their windows: what stays, goes, is made anew and is fetched."""
+    day = lambda base, n: F.date_add(F.lit(base).cast("date"), n.cast("int"))
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    windows = B.read(spark, sf_dir, "nation").select(F.concat(F.lit("u"), n).alias("unit"), day("2026-01-01", n % 7).alias("start"), day("2026-12-31", -(n % 11)).alias("end"))
+    at = F.when(k % 13 > 0, (k * 17) % 350)
+    files = B.read(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), F.col("s_nationkey")).alias("unit"), F.concat(F.lit("f"), k).alias("file"), day("2026-01-01", at).alias("start"), day("2026-01-01", at + k % 29).alias("end"))
+    return I.chunk_work(files, windows, 25)
+
+
 @query(f"WITH {_WINDOWS}, s AS (SELECT unit, unnest(generate_series(ws, we, INTERVAL 20 DAY))::DATE AS slice_start, we FROM win) SELECT unit, slice_start, least(we, slice_start + 19) AS slice_end FROM s")
 def chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
