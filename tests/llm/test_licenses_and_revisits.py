@@ -25,6 +25,39 @@ def test_licences(spark):
     assert license_scan(files.union(files)).count() == 2 * len(FILES)
 
 
+def test_ids_that_are_null_or_repeat(spark):
+    rows = [(None, "a/x", "Released under the MIT License."), (7, "a/y", "plain"), (7, "a/z", "Released under the MIT License."), (None, "b/LICENSE", "Licensed under CC BY 4.0."), (8, "b/q", None)]
+    got = sorted((r["path"], r["license"], r["origin"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == [("a/x", "MIT", "header"), ("a/y", None, "none"), ("a/z", "MIT", "header"), ("b/LICENSE", "CC-BY-4.0", "file"), ("b/q", "CC-BY-4.0", "inherited")]
+
+
+def test_wrapped_headers_and_whole_files(spark):
+    import os
+    import textwrap
+
+    from zonestat.llm.license_scan import TEMPLATES
+
+    code = "\n".join(f"def function_{k}(argument_{k}): return value_{k}" for k in range(40))
+    rows, want = [], {}
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MPL-2.0"):
+        wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(TEMPLATES[name][2], 60))
+        want[f"src/{name}.c"] = (name, "header")
+        rows.append((len(rows), f"src/{name}.c", f"#include <x>\n{wrapped}\n\n{code}"))
+    for name, file in {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items():
+        path = f"/usr/share/common-licenses/{file}"
+        if os.path.exists(path):
+            want[f"{name}/LICENSE"] = (name, "file")
+            rows.append((len(rows), f"{name}/LICENSE", open(path, encoding="utf-8").read()))
+    mit = "Copyright (c) 2031 A. Person\n\n" + "\n".join(textwrap.wrap(TEMPLATES["MIT"][2], 75)) + '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'
+    rows.append((len(rows), "m/COPYING", mit))
+    want["m/COPYING"] = ("MIT", "file")
+    prose = [(1000 + k, f"p/{k}.txt", f"the story of number {k} and of the house that you may see in the street\n" * 5) for k in range(60)]
+    rows.append((999, "long/x.py", code * 400))
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan(spark.createDataFrame(rows + prose, "doc_id long, path string, text string")).collect()}
+    assert {p: got[p] for p in want} == want
+    assert {got[p] for p in got if p not in want} == {(None, "none")}
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [

@@ -1,82 +1,128 @@
 """License scans in DataFrame functions alone.
 
-Lines that speak of licences are compared to licence templates by the cosine of sparse TF-IDF vectors.
-Inverse document frequencies of the templates' terms are counted over all documents; terms of no
-template count as never seen. A file's own licence is its best line's best template, if that reaches
-THRESHOLD. A licence file (LICENSE, COPYING, NOTICE, with any extension) gives its licence to its
-directory; files without their own inherit from the nearest ancestor directory that has one, found by
-joining the paths of all ancestors of all directories (few beside the files).
-
-Nulls: a null text has no licence of its own; a null path lies in the root. Of licence files in one
-directory the best score counts, then the least id. Equal scores take the first template. Repeated
-rows are repeated in the result. Other columns are ignored; an empty table gives an empty result.
+Headers are windows of 1, 2, 4, 8 and 16 lines (lines without a term don't count), so that a notice may be
+wrapped; licence files (LICENSE, COPYING, NOTICE, with any extension) are compared as a whole besides.
+Both are compared to licence templates by the cosine of sparse TF-IDF vectors; document frequencies are
+counted over all documents for all terms. A file's own licence is its best window's best template, if
+that reaches THRESHOLD. A window begins at a line with one of the templates' anchors: a template's terms
+without its anchors have less than THRESHOLD of its norm, so no window of one line that could reach it,
+and no wider one from its first such line on, is left out.
+
+A licence file gives its licence to its directory; files without their own inherit from the nearest
+ancestor directory that has one, found by joining the paths of all ancestors of all directories (few
+beside the files).
+
+Licences are found by text, so rows that have no id or share one get each their own. A null text has no
+licence of its own; a null path lies in the root. Of licence files in one directory the best score
+counts, then the least id (null first), then the licence's name. Equal scores take the first template.
+Repeated rows are repeated in the result. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii
 
-#: Notices of public licences, in the order in which equal scores are decided.
+#: Titles, notices and headers of public licences, in the order in which equal scores are decided.
 TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
-    "Proprietary": "All rights reserved.",
+    "MIT": (
+        "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "Proprietary": ("All rights reserved.",),
 }
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-CUE = "licen|copyright|rights reserved|public domain|redistribution"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[^/]*)?$"
 THRESHOLD = 0.5
+#: Lines of a window.
+WINDOWS = (1, 2, 4, 8, 16)
+#: Squared norm that a template's terms may have together without being anchors: just under THRESHOLD squared.
+WEAK = 0.249
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
 
 
-def template_terms(docs: DataFrame, text_col: str, templates: dict[str, str]) -> tuple[DataFrame, float]:
-    """Weights of each template's terms (template, rank, term, idf, weight), one row for each, as few as the templates;
-    and the inverse document frequency of terms that no document has."""
-    rows = docs.sparkSession.createDataFrame([(k, i, text) for i, (k, text) in enumerate(templates.items())], "template string, rank int, notice string")
-    tf = rows.select("template", "rank", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "rank", "term").agg(F.count("*").alias("tf"))
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for text in templates.values() for t in re.findall(TERM, text.lower())})])
-    seen = docs.select(F.explode(F.array_intersect(terms(F.col(text_col)), vocabulary)).alias("term"))
-    df = seen.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    idf = (F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
-    weighed = tf.join(F.broadcast(df), "term", "left").select("template", "rank", "term", "tf", idf)
-    norm = weighed.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
-    return weighed.join(F.broadcast(norm), "template").select("template", "rank", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")), math.log(n + 1) + 1
-
-
-def own_licences(files: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """Best licence of each file that has one (id, own, score)."""
-    model, unseen = template_terms(files, "text", templates)
-    model = cut(model)  # small, and used three times
-    cue = lower_ascii(F.col("text")).rlike(CUE)
-    lines = files.where(cue).select("id", F.posexplode(F.split(lower_ascii(F.col("text")), "\n")).alias("line", "words")).where(F.col("words").rlike(CUE))
-    tf = lines.select("id", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("id", "line", "term").agg(F.count("*").alias("tf"))
-    idf = model.groupBy("term").agg(F.first("idf").alias("idf"))
-    vectors = tf.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    by_template = model.groupBy("term").agg(F.collect_list(F.struct("template", "rank", "weight")).alias("in"))
-    parts = vectors.join(F.broadcast(by_template), "term", "left")
-    square = F.sum(F.when(F.col("first"), F.pow("x", F.lit(2))).otherwise(0.0))
-    dots = parts.select("id", "line", "x", F.posexplode_outer("in").alias("k", "t")).withColumn("first", F.coalesce(F.col("k"), F.lit(0)) == 0)
-    norm = dots.groupBy("id", "line").agg(F.sqrt(square).alias("norm"))
-    dot = dots.where("t is not null").groupBy("id", "line", F.col("t.template").alias("template"), F.col("t.rank").alias("rank")).agg(F.sum(F.col("x") * F.col("t.weight")).alias("dot"))
-    cosine = dot.join(norm, ["id", "line"]).select("id", "template", "rank", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= THRESHOLD)
-    best = cosine.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("low"), "rank", "template")).alias("best"))
-    return best.select("id", F.col("best.template").alias("own"), (-F.col("best.low")).alias("score"))
+def inverse(df: int, n: int) -> float:
+    return math.log((n + 1) / (df + 1)) + 1
+
+
+def template_model(df: DataFrame, n: int, templates: dict[str, tuple[str, ...]]) -> tuple[DataFrame, list[str]]:
+    """Weights of the templates' terms (template, rank, variant, term, weight), and the anchors: as many as the templates' terms."""
+    vocabulary = sorted({t for texts in templates.values() for text in texts for t in re.findall(TERM, text.lower())})
+    known = {r["term"]: r["df"] for r in df.where(F.col("term").isin(vocabulary)).collect()}
+    rows, anchors = [], set()
+    for rank, (name, texts) in enumerate(templates.items()):
+        for variant, text in enumerate(texts):
+            x = {t: c * inverse(known.get(t, 0), n) for t, c in Counter(re.findall(TERM, text.lower())).items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            weight = {t: round(v / norm, 9) for t, v in x.items()}
+            rows += [{"template": name, "rank": rank, "variant": variant, "term": t, "weight": w} for t, w in weight.items()]
+            sofar = 0.0
+            for w, t in sorted((w, t) for t, w in weight.items()):
+                sofar += w * w
+                if sofar >= WEAK:
+                    anchors.add(t)
+    kinds = "array<struct<template: string, rank: int, variant: int, term: string, weight: double>>"
+    model = df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), F.lit(kinds))).alias("m")).select("m.*")
+    return model, sorted(anchors)
+
+
+def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Best licence of each unit that has one (unit, own, score); units are texts, of licence files apart from others."""
+    n = files.count()
+    df = cut(files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    model, anchors = template_model(df, n, templates)
+    lines = F.filter(F.split(lower_ascii(F.col("text")), "\n"), lambda x: x.rlike("[a-z0-9]"))
+    anchored = lambda text: F.arrays_overlap(terms(text), F.array(*[F.lit(a) for a in anchors]))
+    starts = files.where(F.col("text").isNotNull()).select("unit", "is_file", lines.alias("lines")).select("unit", "lines", F.posexplode("lines").alias("line", "words"))
+    near = F.slice("lines", F.col("line") + 1, max(WINDOWS))
+    starts = starts.where(anchored(F.col("words"))).select("unit", "line", near.alias("near")).dropDuplicates(["unit", "line"])
+    wide = starts.select("unit", "line", "near", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("width")).where("size(near) > width div 2")  # else a narrower one has all lines
+    windows = wide.select("unit", "line", "width", F.array_join(F.slice("near", F.lit(1), F.col("width")), " ").alias("words"))
+    whole = files.where("is_file and text is not null").select("unit", F.lit(-1).alias("line"), F.lit(0).alias("width"), F.col("text").alias("words")).dropDuplicates(["unit"])
+    parts = windows.unionByName(whole)
+    tf = parts.select("unit", "line", "width", F.explode(terms(F.col("words"))).alias("term")).groupBy("unit", "line", "width", "term").agg(F.count("*").alias("tf"))
+    idf = F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    vectors = cut(tf.join(df, "term", "left").select("unit", "line", "width", "term", (F.col("tf") * idf).alias("x")))
+    norm = vectors.groupBy("unit", "line", "width").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    shared = vectors.join(F.broadcast(model), "term")  # the templates' terms
+    dot = shared.groupBy("unit", "line", "width", "template", "rank", "variant").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    cosine = dot.join(norm, ["unit", "line", "width"]).select("unit", "template", "rank", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= THRESHOLD)
+    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("low"), "rank", "template")).alias("best"))
+    return best.select("unit", F.col("best.template").alias("own"), (-F.col("best.low")).alias("score"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -85,13 +131,14 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Per file: doc_id, path, license, origin (file, header, inherited or none), score, license_dir."""
     files = docs.select(F.col(id_col).alias("id"), F.coalesce(path_col, F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    own = own_licences(files, templates or TEMPLATES).dropDuplicates(["id"])
+    is_file = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
+    files = files.withColumn("is_file", is_file).withColumn("unit", F.md5(F.concat(F.col("is_file").cast("string"), "text")))
+    own = own_licences(files, templates or TEMPLATES)
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    name = F.element_at(F.split("path", "/"), -1)
-    placed = files.select("id", "path", directory.alias("dir"), name.rlike(LICENCE_FILE).alias("is_file")).join(own, "id", "left")
+    placed = files.select("id", "path", directory.alias("dir"), "is_file", "unit").join(own, "unit", "left").drop("unit")
     given = placed.where("is_file and own is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("low"), "id", "own")).alias("best"))
     given = given.select(F.col("dir").alias("above"), F.col("best.own").alias("dir_license"))
     dirs = placed.where("own is null").select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("up", "above"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, table
 from .exact_dedup import exact_dedup
 from .language_id import language_id
-from .license_scan import CUE, TEMPLATES, TERM, license_scan
+from .license_scan import TEMPLATES, TERM, license_scan
 from .media_chunks import media_column
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -27,15 +27,13 @@ def piece_model() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: by source, package and module; short notices are licence files."""
+    """Documents as files: by source, package and module; every fortieth is its module's licence file, or its package's."""
     docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    short = lower_ascii(text).rlike(CUE) & (F.length(text) <= 200)
-    name = F.when(short, F.lit("LICENSE")).otherwise(F.concat(F.lit("f"), F.col("doc_id"), F.lit(".txt")))
     package, module = F.expr("doc_id div 400"), F.expr("doc_id div 40")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("p"), package), F.concat(F.lit("m"), module), name)
-    files = docs.select("doc_id", F.when(short & (F.col("doc_id") % 2 == 0), F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("p"), package), F.lit("LICENSE"))).otherwise(path).alias("path"), "text")
-    return license_scan(files)
+    name = F.when(F.col("doc_id") % 40 == 7, F.lit("LICENSE")).otherwise(F.concat(F.lit("f"), F.col("doc_id"), F.lit(".txt")))
+    inside = F.when(F.col("doc_id") % 400 != 7, F.concat(F.lit("m"), module))  # nulls are left out
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("p"), package), inside, name)
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,26 +101,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passages": op10_passages,
 }
 
-_TEMPLATE_ROWS = ", ".join(f"('{name}', {rank}, '{notice}')" for rank, (name, notice) in enumerate(TEMPLATES.items()))
+_TEMPLATE_ROWS = ", ".join(f"('{name}', {rank}, {variant}, '{text}')" for rank, (name, texts) in enumerate(TEMPLATES.items()) for variant, text in enumerate(texts))
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 
 SQL: dict[str, str] = {
     "op1_license_scan": f"""
-        WITH f0 AS (SELECT doc_id AS id, text, {_LOWER("text")} AS low, coalesce(source, 'none') AS s, regexp_matches({_LOWER("text")}, '{CUE}') AND length(coalesce(text, '')) <= 200 AS short FROM documents),
-        f AS (SELECT id, low, short, s || '/p' || (id // 400) || CASE WHEN short AND id % 2 = 0 THEN '/LICENSE' WHEN short THEN '/m' || (id // 40) || '/LICENSE' ELSE '/m' || (id // 40) || '/f' || id || '.txt' END AS path FROM f0),
-        tpl(template, rank, notice) AS (VALUES {_TEMPLATE_ROWS}),
-        tt AS (SELECT template, rank, term, count(*) AS tf FROM (SELECT template, rank, unnest(regexp_extract_all({_LOWER("notice")}, '{TERM}')) AS term FROM tpl) GROUP BY ALL),
-        df AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(regexp_extract_all(low, '{TERM}'))) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+        WITH f0 AS (SELECT doc_id AS id, {_LOWER("text")} AS low, text, coalesce(source, 'none') || '/p' || (doc_id // 400) || CASE WHEN doc_id % 400 <> 7 THEN '/m' || (doc_id // 40) ELSE '' END AS dir FROM documents),
+        f AS (SELECT id, low, text, dir, id % 40 = 7 AS is_file, dir || CASE WHEN id % 40 = 7 THEN '/LICENSE' ELSE '/f' || id || '.txt' END AS path FROM f0),
         n AS (SELECT count(*) AS docs FROM f),
-        w AS (SELECT template, rank, term, tf, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tt LEFT JOIN df USING (term), n),
-        m AS (SELECT template, rank, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM w),
-        l AS (SELECT id, line, words FROM (SELECT id, unnest(string_split(low, chr(10))) AS words, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM f) WHERE regexp_matches(words, '{CUE}')),
-        tf AS (SELECT id, line, term, count(*) AS tf FROM (SELECT id, line, unnest(regexp_extract_all(words, '{TERM}')) AS term FROM l) GROUP BY ALL),
-        v AS (SELECT id, line, t.term, tf * coalesce(idf, ln(docs + 1) + 1) AS x FROM tf t LEFT JOIN (SELECT DISTINCT term, idf FROM w) i USING (term), n),
-        norm AS (SELECT id, line, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
-        c AS (SELECT id, template, rank, round(sum(x * weight) / any_value(norm), 6) AS score FROM v JOIN m USING (term) JOIN norm USING (id, line) GROUP BY id, line, template, rank),
+        df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '{TERM}'))) AS term FROM f) GROUP BY term),
+        tpl(template, rank, variant, notice) AS (VALUES {_TEMPLATE_ROWS}),
+        tt AS (SELECT template, rank, variant, term, count(*) AS tf FROM (SELECT template, rank, variant, unnest(regexp_extract_all({_LOWER("notice")}, '{TERM}')) AS term FROM tpl) GROUP BY ALL),
+        w AS (SELECT template, rank, variant, term, tf * (ln((docs + 1) / (coalesce(df, 0) + 1)) + 1) AS x FROM tt LEFT JOIN df USING (term), n),
+        m AS (SELECT template, rank, variant, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY template, variant)), 9) AS weight FROM w),
+        anchors AS (SELECT DISTINCT term FROM (SELECT term, sum(weight * weight) OVER (PARTITION BY template, variant ORDER BY weight, term ROWS UNBOUNDED PRECEDING) AS sofar FROM m) WHERE sofar >= 0.249),
+        al AS (SELECT list(term) AS anchors FROM anchors),
+        ls AS (SELECT id, list_filter(string_split(low, chr(10)), lambda l: regexp_matches(l, '[a-z0-9]')) AS lines FROM f WHERE text IS NOT NULL),
+        st AS (SELECT id, lines, i FROM (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM ls), al WHERE list_has_any(regexp_extract_all(lines[i], '{TERM}'), anchors)),
+        part AS (SELECT id, i, k, array_to_string(lines[i : i + k - 1], ' ') AS words FROM st, (SELECT unnest([1, 2, 4, 8, 16]) AS k) WHERE least(len(lines) - i + 1, 16) > k // 2
+                 UNION ALL SELECT id, 0, 0, low FROM f WHERE is_file AND text IS NOT NULL),
+        tf AS (SELECT id, i, k, term, count(*) AS tf FROM (SELECT id, i, k, unnest(regexp_extract_all(words, '{TERM}')) AS term FROM part) GROUP BY ALL),
+        v AS (SELECT id, i, k, term, tf * (ln((docs + 1) / (coalesce(df, 0) + 1)) + 1) AS x FROM tf LEFT JOIN df USING (term), n),
+        norm AS (SELECT id, i, k, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
+        c AS (SELECT id, template, rank, round(sum(x * weight) / any_value(norm), 6) AS score FROM v JOIN m USING (term) JOIN norm USING (id, i, k) GROUP BY id, i, k, template, rank, variant),
         own AS (SELECT * FROM c WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rank) = 1),
-        p AS (SELECT f.id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, ends_with(path, '/LICENSE') AS is_file, own.template AS own, own.score FROM f LEFT JOIN own USING (id)),
+        p AS (SELECT f.id, path, dir, is_file, own.template AS own, own.score FROM f LEFT JOIN own USING (id)),
         g AS (SELECT dir AS above, own AS dir_license FROM p WHERE is_file AND own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, id) = 1),
         d AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM p WHERE own IS NULL)),
         near AS (SELECT dir, above, dir_license FROM (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS above FROM d) JOIN g USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY k DESC) = 1)

@@ -7,7 +7,7 @@ dictionary, and with both put together: the bytes that the toxic dictionary save
 distance. A logistic calibration, fitted by Newton's method to the same bounded sample, maps a text's
 distances to a score between 0 and 1; 0.7 and more is predicted toxic.
 
-The sample has at most ``sample`` documents of each label and SPAN characters of each (documented
+The sample has at most ``sample`` documents of each label and ``span`` characters of each (documented
 bounds), all with crc32(id) mod 3 other than 1. Labels are inputs of nothing else.
 
 Nulls and empty texts: scored like one empty window. A document with several labels counts as toxic
@@ -152,7 +152,7 @@ def fit(ordinary: list[bytes], toxic: list[bytes]) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, span: int = SPAN) -> Model | None:
     ids = F.col("id").cast("string")
     by_id = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -161,19 +161,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     )
     place = F.xxhash64(ids, F.lit("sample"))
     chosen = [by_id.where(F.col("label") == k).orderBy(place, "id").limit(sample) for k in (0, 1)]
-    at = F.pmod(F.xxhash64(ids, F.lit("place")), F.greatest(F.lit(1), F.length("text") - SPAN)).cast("int") + 1
+    at = F.pmod(F.xxhash64(ids, F.lit("place")), F.greatest(F.lit(1), F.length("text") - span)).cast("int") + 1
     rows = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
         .join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")  # at most 2 * sample rows
-        .select("id", "label", F.substring("text", at, F.lit(SPAN)).alias("text")).toPandas().sort_values(["id", "text"])
+        .select("id", "label", F.substring("text", at, F.lit(span)).alias("text")).toPandas().sort_values(["id", "text"])
     )
     texts = [[t.encode() for t in rows["text"][rows["label"] == k]] for k in (0, 1)]
     return fit(*texts) if texts[0] and texts[1] else None
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, span: int = SPAN) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    model = train(docs, labels, id_col, text_col, label_col, sample)
+    model = train(docs, labels, id_col, text_col, label_col, sample, span)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
     given = docs.select(F.col(id_col).alias("doc_id"), held_out, F.coalesce(text_col, F.lit("")).alias("text"))
 
