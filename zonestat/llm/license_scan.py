@@ -4,9 +4,9 @@ Headers are windows of 1, 2, 4, 8 and 16 lines (lines without a term don't count
 wrapped; licence files (LICENSE, COPYING, NOTICE, with any extension) are compared as a whole besides.
 Both are compared to licence templates by the cosine of sparse TF-IDF vectors; document frequencies are
 counted over all documents for all terms. A file's own licence is its best window's best template, if
-that reaches THRESHOLD. A window begins at a line with one of the templates' anchors: a template's terms
-without its anchors have less than THRESHOLD of its norm, so no window of one line that could reach it,
-and no wider one from its first such line on, is left out.
+that reaches THRESHOLD. A window begins at a line with one of the templates' anchors: a template's commonest
+terms, its anchors left out, have less than THRESHOLD of its norm, so no line that could reach it is left
+out, and a wider window begins where its first anchor is.
 
 A licence file gives its licence to its directory; files without their own inherit from the nearest
 ancestor directory that has one, found by joining the paths of all ancestors of all directories (few
@@ -91,8 +91,8 @@ def template_model(df: DataFrame, n: int, templates: dict[str, tuple[str, ...]])
             weight = {t: round(v / norm, 9) for t, v in x.items()}
             rows += [{"template": name, "rank": rank, "variant": variant, "term": t, "weight": w} for t, w in weight.items()]
             sofar = 0.0
-            for w, t in sorted((w, t) for t, w in weight.items()):
-                sofar += w * w
+            for t in sorted(weight, key=lambda t: (-known.get(t, 0), t)):  # the commonest go without
+                sofar += weight[t] ** 2
                 if sofar >= WEAK:
                     anchors.add(t)
     kinds = "array<struct<template: string, rank: int, variant: int, term: string, weight: double>>"
@@ -107,7 +107,7 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> Dat
     model, anchors = template_model(df, n, templates)
     lines = F.filter(F.split(lower_ascii(F.col("text")), "\n"), lambda x: x.rlike("[a-z0-9]"))
     anchored = lambda text: F.arrays_overlap(terms(text), F.array(*[F.lit(a) for a in anchors]))
-    starts = files.where(F.col("text").isNotNull()).select("unit", "is_file", lines.alias("lines")).select("unit", "lines", F.posexplode("lines").alias("line", "words"))
+    starts = files.where(anchored(F.col("text"))).select("unit", "is_file", lines.alias("lines")).select("unit", "lines", F.posexplode("lines").alias("line", "words"))
     near = F.slice("lines", F.col("line") + 1, max(WINDOWS))
     starts = starts.where(anchored(F.col("words"))).select("unit", "line", near.alias("near")).dropDuplicates(["unit", "line"])
     wide = starts.select("unit", "line", "near", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("width")).where("size(near) > width div 2")  # else a narrower one has all lines

@@ -112,9 +112,9 @@ SQL: dict[str, str] = {
         df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '{TERM}'))) AS term FROM f) GROUP BY term),
         tpl(template, rank, variant, notice) AS (VALUES {_TEMPLATE_ROWS}),
         tt AS (SELECT template, rank, variant, term, count(*) AS tf FROM (SELECT template, rank, variant, unnest(regexp_extract_all({_LOWER("notice")}, '{TERM}')) AS term FROM tpl) GROUP BY ALL),
-        w AS (SELECT template, rank, variant, term, tf * (ln((docs + 1) / (coalesce(df, 0) + 1)) + 1) AS x FROM tt LEFT JOIN df USING (term), n),
-        m AS (SELECT template, rank, variant, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY template, variant)), 9) AS weight FROM w),
-        anchors AS (SELECT DISTINCT term FROM (SELECT term, sum(weight * weight) OVER (PARTITION BY template, variant ORDER BY weight, term ROWS UNBOUNDED PRECEDING) AS sofar FROM m) WHERE sofar >= 0.249),
+        w AS (SELECT template, rank, variant, term, coalesce(df, 0) AS df, tf * (ln((docs + 1) / (coalesce(df, 0) + 1)) + 1) AS x FROM tt LEFT JOIN df USING (term), n),
+        m AS (SELECT template, rank, variant, term, df, round(x / sqrt(sum(x * x) OVER (PARTITION BY template, variant)), 9) AS weight FROM w),
+        anchors AS (SELECT DISTINCT term FROM (SELECT term, sum(weight * weight) OVER (PARTITION BY template, variant ORDER BY df DESC, term ROWS UNBOUNDED PRECEDING) AS sofar FROM m) WHERE sofar >= 0.249),
         al AS (SELECT list(term) AS anchors FROM anchors),
         ls AS (SELECT id, list_filter(string_split(low, chr(10)), lambda l: regexp_matches(l, '[a-z0-9]')) AS lines FROM f WHERE text IS NOT NULL),
         st AS (SELECT id, lines, i FROM (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM ls), al WHERE list_has_any(regexp_extract_all(lines[i], '{TERM}'), anchors)),
