@@ -76,6 +76,40 @@ def test_points(spark):
     assert sorted((r["lon"], r["lat"], r["weight"]) for r in got) == [(-120.5, 34.0, 1.0), (-119.2, 34.2, 1.0)]
 
 
+def test_a_ring_of_many_vertices(spark):
+    """60,000 vertices about a circle: both fills agree, the mask's area is the ring's, and no task meets all edges."""
+    n = 60_000
+    wave = [10 + 0.2 * math.sin(40 * math.pi * k / n) for k in range(n)]
+    ring = [(r * math.cos(2 * math.pi * k / n) + 0.0137, r * math.sin(2 * math.pi * k / n) + 0.0071) for k, r in enumerate(wave)]
+    rows = [("p", 0, 0, k, *ring[k], *ring[(k + 1) % n]) for k in range(n)]
+    place = spark.createDataFrame(rows, M.EDGES).repartition(4).cache()
+    lon, lat = M.axis(spark, -11.0, 0.25, 89), M.axis(spark, -11.0, 0.25, 89)
+    ax, ay = M.axis_edges(lon), M.axis_edges(lat)
+    scan = {(r["i"], r["j"]) for r in M.inside_scan(place, ax, ay).collect()}
+    assert scan == {(r["i"], r["j"]) for r in M.inside_parity(place, ax, ay).collect()}
+    area = 0.5 * sum(ring[k][0] * ring[(k + 1) % n][1] - ring[(k + 1) % n][0] * ring[k][1] for k in range(n))
+    assert len(scan) * 0.25**2 == pytest.approx(area, rel=0.01)
+    mask = M.grid_mask(place, lon, lat)
+    assert mask.agg(F.sum("weight")).first()[0] * 0.25**2 == pytest.approx(area, rel=0.001)
+    assert M.held_mask(spark, "ring", lambda: mask).count() == M.held_mask(spark, "ring", lambda: 1 / 0).count()
+
+
+def test_shares_on_an_uneven_lattice(spark):
+    lon, lat = [0, 0.5, 1.5, 4, 4.25, 9], [0, 1, 1.5, 3]
+    place = M.edges_of(spark, {"p": [[square(0.3, 0.2, 8.1, 2.4)]], "q": [[square(4.1, 0.9, 4.2, 1.1)]]})
+    got = {(r["place_id"], r["longitude"], r["latitude"]): r["weight"] for r in M.grid_mask(place, centres(spark, lon), centres(spark, lat)).collect()}
+    edge = lambda v: [v[0] - (v[1] - v[0]) / 2, *[(a + b) / 2 for a, b in zip(v, v[1:])], v[-1] + (v[-1] - v[-2]) / 2]
+    ex, ey = edge(lon), edge(lat)
+    part = lambda a, b, c, d: max(0.0, min(b, d) - max(a, c)) / (b - a)
+    sin = lambda d: math.sin(math.radians(d))
+    for p, (w, s, e, n) in {"p": (0.3, 0.2, 8.1, 2.4), "q": (4.1, 0.9, 4.2, 1.1)}.items():
+        for i, x in enumerate(lon):
+            for j, y in enumerate(lat):
+                want = part(ex[i], ex[i + 1], w, e) * max(0.0, (sin(min(ey[j + 1], n)) - sin(max(ey[j], s))) / (sin(ey[j + 1]) - sin(ey[j])))
+                if want > 1e-9:
+                    assert got[(p, x, y)] == pytest.approx(want, abs=1e-9)
+
+
 def least_box(boxes):
     """By force: of all boxes that begin at one of the boxes' sides, the narrowest that holds them all; of equal ones, one that doesn't cross 180."""
     width = lambda w, e: (e - w) % 360 if e != w else 0

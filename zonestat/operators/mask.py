@@ -1,15 +1,21 @@
 """Polygons to weighted grid cells, in DataFrame operations alone.
 
 Places are edge tables: (place_id, part, ring, k, ax, ay, bx, by), ring 0 a part's shell, the others its
-holes. Axes are tables (i, centre). Nothing here compares every cell with every edge: rows meet edges,
-and columns meet edges, by the indexes that an edge spans.
+holes. Axes are tables (i, centre). Nothing here compares every cell or point with every edge: edges meet
+columns by slots of longitude and points by bands of latitude, in equality joins on the place, the part
+and the slot, so a ring of many vertices is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bands of latitude that a part's edges and points are dealt to, at most.
+MOST_BANDS = 1 << 16
 EDGES = "place_id string, part int, ring int, k int, ax double, ay double, bx double, by double"
 
 
@@ -92,13 +98,24 @@ def inside_scan(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     return spans.join(x, F.col("lon").between(F.col("s.a"), F.col("s.b"))).select("place_id", "i", "j", "lon", "lat").distinct()
 
 
+def _bands(edges: DataFrame) -> DataFrame:
+    """By part: where its bands of latitude begin and how high they are; an edge of middling length spans one or two."""
+    return edges.groupBy("place_id", "part").agg(
+        F.min("ay").alias("y0"), ((F.max("ay") - F.min("ay")) / F.least(F.lit(MOST_BANDS), F.greatest(F.lit(1), F.ceil(F.count("*") / 4)))).alias("high")
+    )
+
+
 def _parity(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """Points with an odd number of a part's edges to their right, or on an edge; points carry place_id and part."""
+    bands = _bands(edges)  # one row for each part
     y, x = F.col("lat"), F.col("lon")
+    band = lambda at: F.floor(F.coalesce(F.try_divide(at - F.col("y0"), F.col("high")), F.lit(0.0)))
+    spans = edges.where(F.col("ay") != F.col("by")).join(bands, ["place_id", "part"])
+    spans = spans.select("place_id", "part", "ax", "ay", "bx", "by", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))).alias("band"))
+    placed = points.select(*by, "part").join(bands, ["place_id", "part"]).select(*by, "part", band(y).alias("band"))
     at = F.col("ax") + (y - F.col("ay")) * F.try_divide(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     crosses = ((F.col("ay") > y) != (F.col("by") > y)) & (x < at)
-    spans = edges.where(F.col("ay") != F.col("by"))
-    met = points.join(spans, ["place_id", "part"]).groupBy(*by, "part").agg(F.count_if(crosses).alias("n"))
+    met = placed.join(spans, ["place_id", "part", "band"]).groupBy(*by, "part").agg(F.count_if(crosses).alias("n"))
     return met.where(F.col("n") % 2 == 1).select(*by).distinct()
 
 
@@ -141,8 +158,14 @@ def covered_share(edges: DataFrame, cells: DataFrame) -> DataFrame:
     left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
     slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
     y_at = lambda x: F.when(x == F.col("ax"), F.col("ay")).when(x == F.col("bx"), F.col("by")).otherwise(F.col("ay") + (x - F.col("ax")) * slope)
+    # slots as wide as columns are on average: an edge meets the columns of its slots, each once, in the first that both have
+    slots = columns.agg(F.min("x_lo").alias("s0"), ((F.max("x_hi") - F.min("x_lo")) / F.count_distinct("i")).alias("wide"))
+    slot = lambda x: F.floor((x - F.col("s0")) / F.col("wide"))
+    dealt = lambda df, a, b: df.crossJoin(F.broadcast(slots)).withColumns({"s_lo": slot(a), "s_hi": slot(b)}).drop("s0", "wide")  # noqa: E731  one row
+    wide_columns = dealt(columns, F.col("x_lo"), F.col("x_hi")).withColumn("slot", F.explode(F.sequence("s_lo", "s_hi"))).withColumnRenamed("s_lo", "c_lo").drop("s_hi")
+    wide_edges = dealt(signed, left, right).withColumn("slot", F.explode(F.sequence("s_lo", "s_hi"))).drop("s_hi")
     spans = (
-        columns.join(signed, "place_id").where((right > F.col("x_lo")) & (left < F.col("x_hi")))
+        wide_columns.join(wide_edges, ["place_id", "slot"]).where((F.col("slot") == F.greatest("c_lo", "s_lo")) & (right > F.col("x_lo")) & (left < F.col("x_hi")))
         .withColumn("p", F.greatest(left, F.col("x_lo"))).withColumn("q", F.least(right, F.col("x_hi")))
         .select("place_id", "i", y_at(F.col("p")).alias("yp"), y_at(F.col("q")).alias("yq"), ((F.col("q") - F.col("p")) * F.col("sign") * F.signum(F.col("bx") - F.col("ax"))).alias("run"))
     )
@@ -177,6 +200,28 @@ def grid_mask(edges: DataFrame, lon: DataFrame, lat: DataFrame, weights: bool =
     return covered_share(edges, cells).select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "weight")
 
 
+_held: OrderedDict[tuple[str, str], DataFrame] = OrderedDict()
+#: Masks that a session keeps; the one that was asked for longest ago goes first.
+MOST_HELD = 32
+
+
+def held_mask(spark: SparkSession, key: str, build: Callable[[], DataFrame], most_rows: int = 1_000_000) -> DataFrame:
+    """The mask of a key (``functions.columns.mask_key`` of its place, lattice and method), computed once in a session.
+
+    A mask of at most ``most_rows`` rows is kept in memory and has a broadcast hint; a larger one is kept
+    without the hint. An evicted mask is unpersisted.
+    """
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _held:
+        kept = build().persist()
+        few = kept.limit(most_rows + 1).count() <= most_rows
+        _held[at] = F.broadcast(kept) if few else kept
+        while len(_held) > MOST_HELD:
+            _held.popitem(last=False)[1].unpersist()
+    _held.move_to_end(at)
+    return _held[at]
+
+
 def lobes(boxes: DataFrame) -> DataFrame:
     """Parts' boxes (place_id, part, x0, y0, x1, y1) grouped by the side of the antimeridian, where a place spans it."""
     place = Window.partitionBy("place_id")

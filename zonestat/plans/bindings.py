@@ -78,10 +78,11 @@ JOINED = """joined AS (
 
 
 def box_mask(spark: SparkSession) -> DataFrame:
-    from ..operators.stats import small_side
+    return M.held_mask(spark, f"box|{BOX}|{LON0},{LAT0},{STEP},{NLON},{NLAT}|weights", lambda: M.grid_mask(edges(spark, "box"), *axes(spark)).drop("place_id"))
 
-    lon, lat = axes(spark)
-    return small_side(M.grid_mask(edges(spark, "box"), lon, lat).drop("place_id"))
+
+def places_mask(spark: SparkSession) -> DataFrame:
+    return M.held_mask(spark, f"{PLACES}|{LON0},{LAT0},{STEP},{NLON},{NLAT}|centres", lambda: M.grid_mask(edges(spark, *PLACES), *axes(spark), weights=False))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

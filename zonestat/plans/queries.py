@@ -57,9 +57,7 @@ def stats_daily_kelvin(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stats_daily_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All places in one pass over the slab."""
-    lon, lat = B.axes(spark)
-    mask = A.small_side(M.grid_mask(B.edges(spark, *B.PLACES), lon, lat, weights=False))
-    return B.rounded(A.stats_daily(B.slab(spark, sf_dir), mask, C.value_expr("value")))
+    return B.rounded(A.stats_daily(B.slab(spark, sf_dir), B.places_mask(spark), C.value_expr("value")))
 
 
 @query(f"""{_GRID}, cells AS (SELECT time::DATE AS date, length(event_type)::BIGINT AS class, weight FROM joined),
