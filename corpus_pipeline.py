@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonestat.llm.common import cut, table
+from zonestat.llm.common import cut, flagged, fresh, table
 from zonestat.llm.exact_dedup import exact_dedup
-from zonestat.llm.language_id import fresh, language_id
+from zonestat.llm.language_id import language_id
 from zonestat.llm.mixing import mix
 from zonestat.llm.near_dedup import near_dedup
 from zonestat.llm.piece_codec import encode_decode
@@ -25,15 +25,12 @@ from zonestat.llm.queries import piece_model
 LEAST_SCORE = 0.3
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents with kept ids."""
-    with_id = docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    return with_id.select(docs.columns)
-
-
-def _nameless(docs: DataFrame) -> DataFrame:
-    """Documents without an id, which no decision names: they stay."""
-    return docs.where("doc_id is null")
+def _apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that may be among ``ids``, and those that aren't (null ids never are): only the former need a shuffle."""
+    flag = fresh(docs, "among")
+    told = flagged(docs, F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("h")), flag)
+    told = told.withColumn(flag, F.col(flag) & F.col("doc_id").isNotNull())
+    return told.where(F.col(flag)).select(docs.columns), told.where(~F.col(flag)).select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +42,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one document."""
+    copies = cut(exact_dedup(docs).where((F.col("group_size") > 1) & F.col("doc_id").isNotNull()).select("doc_id", "kept"))
+    some, others = _apart(docs, copies)
+    dropped = copies.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
     # rows that repeat an id and a text lie together after the join: this adds no shuffle
-    return _kept(docs, exact_dedup(docs).where("kept")).distinct().unionByName(_nameless(docs))
+    return some.join(dropped, "doc_id", "left_anti").select(docs.columns).distinct().unionByName(others)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, one document."""
-    return _kept(docs, near_dedup(docs).where("kept")).unionByName(_nameless(docs))
+    dropped = cut(near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct())
+    some, others = _apart(docs, dropped)
+    return some.join(dropped, "doc_id", "left_anti").select(docs.columns).unionByName(others)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

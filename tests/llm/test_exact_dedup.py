@@ -36,3 +36,23 @@ def test_repeats_and_empty_table(docs_of):
     assert exact_dedup(docs.limit(0)).count() == 0
     null = docs_of([(None, "q", None, None)])
     assert [(r["kept"], r["group_size"]) for r in exact_dedup(null).collect()] == [(True, 1)]
+
+
+def test_null_ids_beside_copies_and_many_texts(docs_of):
+    import random
+
+    rng = random.Random(8)
+    given = [(None if k % 50 == 49 else k, rng.choice("aAbB") * rng.randrange(1, 90) + str(rng.randrange(40)), None, None) for k in range(3000)]
+    want = {}
+    for k, t, *_ in given:
+        size, keep = want.get(t.lower(), (0, None))
+        want[t.lower()] = (size + 1, max(x for x in (k, keep, -1) if x is not None))
+    texts = {k: t for k, t, *_ in given if k is not None}
+    got = exact_dedup(docs_of(given).repartition(7)).collect()
+    assert len(got) == 3000
+    for r in got:
+        if r["doc_id"] is not None:
+            size, keep = want[texts[r["doc_id"]].lower()]
+            assert (r["group_size"], r["keep_id"], r["kept"]) == (size, keep, r["doc_id"] == keep)
+        else:
+            assert not r["kept"] or r["keep_id"] is None

@@ -28,10 +28,12 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local tests) a temporary folder is set and used.
+    Where a local session has none (tests) a temporary folder is set and used; on a cluster it must be set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="zonestat-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -59,5 +61,32 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
+#: Words of 64 marks: all that ``flagged`` broadcasts, 16 bytes each.
+MARK_WORDS = 1 << 18
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def flagged(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: false only where ``key`` isn't among the hashes of ``keys`` (its only column).
+
+    Hashes set marks in a bitmap of fixed size, which is broadcast: most rows are told apart without a shuffle, the
+    more the fewer keys there are. Rows with the flag are to be joined exactly.
+    """
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    at, bits = fresh(df, "mark_word"), fresh(df, "mark_bits")
+    (h,) = (F.col(c) for c in keys.columns)
+    marks = keys.select(word(h).alias(at), bit(h).alias("bit")).groupBy(at).agg(F.bit_or("bit").alias(bits))
+    held = df.withColumn(at, word(key)).join(F.broadcast(marks), at, "left")
+    return held.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(at, bits)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

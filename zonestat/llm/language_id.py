@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -161,14 +163,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([got, np.zeros(WINDOW, np.uint8)]), ends[:-1] - ends[0], ends[1:] - ends[0]
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have, whatever the case of its letters."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
     """Training windows of each language, ``sample`` in all if there are so many: in proportion to its rows, but FEW at least
     (less where that many don't fit for all)."""
