@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .shingles import mix, shingle_hashes, shingle_sets, steps, word_hashes
+from .shingles import mix, packed, shingle_hashes, shingle_sets, steps, unpacked, word_hashes
 
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
@@ -270,16 +270,19 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full shingle sets are similar enough."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        left, right = batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())
+        left, right = batch.column(2), batch.column(3)
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         good = np.zeros(len(a), bool)
-        for at, texts in steps(right):
+        for at, texts in unpacked(right):
             lefts, place = [], {}
             for i in range(at, at + len(texts)):  # a text that many are held against is cut up once
                 if int(a[i]) not in place:
                     place[int(a[i])] = len(lefts)
-                    lefts.append(left[i].as_py())
+                    lefts.append(unpack.decompress(left[i].as_py()))
             left_sets, right_sets = shingle_sets(lefts), shingle_sets(texts)
             for i, y in zip(range(at, at + len(texts)), right_sets, strict=True):
                 x = left_sets[place[int(a[i])]]
@@ -289,6 +292,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose packed texts (id, text) are similar."""
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
@@ -310,7 +314,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket of shingles in a batch: how many, and the least and largest label of their documents."""
     for batch in batches:
         label = batch.column("label").to_numpy()
-        for at, texts in steps(batch.column("text").cast(pa.large_binary())):
+        for at, texts in unpacked(batch.column("text")):
             sets = shingle_sets(texts)
             bucket = _bucket(np.concatenate(sets))
             of = np.repeat(label[at : at + len(texts)], [len(x) for x in sets])
@@ -336,7 +340,7 @@ def _rarest(table):
         for batch in batches:
             ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
             bits = batch.column("bits")
-            for at, texts in steps(batch.column("text").cast(pa.large_binary())):
+            for at, texts in unpacked(batch.column("text")):
                 out = []
                 for k, x in enumerate(shingle_sets(texts)):
                     n = len(x)
@@ -452,7 +456,8 @@ def settle(reps: DataFrame, labels: DataFrame, given: DataFrame, checked: DataFr
     ids = cut(dense(reps, labels))
     if not ids.limit(1).count():
         return labels
-    texts = cut(given.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(reps.select("id", "bits"), "id"))
+    texts = given.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(packed, "id long, text binary")
+    texts = cut(texts.join(reps.select("id", "bits"), "id"))
     for most in (0, *PARTNERS):
         rows = rarest(texts.join(labels, "id"))
         proposed = in_blocks(rows, most) if most else with_first(rows)
@@ -475,7 +480,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = cut(candidates(reps, reps.count()))
 
     vertices = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = cut(given.join(vertices, "id").dropDuplicates(["id"]))
+    texts = cut(given.join(vertices, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(packed, "id long, text binary"))
     # each against the least of its group of likely copies
     groups = components(vertices, pairs.where(F.col("agree") >= LIKELY))
     stars = cut(groups.where("label < id").select(F.col("label").alias("a"), F.col("id").alias("b")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -92,3 +95,30 @@ def steps(texts, limit: int = 2_000_000):
         size += len(t)
     if held:
         yield at, held
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (the second of two columns) as zstandard frames: pairs of texts are shuffled and held that way."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        frames = [pack.compress(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=["id", "text"])
+
+
+def unpacked(texts, limit: int = 2_000_000):
+    """Runs of packed texts of about ``limit`` bytes, one at least: their offset and bytes."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    held, size, at = [], 0, 0
+    for k, t in enumerate(texts):
+        t = unpack.decompress(t.as_py())
+        if held and size + len(t) > limit:
+            yield at, held
+            held, size, at = [], 0, k
+        held.append(t)
+        size += len(t)
+    if held:
+        yield at, held
