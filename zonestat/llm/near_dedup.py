@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .shingles import mix, packed, shingle_hashes, shingle_sets, steps, unpacked, word_hashes
 
 TREES, DEPTH = 16, 8
@@ -472,6 +472,11 @@ def settle(reps: DataFrame, labels: DataFrame, given: DataFrame, checked: DataFr
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    with small_batches(docs.sparkSession):
+        return _near_dedup(docs, id_col, text_col)
+
+
+def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sketched = cut(given.mapInArrow(_sketch, "id long, n long, name binary, signature binary, bits binary"))
     # one vertex for each distinct set

@@ -24,7 +24,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -83,7 +83,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     return np.split(h, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if texts else []
 
 
-def steps(texts, limit: int = 2_000_000):
+def steps(texts, limit: int = 500_000):
     """Runs of texts (an Arrow binary array) of about ``limit`` bytes, one text at least: their offset and bytes."""
     held, size, at = [], 0, 0
     for k, t in enumerate(texts):
@@ -107,7 +107,7 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=["id", "text"])
 
 
-def unpacked(texts, limit: int = 2_000_000):
+def unpacked(texts, limit: int = 500_000):
     """Runs of packed texts of about ``limit`` bytes, one at least: their offset and bytes."""
     import zstandard
 
