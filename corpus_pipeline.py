@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonestat.llm.common import cut, flagged, fresh, table
+from zonestat.llm.common import cut, flagged, fresh, lean_batches, table
 from zonestat.llm.exact_dedup import exact_dedup
 from zonestat.llm.language_id import language_id
 from zonestat.llm.mixing import mix
@@ -35,6 +35,7 @@ def _apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    lean_batches(spark)
     known = language_id(docs, keep=True)
     pred, score = known.columns[-2:]
     return known.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).drop(pred, score)
@@ -66,6 +67,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and what they decode to, as digests."""
+    lean_batches(spark)
     return encode_decode(docs, piece_model())
 
 

@@ -90,8 +90,17 @@ def flagged(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame
     return held.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(at, bits)
 
 
+#: Rows of texts in an Arrow batch; Spark's own default holds ten times as many.
+BATCH = 1000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """For what the session runs from now on: batches of BATCH rows, for executors of little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
     """While eager steps run, at most so many rows of texts in an Arrow batch: tasks hold few megabytes at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name, None)
