@@ -50,8 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove() -> None:
-    for spark, path in _written:
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table of ``df``, which ``cut`` returned, once its readers are done."""
+    names = {f.split("/cut-")[1].split("/")[0] for f in df.inputFiles() if "/cut-" in f}
+    for item in [w for w in _written if w[1].rsplit("/cut-", 1)[-1] in names]:
+        _written.remove(item)
+        _remove([item])
+
+
+def _remove(items: list[tuple[SparkSession, str]] | None = None) -> None:
+    for spark, path in _written if items is None else items:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
