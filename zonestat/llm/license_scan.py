@@ -6,7 +6,9 @@ Both are compared to licence templates by the cosine of sparse TF-IDF vectors; d
 counted over all documents for all terms. A file's own licence is its best window's best template, if
 that reaches THRESHOLD. A window begins at a line with one of the templates' anchors: a template's commonest
 terms, its anchors left out, have less than THRESHOLD of its norm, so no line that could reach it is left
-out, and a wider window begins where its first anchor is.
+out, and a wider window begins where its first anchor is. Windows whose cosine can't reach THRESHOLD are
+dropped in their own row before any shuffle: the dot products are exact there, and the norm is at least that
+of the templates' terms and of one for each other term, as no inverse document frequency is under one.
 
 A licence file gives its licence to its directory; files without their own inherit from the nearest
 ancestor directory that has one, found by joining the paths of all ancestors of all directories (few
@@ -79,8 +81,9 @@ def inverse(df: int, n: int) -> float:
     return math.log((n + 1) / (df + 1)) + 1
 
 
-def template_model(df: DataFrame, n: int, templates: dict[str, tuple[str, ...]]) -> tuple[DataFrame, list[str]]:
-    """Weights of the templates' terms (template, rank, variant, term, weight), and the anchors: as many as the templates' terms."""
+def template_model(df: DataFrame, n: int, templates: dict[str, tuple[str, ...]]) -> tuple[DataFrame, list[str], dict[str, tuple[float, list[float]]]]:
+    """Weights of the templates' terms (template, rank, variant, term, weight), the anchors, and by term its inverse
+    document frequency and its weight in each text; all as many as the templates' terms."""
     vocabulary = sorted({t for texts in templates.values() for text in texts for t in re.findall(TERM, text.lower())})
     known = {r["term"]: r["df"] for r in df.where(F.col("term").isin(vocabulary)).collect()}
     rows, anchors = [], set()
@@ -97,24 +100,49 @@ def template_model(df: DataFrame, n: int, templates: dict[str, tuple[str, ...]])
                     anchors.add(t)
     kinds = "array<struct<template: string, rank: int, variant: int, term: string, weight: double>>"
     model = df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), F.lit(kinds))).alias("m")).select("m.*")
-    return model, sorted(anchors)
+    texts = sorted({(r["rank"], r["variant"]) for r in rows})
+    by_text = {(r["rank"], r["variant"], r["term"]): r["weight"] for r in rows}
+    table = {t: (inverse(known.get(t, 0), n), [by_text.get((*text, t), 0.0) for text in texts]) for t in vocabulary}
+    return model, sorted(anchors), table
+
+
+def promising(parts: DataFrame, table: dict[str, tuple[float, list[float]]]) -> DataFrame:
+    """Parts whose best cosine may reach THRESHOLD, with all their terms; a row is judged by itself."""
+    vocabulary = list(table)
+    idf = F.array(*[F.lit(table[t][0]) for t in vocabulary])
+    weights = F.from_json(F.lit(json.dumps([table[t][1] for t in vocabulary])), F.lit("array<array<double>>"))
+    place = F.array(*[F.lit(t) for t in vocabulary])
+    keys = ["unit", "line", "width"]
+    read = parts.select(*keys, terms(F.col("words")).alias("terms"))
+    known = read.select(*keys, "terms", F.filter("terms", lambda t: t.isin(vocabulary)).alias("known"))
+    xs = F.transform(
+        F.array_distinct("known"),
+        lambda t: F.struct(F.array_position(place, t).cast("int").alias("at"), F.size(F.filter("known", lambda k: k == t)).alias("tf")),
+    )
+    counted = known.select(*keys, "terms", (F.size("terms") - F.size("known")).alias("others"), F.transform(xs, lambda x: F.struct(x["at"].alias("at"), (x["tf"] * F.element_at(idf, x["at"])).alias("x"))).alias("xs"))
+    none = F.array_repeat(F.lit(0.0), len(next(iter(table.values()))[1])) if table else F.array().cast("array<double>")
+    dots = F.aggregate("xs", none, lambda acc, x: F.zip_with(acc, F.element_at(weights, x["at"]), lambda a, w: a + w * x["x"]))
+    low = F.sqrt(F.aggregate("xs", F.col("others").cast("double"), lambda acc, x: acc + x["x"] * x["x"]))
+    # a generator, so that the test isn't pushed below the terms, which would then be parsed twice
+    judged = counted.select(*keys, "terms", F.explode(F.array(F.coalesce(F.array_max(dots) / low, F.lit(0.0)))).alias("bound"))
+    return judged.where(F.col("bound") >= THRESHOLD - 1e-5).select(*keys, "terms")
 
 
 def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """Best licence of each unit that has one (unit, own, score); units are texts, of licence files apart from others."""
     n = files.count()
     df = cut(files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    model, anchors = template_model(df, n, templates)
+    model, anchors, table = template_model(df, n, templates)
     lines = F.filter(F.split(lower_ascii(F.col("text")), "\n"), lambda x: x.rlike("[a-z0-9]"))
     anchored = lambda text: F.arrays_overlap(terms(text), F.array(*[F.lit(a) for a in anchors]))
     starts = files.where(anchored(F.col("text"))).select("unit", "is_file", lines.alias("lines")).select("unit", "lines", F.posexplode("lines").alias("line", "words"))
     near = F.slice("lines", F.col("line") + 1, max(WINDOWS))
-    starts = starts.where(anchored(F.col("words"))).select("unit", "line", near.alias("near")).dropDuplicates(["unit", "line"])
+    starts = starts.where(anchored(F.col("words"))).select("unit", "line", near.alias("near"))
     wide = starts.select("unit", "line", "near", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("width")).where("size(near) > width div 2")  # else a narrower one has all lines
     windows = wide.select("unit", "line", "width", F.array_join(F.slice("near", F.lit(1), F.col("width")), " ").alias("words"))
-    whole = files.where("is_file and text is not null").select("unit", F.lit(-1).alias("line"), F.lit(0).alias("width"), F.col("text").alias("words")).dropDuplicates(["unit"])
-    parts = windows.unionByName(whole)
-    tf = parts.select("unit", "line", "width", F.explode(terms(F.col("words"))).alias("term")).groupBy("unit", "line", "width", "term").agg(F.count("*").alias("tf"))
+    whole = files.where("is_file and text is not null").select("unit", F.lit(-1).alias("line"), F.lit(0).alias("width"), F.col("text").alias("words"))
+    parts = promising(windows.unionByName(whole), table).dropDuplicates(["unit", "line", "width"])  # texts may repeat
+    tf = parts.select("unit", "line", "width", F.explode("terms").alias("term")).groupBy("unit", "line", "width", "term").agg(F.count("*").alias("tf"))
     idf = F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     vectors = cut(tf.join(df, "term", "left").select("unit", "line", "width", "term", (F.col("tf") * idf).alias("x")))
     norm = vectors.groupBy("unit", "line", "width").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
