@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import catalog as K
+from ..operators import choices as N
 from ..operators import incremental as I
 from ..operators import mask as M
 from ..operators import series as S
@@ -445,3 +446,106 @@ def provider_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = B.read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), k % 9).alias("name"), k.alias("ord"), F.lit("u").alias("url"), F.lit("host").alias("role"))
     return K.first_providers(rows).groupBy("name").agg(F.count("*").alias("n"))
+
+
+# choices of targets, frames, boxes, lattices and names
+@query("""WITH t AS (SELECT DISTINCT 'd' || (p_partkey % 7) AS dataset, 'v' || (p_partkey % 3) AS variable, p_partkey % 7 AS k FROM part), p AS (SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN 'NMS:' ELSE 'GEO:' END || (c_custkey % 60) AS place_id FROM customer)
+    SELECT dataset, variable, place_id, CASE WHEN k = 3 THEN '90' ELSE 'all' END AS days FROM t JOIN p ON k % 3 = 0 OR (k % 3 = 1 AND place_id LIKE 'NMS:%') WHERE dataset <> 'd6'
+    UNION ALL SELECT dataset, variable, unnest(['NMS:4', 'own:' || k]), 'all' FROM t WHERE k % 3 = 2 AND dataset <> 'd6'""")
+def target_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 7
+    rule = F.when(k % 3 == 0, "all").when(k % 3 == 1, "nms").otherwise("list")
+    targets = B.read(spark, sf_dir, "part").select(
+        F.concat(F.lit("d"), k).alias("dataset"), F.concat(F.lit("v"), F.col("p_partkey") % 3).alias("variable"), rule.alias("rule"),
+        F.array(F.lit("NMS:4"), F.concat(F.lit("own:"), k)).alias("places"), F.when(k == 3, "90").alias("days")).distinct()
+    c = F.col("c_custkey")
+    places = B.read(spark, sf_dir, "customer").select(F.concat(F.when(c % 4 == 0, "NMS:").otherwise("GEO:"), c % 60).alias("place_id"))
+    return N.select_targets(targets, places, datasets=tuple(f"d{i}" for i in range(6)))
+
+
+@query("SELECT c_nationkey AS place_id, CASE WHEN max(x) - min(x) > 180 THEN 180 ELSE 0 END AS centre FROM (SELECT c_nationkey, CASE WHEN lon > 180 THEN lon - 360 WHEN lon <= -180 THEN lon + 360 ELSE lon END AS x FROM (SELECT c_nationkey, c_custkey % (20 + c_nationkey * 9) + 100.5::DOUBLE AS lon FROM customer)) GROUP BY 1")
+def frame_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon = F.col("c_custkey") % (20 + F.col("c_nationkey") * 9) + F.lit(100.5)
+    return N.frame_choice(B.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("place_id"), lon.alias("longitude")))
+
+
+_VERTICES = "v AS (SELECT c_nationkey AS place_id, (c_custkey % 60 + 150.25::DOUBLE) - CASE WHEN c_custkey % 60 > 29 THEN 360 ELSE 0 END AS lon, c_custkey % 17 + c_nationkey + 0.5::DOUBLE AS lat FROM customer WHERE c_nationkey % 5 <> 4)"
+
+
+@query(f"""WITH {_VERTICES}, p AS (SELECT n_nationkey AS place_id, CASE WHEN n_nationkey % 2 = 0 THEN -180.0 ELSE 10.0 END::DOUBLE AS x0, -1.0::DOUBLE AS y0, CASE WHEN n_nationkey % 2 = 0 THEN 180.0 ELSE 20.0 END::DOUBLE AS x1, 1.0::DOUBLE AS y1 FROM nation),
+    b AS (SELECT place_id, min((lon + 360) % 360) AS w, min(lat) AS s, max((lon + 360) % 360) AS e, max(lat) AS n FROM v JOIN p USING (place_id) WHERE x1 - x0 > 180 GROUP BY 1)
+    SELECT place_id, coalesce(w, x0) AS west, coalesce(s, y0) AS south, coalesce(e, x1) AS east, coalesce(n, y1) AS north FROM p LEFT JOIN b USING (place_id)""")
+def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    lon = (k % 60 + F.lit(150.25)) - F.when(k % 60 > 29, 360).otherwise(0)
+    vertices = B.read(spark, sf_dir, "customer").where(n % 5 != 4).select(n.alias("place_id"), lon.alias("lon"), (k % 17 + n + F.lit(0.5)).alias("lat"))
+    wide = F.col("n_nationkey") % 2 == 0
+    x0, x1 = F.when(wide, F.lit(-180.0)).otherwise(F.lit(10.0)), F.when(wide, F.lit(180.0)).otherwise(F.lit(20.0))
+    places = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place_id"), x0.alias("x0"), F.lit(-1.0).alias("y0"), x1.alias("x1"), F.lit(1.0).alias("y1"))
+    return N.map_bounds(places, vertices)
+
+
+@query("SELECT DISTINCT l_quantity AS l_quantity FROM lineitem WHERE l_quantity BETWEEN 7 AND 31")
+def axis_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.axis_table(B.read(spark, sf_dir, "lineitem"), "l_quantity", 7.0, 31.0, descending=True)
+
+
+@query("""WITH t AS (SELECT c_custkey AS k, c_custkey % 400 * 0.05::DOUBLE + CASE WHEN c_custkey % 9 = 0 THEN 0.02 ELSE 0.00003 END::DOUBLE AS x0, 80.0::DOUBLE - c_custkey % 31 * 0.05::DOUBLE - 0.00002::DOUBLE AS y0, 0.04999998::DOUBLE AS dx, CASE WHEN c_custkey % 11 = 0 THEN -0.051 ELSE -0.05 END::DOUBLE AS dy FROM customer),
+    s AS (SELECT *, round_even(x0 / 0.05::DOUBLE, 0) * 0.05::DOUBLE AS x, round_even(y0 / 0.05::DOUBLE, 0) * 0.05::DOUBLE AS y FROM t)
+    SELECT k, round(x, 6) AS x0, round(y, 6) AS y0, 0.05::DOUBLE AS dx, -0.05::DOUBLE AS dy, NOT (abs(x - x0) > 0.005::DOUBLE OR abs(y - y0) > 0.005::DOUBLE OR abs(abs(dx) - 0.05::DOUBLE) > 1e-5 OR abs(abs(dy) - 0.05::DOUBLE) > 1e-5) AS on_grid FROM s""")
+def snapped_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    x0 = k % 400 * F.lit(0.05) + F.when(k % 9 == 0, F.lit(0.02)).otherwise(F.lit(0.00003))
+    y0 = F.lit(80.0) - k % 31 * F.lit(0.05) - F.lit(0.00002)
+    dy = F.when(k % 11 == 0, F.lit(-0.051)).otherwise(F.lit(-0.05))
+    rows = B.read(spark, sf_dir, "customer").select(k.alias("k"), x0.alias("x0"), y0.alias("y0"), F.lit(0.04999998).alias("dx"), dy.alias("dy"))
+    return B.rounded(N.snap_lattice(rows, 0.05))
+
+
+_H20, _OFF = B.STEP / 2, 0.00037  # off the places' vertices: a centre on an edge is in or out by the last bit
+_FINE = f"""ax AS (SELECT i, {B.LON0 + _OFF - _H20}::DOUBLE + (i + 0.5::DOUBLE) * {B.STEP / 20}::DOUBLE AS lon FROM range({B.NLON * 20}) t(i)), ay AS (SELECT j, {B.LAT0 - _H20}::DOUBLE + (j + 0.5::DOUBLE) * {B.STEP / 20}::DOUBLE AS lat FROM range({B.NLAT * 20}) t(j))"""
+
+
+@query(f"WITH {_FINE}, {B.EDGES}, {B.INSIDE} SELECT place_id, i // 20 AS i, j // 20 AS j, round(count(*) / 400.0::DOUBLE, 6) AS weight FROM inside GROUP BY ALL")
+def sampled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = B.axes(spark)
+    return B.rounded(N.sampled_share(B.edges(spark, *B.PLACES), lon.withColumn("centre", F.col("centre") + _OFF), lat))
+
+
+@query("""WITH s AS (SELECT o_orderdate::DATE AS date, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT l_shipdate::DATE AS date, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END::DOUBLE AS mean FROM lineitem),
+    o AS (SELECT date, max(mean) AS mean_external FROM x JOIN (SELECT date, max(ord) AS ord FROM x WHERE mean IS NOT NULL GROUP BY 1) USING (date, ord) GROUP BY 1) SELECT date, n, mean_external FROM s LEFT JOIN o USING (date)""")
+def external_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = B.read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"))
+    mean = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity").cast("double"))
+    other = B.read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), mean.alias("mean"))
+    return N.in_order(N.with_daily_mean(days, other))
+
+
+@query(r"""SELECT c_custkey AS k, regexp_replace(regexp_replace(c_name || ' / ' || c_nationkey || '!', '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS file, CASE WHEN c_custkey % 3 = 0 THEN 'Name_src' WHEN c_custkey % 3 = 1 THEN 'names' ELSE 'GEOMETRY_src' END AS native,
+    regexp_matches(lower(c_name), '^[a-z0-9][a-z0-9_-]*$') AS slug, substr(sha1(c_name || '|' || c_nationkey), 1, 12) AS key FROM customer""")
+def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("c_custkey"), F.col("c_name")
+    native = F.when(k % 3 == 0, "Name").when(k % 3 == 1, "names").otherwise("GEOMETRY")
+    nation = F.col("c_nationkey").cast("string")
+    return B.read(spark, sf_dir, "customer").select(
+        k.alias("k"), C.file_safe(F.concat(name, F.lit(" / "), nation, F.lit("!"))).alias("file"), N.native_name(native, ("name", "geometry")).alias("native"), C.is_slug(F.lower(name)).alias("slug"),
+        C.mask_key(name, nation).alias("key"))
+
+
+@query("SELECT 'c' || c_nationkey AS place_id, 1990 + c_custkey % 4 AS year, count(*) FILTER (c_acctbal > 5000 AND c_custkey % 4 <> 2) AS days, count(*) FILTER (c_acctbal > 5000 AND c_custkey % 4 <> 2) = 0 AS empty FROM customer GROUP BY 1, 2")
+def empty_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    n = F.when((F.col("c_acctbal") > 5000) & (k % 4 != 2), 3)
+    return N.year_contents(B.read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_nationkey").alias("place_id"), (1990 + k % 4).alias("year"), n.alias("n")))
+
+
+@query("SELECT min(least(ps, qs)) AS low, max(greatest(ps, qs)) AS high, greatest(0.5::DOUBLE, max(abs(qs - ps))) AS anomaly FROM (SELECT l_quantity::DOUBLE AS ps, l_quantity::DOUBLE + l_linenumber AS qs FROM lineitem)")
+def map_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    return S.shared_domain(B.read(spark, sf_dir, "lineitem").select(q.alias("then"), (q + F.col("l_linenumber")).alias("now")))
+
+
+@query("SELECT year(o_orderdate) AS year, count(*) AS n, CASE year(o_orderdate) WHEN 1997 THEN 'now' WHEN 1996 THEN 'previous' WHEN 1993 THEN 'then' WHEN 1994 THEN 'then' ELSE 'other' END AS line FROM orders GROUP BY 1")
+def chart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = B.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"))
+    return S.chart_lines(years, (1993, 1994), 1997)
