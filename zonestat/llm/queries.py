@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, table
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives, integer_vectors
 from .language_id import language_id
 from .license_scan import TEMPLATES, TERM, license_scan
 from .media_chunks import media_column
@@ -16,6 +17,8 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .passages import repeated_passages
 from .piece_codec import encode_decode
+from .prefix_trie import ordered_turns, prefix_trie, regrafted
+from .simhash import simhash_dedup
 from .toxicity import toxicity
 from .warc_revisits import resolve_revisits
 
@@ -88,6 +91,24 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with the beginnings of their block's first one, as a trie; a node is its least conversation and depth."""
+    trie = prefix_trie(*regrafted(ordered_turns(table(spark, sf_dir, "conversations"))))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as an anchor; every seventh one's label is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), label.alias("label"), integer_vectors(rows, "embedding").alias("vector"))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_chunks": op8_media_chunks,
     "op9_piece_codec": op9_piece_codec,
     "op10_passages": op10_passages,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_simhash": op12_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _TEMPLATE_ROWS = ", ".join(f"('{name}', {rank}, {variant}, '{text}')" for rank, (name, texts) in enumerate(TEMPLATES.items()) for variant, text in enumerate(texts))
@@ -157,4 +181,28 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM d""",
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT c, list({'role': role, 'text': text} ORDER BY p) AS turns FROM t GROUP BY c),
+        cut AS (SELECT c, turns, c - c % 100 AS base,
+                       xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(c::VARCHAR) + 1), lambda k: ascii(substr(c::VARCHAR, k, 1))::BIGINT),
+                           lambda acc, b: list_reduce([xor(acc, b)] || [1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM own),
+        built AS (SELECT cut.c, coalesce(b.turns, [])[1:h] || cut.turns[h + 1:] AS turns FROM cut LEFT JOIN own b ON b.c = base),
+        member AS (SELECT c, d, turns[1:d] AS path, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+        node AS (SELECT d, path, count(*) AS n_convs, min(c) AS conv_id, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ended FROM member GROUP BY d, path),
+        child AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+        full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN node.d = 0 THEN 0 ELSE length(node.path[node.d].text) END AS saved FROM node LEFT JOIN child USING (d, path)),
+        below AS (SELECT a AS d, path[1:a] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY ALL),
+        up AS (SELECT d, path, conv_id FROM node)
+        SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, below.n_leaves::BIGINT AS n_leaves, below.saved_tokens::BIGINT AS saved_tokens, sha256(ended) AS ends_sha256
+        FROM full_ f JOIN below USING (d, path) LEFT JOIN up ON up.d = f.d - 1 AND up.path = f.path[1:f.d - 1]""",
+    "op13_hard_negatives": """
+        WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+        a AS (SELECT * FROM e WHERE id % 100 = 0),
+        s AS (SELECT a.id AS anchor_id, e.id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score FROM a JOIN e ON a.id <> e.id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT * FROM n WHERE rank <= 10""",
 }
