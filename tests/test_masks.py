@@ -140,6 +140,101 @@ def test_union_of_boxes_on_the_circle(spark):
 
 
 def test_lobes(spark):
-    rows = [("wide", 0, -180.0, 19.0, -161.0, 32.0), ("wide", 1, 177.0, 25.0, 180.0, 30.0), ("near", 0, -81.0, 24.0, -80.0, 25.0)]
+    """Against the rule by force, over random boxes: sides only where a place is wider than half the globe."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(40):
+        for part in range(rng.randrange(1, 5)):
+            west = rng.uniform(-179, 150) if k % 2 else rng.uniform(-30, 30)
+            south = rng.uniform(-80, 70)
+            rows.append((f"p{k}", part, west, south, west + rng.uniform(1, 29), south + rng.uniform(1, 9)))
     got = M.lobes(spark.createDataFrame(rows, "place_id string, part int, x0 double, y0 double, x1 double, y1 double")).collect()
-    assert {r["lobe_id"] for r in got} == {"wide:W", "wide:E", "near"}
+    want = {}
+    for pid, _, x0, y0, x1, y1 in rows:
+        own = [r for r in rows if r[0] == pid]
+        wide = max(r[4] for r in own) - min(r[2] for r in own) > 180
+        side = "" if not wide else ":W" if x0 + x1 < 0 else ":E"
+        old = want.get(pid + side, (999.0, 999.0, -999.0, -999.0, 0))
+        want[pid + side] = (min(old[0], x0), min(old[1], y0), max(old[2], x1), max(old[3], y1), old[4] + 1)
+    assert {r["lobe_id"]: (r["west"], r["south"], r["east"], r["north"], r["n_parts"]) for r in got} == want
+    assert any(k.endswith(":W") for k in want) and any(k[-2] != ":" for k in want)
+
+
+def wavy(n, radius, waves=40, depth=0.02):
+    import numpy as np
+
+    t = 2 * np.pi * np.arange(n) / n
+    r = radius * (1 + depth * np.sin(waves * t))
+    return np.column_stack([r * np.cos(t) + 0.0137, r * np.sin(t) + 0.0071])
+
+
+def edge_rows(spark, pid, xy):
+    import numpy as np
+    import pandas as pd
+
+    nxt = np.roll(xy, -1, axis=0)
+    return spark.createDataFrame(pd.DataFrame({"place_id": pid, "part": 0, "ring": 0, "k": range(len(xy)), "ax": xy[:, 0], "ay": xy[:, 1], "bx": nxt[:, 0], "by": nxt[:, 1]}), M.EDGES)
+
+
+def test_no_cell_or_position_is_compared_with_every_edge(spark):
+    """Masks' plans hold neither nested-loop joins nor cartesian products."""
+    place = edge_rows(spark, "p", wavy(500, 3.0)).repartition(4)
+    lon = lat = M.axis(spark, -4.0, 0.1, 81)
+    ax, ay = M.axis_edges(lon), M.axis_edges(lat)
+    points = spark.range(1000).select((F.col("id") % 80 / 10 - 4).alias("lon"), (F.col("id") % 77 / 10 - 4).alias("lat"))
+    for df in (M.inside_scan(place, ax, ay), M.inside_parity(place, ax, ay), M.candidates(place, ax, ay), M.grid_mask(place, lon, lat), M.point_mask(place, points)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_long_border_on_a_fine_lattice(spark):
+    """60,000 vertices on a lattice of 0.05 degrees: weights in seconds, rows in proportion to border cells."""
+    import time
+
+    n, radius = 60_000, 10.0
+    place = edge_rows(spark, "p", wavy(n, radius)).repartition(4).cache()
+    place.count()
+    lon = lat = M.axis(spark, -11.0, 0.05, 441)
+    M.grid_mask(place.limit(10), lon, lat).count()
+    began = time.perf_counter()
+    rows = M.grid_mask(place, lon, lat).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    took = time.perf_counter() - began
+    xy = wavy(n, radius)
+    area = 0.5 * abs(float((xy[:, 0] * [*xy[1:, 1], xy[0, 1]] - xy[:, 1] * [*xy[1:, 0], xy[0, 0]]).sum()))
+    assert rows["w"] * 0.05**2 == pytest.approx(area, rel=1e-3) and rows["n"] > 100_000
+    assert took < 8
+
+
+def test_random_polygons_by_sampling(spark):
+    """Shares of slanted rings with holes and several parts agree with the share of many fine cells inside."""
+    from zonestat.operators.choices import sampled_share
+
+    rng = random.Random(8)
+    places = {}
+    for k in range(6):
+        def star(cx, cy, r, n=9):
+            ring = [(cx + r * (0.5 + rng.random() / 2) * math.cos(2 * math.pi * i / n), cy + r * (0.5 + rng.random() / 2) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+            ring = ring if rng.random() < 0.5 else ring[::-1]
+            return [*ring, ring[0]]
+
+        places[f"p{k}"] = [[star(0.3 + k, 0.1, 1.5), star(0.3 + k, 0.1, 0.3)], [star(0.5 + k, 5.0, 1.2)]]
+    edges = M.edges_of(spark, places)
+    lon, lat = centres(spark, [x * 0.5 - 2.013 for x in range(24)]), centres(spark, [7.5, 6.75, 6, 5.2, 4.6, 4, 3.4, 2.1, 1.4, 0.9, 0.3, -0.2, -0.9, -1.7])
+    weights = {(r["place_id"], r["longitude"], r["latitude"]): r["weight"] for r in M.grid_mask(edges, lon, lat).collect()}
+    x, y = M.axis_index(M.axis_edges(lon)), M.axis_index(M.axis_edges(lat))
+    fine = {(r["place_id"], x.centre[r["i"]], y.centre[r["j"]]): r["weight"] for r in sampled_share(edges, lon, lat, 40).collect()}
+    assert len(weights) > 200
+    for key, w in weights.items():
+        assert w == pytest.approx(fine.get(key, 0.0), abs=0.03)
+
+
+def test_positions_in_places_of_all_sizes(spark):
+    """Tiles of several sides against every position by every place."""
+    rng = random.Random(17)
+    boxes = {f"p{k}": (x := rng.uniform(-180, 150), y := rng.uniform(-90, 60), x + rng.choice((0.01, 0.5, 5, 30)), y + rng.choice((0.02, 0.7, 9, 30))) for k in range(80)}
+    boxes |= {"all": (-180, -90, 180, 90), "dot": (5.0, 5.0, 5.0001, 5.0001), "shared": (10.0, 10.0, 20.0, 20.0)}
+    place = M.edges_of(spark, {p: [[square(*b)]] for p, b in boxes.items()})
+    points = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(1500)] + [(5.00005, 5.00005), (15.0, 15.0), (15.0, 15.0), (float("inf"), 0.0)]
+    got = {(r["place_id"], r["lon"], r["lat"]) for r in M.point_mask(place, spark.createDataFrame(points, "lon double, lat double")).collect()}
+    want = {(p, x, y) for p, (w, s, e, n) in boxes.items() for x, y in points if math.isfinite(x) and w <= x < e and s <= y < n}
+    assert got == want

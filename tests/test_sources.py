@@ -1,9 +1,7 @@
 """Request URLs, readers, sinks, catalog operators and the stream."""
 
 import json
-import struct
 
-import pytest
 from pyspark.sql import functions as F
 
 from zonestat.operators import catalog as K
@@ -26,27 +24,6 @@ def test_table_urls():
     assert url.endswith("&measurement_type=%22t%22&distinct()")
 
 
-def wkb(order, *rings, srid=False, z=False):
-    pack = lambda f, *v: struct.pack(order + f, *v)
-    code = 3 | (0x20000000 if srid else 0) | (0x80000000 if z else 0)
-    out = bytes([order == "<"]) + pack("I", code) + (pack("I", 4326) if srid else b"") + pack("I", len(rings))
-    for ring in rings:
-        out += pack("I", len(ring)) + b"".join(pack("ddd" if z else "dd", *p, *([9.0] if z else [])) for p in ring)
-    return out
-
-
-def test_wkb(spark):
-    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
-    multi = b"\x01" + struct.pack("<II", 6, 2) + wkb("<", ring) + wkb(">", ring, ring)
-    values = [wkb("<", ring), wkb(">", ring, srid=True), wkb("<", ring, z=True), multi, None]
-    rows = spark.createDataFrame(list(enumerate(values)), "k int, g binary").select("k", readers.wkb_parts(F.col("g")).alias("p")).orderBy("k").collect()
-    assert [len(r["p"]) if r["p"] else 0 for r in rows] == [1, 1, 1, 2, 0]
-    assert [(p["x"], p["y"]) for p in rows[2]["p"][0][0]] == ring
-    assert len(rows[3]["p"][1]) == 2
-    with pytest.raises(ValueError):
-        readers._decode(b"\x01" + struct.pack("<I", 99))
-
-
 def test_csv_with_units(spark, tmp_path):
     (tmp_path / "a.csv").write_text('time (UTC),sst (degree_C),name\n2026-01-01,NaN,"a, ""b"""\n2026-01-02,,c\n2026-01-03,1.5,d\n')
     rows = readers.csv_with_units(spark, str(tmp_path / "a.csv"), ("sst",)).orderBy("time").collect()

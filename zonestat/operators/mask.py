@@ -1,21 +1,27 @@
 """Polygons to weighted grid cells, in DataFrame operations alone.
 
 Places are edge tables: (place_id, part, ring, k, ax, ay, bx, by), ring 0 a part's shell, the others its
-holes. Axes are tables (i, centre). Nothing here compares every cell or point with every edge: edges meet
-columns by slots of longitude and points by bands of latitude, in equality joins on the place, the part
-and the slot, so a ring of many vertices is spread over many tasks.
+holes. Axes are tables of cell centres. An axis is one vector, small beside any slab: it is read once (at most
+LONGEST cells) and goes into expressions as a constant, so an edge finds its rows and columns by binary search,
+without a join, and makes rows only for cells that it meets. Positions meet parts by tiles, then edges by
+bands of latitude, in equality joins. Nothing here compares every cell or point with every edge.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bands of latitude that a part's edges and points are dealt to, at most.
 MOST_BANDS = 1 << 16
+#: Cells of an axis, at most.
+LONGEST = 1 << 20
+#: Sides of tiles in degrees; a part's box is dealt to the least ones of which it has TILES or fewer each way.
+SIDES, TILES = (1.0, 8.0, 64.0, 512.0), 8
 EDGES = "place_id string, part int, ring int, k int, ax double, ay double, bx double, by double"
 
 
@@ -55,6 +61,41 @@ def axis_edges(centres: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class AxisIndex:
+    """An axis by ascending centre: what each cell's centre and edges are, and which cells a value lies among."""
+
+    centre: list[float]
+    lo: list[float]
+    hi: list[float]
+
+    def vector(self, name: str) -> Column:
+        values = getattr(self, name)
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") if values else F.array().cast("array<double>")
+
+    def count(self, name: str, value: Column, closed: bool = False) -> Column:
+        """How many cells have a smaller centre or edge than ``value`` (or an equal one, if ``closed``), by binary search."""
+        at = self.vector(name)
+        before = lambda k: F.get(at, k - 1) <= value if closed else F.get(at, k - 1) < value
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(self.centre).bit_length()))]).cast("array<int>")
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(before(n + step), n + step).otherwise(n))
+
+    def cells(self, first: Column, last: Column, **names: str) -> Column:
+        """Cells from ``first`` to ``last``: their numbers (name of ``number``) and centres or edges, as an array of structs; empty if there are none."""
+        number = names.pop("number")
+        given = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(given, lambda k: F.struct(k.alias(number), *[F.get(self.vector(of), k).alias(name) for name, of in names.items()]))
+
+
+def axis_index(axis: DataFrame) -> AxisIndex:
+    """The index of ``axis_edges``' rows."""
+    rows = axis.select("centre", "lo", "hi").limit(LONGEST + 1).collect()
+    if len(rows) > LONGEST:
+        raise ValueError(f"an axis has more than {LONGEST} cells")
+    rows = sorted((float(r["centre"]), float(r["lo"]), float(r["hi"])) for r in rows)
+    return AxisIndex(*([r[k] for r in rows] for k in range(3)))
+
+
 def axis_spacing(centres: DataFrame) -> DataFrame:
     """The median gap between neighbouring centres."""
     gap = F.col("centre") - F.lag("centre").over(Window.orderBy("centre"))
@@ -67,35 +108,41 @@ def part_boxes(edges: DataFrame) -> DataFrame:
     return shell.groupBy("place_id", "part").agg(F.min("ax").alias("x0"), F.min("ay").alias("y0"), F.max("ax").alias("x1"), F.max("ay").alias("y1"))
 
 
-def _within(boxes: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
-    """Cells (by part) whose centres lie in a part's box: boxes meet each axis, then columns meet rows of the same part."""
-    x = ax.select(F.col("i"), F.col("centre").alias("lon"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))
-    y = ay.select(F.col("i").alias("j"), F.col("centre").alias("lat"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"))
-    columns = boxes.join(x, F.col("lon").between(F.col("x0"), F.col("x1"))).select("place_id", "part", "i", "lon", "x_lo", "x_hi")
-    rows = boxes.join(y, F.col("lat").between(F.col("y0"), F.col("y1"))).select("place_id", "part", "j", "lat", "y_lo", "y_hi")
-    return columns.join(rows, ["place_id", "part"])
+def _within(boxes: DataFrame, x: AxisIndex, y: AxisIndex) -> DataFrame:
+    """Cells (by part) whose centres lie in a part's box."""
+    columns = x.cells(x.count("centre", F.col("x0")), x.count("centre", F.col("x1"), closed=True) - 1, number="i", lon="centre")
+    rows = y.cells(y.count("centre", F.col("y0")), y.count("centre", F.col("y1"), closed=True) - 1, number="j", lat="centre")
+    return boxes.select("place_id", "part", columns.alias("c"), F.explode(rows).alias("r")).select("place_id", "part", "r.j", "r.lat", F.inline("c"))
 
 
 def candidates(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
-    return _within(part_boxes(edges), ax, ay).select("place_id", "i", "j", "lon", "lat").distinct()
+    """Cells whose centres lie in the box of one of the place's parts."""
+    return _within(part_boxes(edges), axis_index(ax), axis_index(ay)).select("place_id", "i", "j", "lon", "lat").distinct()
+
+
+def _crossings(edges: DataFrame, y: AxisIndex) -> DataFrame:
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    met = y.cells(y.count("centre", low), y.count("centre", high) - 1, number="j", lat="centre")
+    rows = edges.where(F.col("ay") != F.col("by")).select("place_id", "part", "ax", "ay", "bx", "by", F.inline(met))
+    at = F.col("ax") + (F.col("lat") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    return rows.groupBy("place_id", "part", "j", "lat").agg(F.array_sort(F.collect_list(at)).alias("xs"))
 
 
 def crossings(edges: DataFrame, ay: DataFrame) -> DataFrame:
     """Where each row of cells crosses a part's rings: (place_id, part, j, lat, xs ascending); half-open in latitude."""
-    lat, steep = F.col("lat"), F.col("ay") != F.col("by")
-    y = ay.select(F.col("i").alias("j"), F.col("centre").alias("lat"))
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    met = edges.where(steep).join(y, (lat >= low) & (lat < high))
-    x = F.col("ax") + (lat - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    return met.groupBy("place_id", "part", "j", "lat").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+    return _crossings(edges, axis_index(ay))
+
+
+def _scan(edges: DataFrame, x: AxisIndex, y: AxisIndex) -> DataFrame:
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.element_at("xs", 2 * k + 1).alias("a"), F.element_at("xs", 2 * k + 2).alias("b")))
+    spans = _crossings(edges, y).where(F.size("xs") >= 2).select("place_id", "j", "lat", F.explode(pairs).alias("s"))
+    filled = x.cells(x.count("centre", F.col("s.a")), x.count("centre", F.col("s.b"), closed=True) - 1, number="i", lon="centre")
+    return spans.select("place_id", "j", "lat", F.inline(filled)).select("place_id", "i", "j", "lon", "lat").distinct()
 
 
 def inside_scan(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     """Cells whose centres are inside, by filling rows between pairs of crossings (closed in longitude)."""
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.element_at("xs", 2 * k + 1).alias("a"), F.element_at("xs", 2 * k + 2).alias("b")))
-    spans = crossings(edges, ay).where(F.size("xs") >= 2).select("place_id", "j", "lat", F.explode(pairs).alias("s"))
-    x = ax.select("i", F.col("centre").alias("lon"))
-    return spans.join(x, F.col("lon").between(F.col("s.a"), F.col("s.b"))).select("place_id", "i", "j", "lon", "lat").distinct()
+    return _scan(edges, axis_index(ax), axis_index(ay))
 
 
 def _bands(edges: DataFrame) -> DataFrame:
@@ -121,14 +168,32 @@ def _parity(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
 
 def inside_parity(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     """Cells whose centres are inside, by counting crossings of each candidate: the second, independent way."""
-    return _parity(_within(part_boxes(edges), ax, ay), edges, ["place_id", "i", "j", "lon", "lat"])
+    return _parity(_within(part_boxes(edges), axis_index(ax), axis_index(ay)), edges, ["place_id", "i", "j", "lon", "lat"])
+
+
+def _tile(at: str | Column, side: Column) -> Column:
+    return F.floor((F.col(at) if isinstance(at, str) else at) / side).cast("int")
+
+
+def _boxed(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points (lon, lat) with the parts whose boxes hold them.
+
+    A box is dealt to the tiles that it touches, of the least side that makes them few; a point lies in one tile of each side.
+    """
+    side = F.lit(SIDES[-1])
+    for s in reversed(SIDES[:-1]):
+        side = F.when(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= (TILES - 1) * s, F.lit(s)).otherwise(side)
+    dealt = boxes.withColumn("side", side)
+    dealt = dealt.withColumn("tx", F.explode(F.sequence(_tile("x0", F.col("side")), _tile("x1", F.col("side"))))).withColumn("ty", F.explode(F.sequence(_tile("y0", F.col("side")), _tile("y1", F.col("side")))))
+    placed = points.withColumn("side", F.explode(F.array(*map(F.lit, SIDES)))).withColumns({"tx": _tile("lon", F.col("side")), "ty": _tile("lat", F.col("side"))})
+    met = placed.join(dealt, ["side", "tx", "ty"])
+    return met.where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("place_id", "part", "lon", "lat")
 
 
 def point_mask(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Distinct finite positions (lon, lat) inside a place, with weight 1."""
     finite = points.select(F.col("lon").cast("double"), F.col("lat").cast("double")).where(~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")))
-    boxed = finite.distinct().join(part_boxes(edges), F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    return _parity(boxed, edges, ["place_id", "lon", "lat"]).withColumn("weight", F.lit(1.0))
+    return _parity(_boxed(finite.distinct(), part_boxes(edges)), edges, ["place_id", "lon", "lat"]).withColumn("weight", F.lit(1.0))
 
 
 def _clipped(a: Column, b: Column, low: Column, high: Column) -> Column:
@@ -146,58 +211,62 @@ def _clipped(a: Column, b: Column, low: Column, high: Column) -> Column:
     return F.when(length > 0, part + above).otherwise(flat)
 
 
-def covered_share(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """The share of each cell (place_id, i, j, x_lo, x_hi, y_lo, y_hi) that the place's parts cover, at most 1.
+def _swept(edges: DataFrame, cells: DataFrame, x: AxisIndex, y: AxisIndex) -> DataFrame:
+    """The share of each cell (place_id, i, j) that the place's parts cover, at most 1; cells of no share are left out.
 
-    Green's theorem edge by edge: each edge adds, signed by its direction, the area between it and the
-    cell's lower side. Shells count positive and holes negative, whatever their direction; parts add up.
+    Green's theorem edge by edge: each edge adds, signed by its direction, the area between it and a cell's lower side.
+    Shells count positive and holes negative, whatever their direction; parts add up. An edge is cut at the columns' sides.
+    In its column it meets the cells that it passes through; to all cells below these it adds its whole width, which
+    reaches them as a running total from the top of the column. So rows are made for border cells alone.
     """
     turn = edges.groupBy("place_id", "part", "ring").agg(F.sum((F.col("bx") - F.col("ax")) * (F.col("by") + F.col("ay"))).alias("turn"))
-    signed = edges.join(turn, ["place_id", "part", "ring"]).withColumn("sign", F.signum("turn") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)).where(F.col("ax") != F.col("bx"))
-    columns = cells.select("place_id", "i", "x_lo", "x_hi").distinct()
-    left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
+    signed = edges.join(turn, ["place_id", "part", "ring"]).where(F.col("ax") != F.col("bx"))
+    signed = signed.withColumns({"sign": F.signum("turn") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0), "left": F.least("ax", "bx"), "right": F.greatest("ax", "bx")})
+    columns = x.cells(x.count("hi", F.col("left"), closed=True), x.count("lo", F.col("right")) - 1, number="i", x_lo="lo", x_hi="hi")
+    pieces = signed.select("place_id", "ax", "ay", "bx", "by", "left", "right", "sign", F.inline(columns))
     slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
-    y_at = lambda x: F.when(x == F.col("ax"), F.col("ay")).when(x == F.col("bx"), F.col("by")).otherwise(F.col("ay") + (x - F.col("ax")) * slope)
-    # slots as wide as columns are on average: an edge meets the columns of its slots, each once, in the first that both have
-    slots = columns.agg(F.min("x_lo").alias("s0"), ((F.max("x_hi") - F.min("x_lo")) / F.count_distinct("i")).alias("wide"))
-    slot = lambda x: F.floor((x - F.col("s0")) / F.col("wide"))
-    dealt = lambda df, a, b: df.crossJoin(F.broadcast(slots)).withColumns({"s_lo": slot(a), "s_hi": slot(b)}).drop("s0", "wide")  # noqa: E731  one row
-    wide_columns = dealt(columns, F.col("x_lo"), F.col("x_hi")).withColumn("slot", F.explode(F.sequence("s_lo", "s_hi"))).withColumnRenamed("s_lo", "c_lo").drop("s_hi")
-    wide_edges = dealt(signed, left, right).withColumn("slot", F.explode(F.sequence("s_lo", "s_hi"))).drop("s_hi")
-    spans = (
-        wide_columns.join(wide_edges, ["place_id", "slot"]).where((F.col("slot") == F.greatest("c_lo", "s_lo")) & (right > F.col("x_lo")) & (left < F.col("x_hi")))
-        .withColumn("p", F.greatest(left, F.col("x_lo"))).withColumn("q", F.least(right, F.col("x_hi")))
-        .select("place_id", "i", y_at(F.col("p")).alias("yp"), y_at(F.col("q")).alias("yq"), ((F.col("q") - F.col("p")) * F.col("sign") * F.signum(F.col("bx") - F.col("ax"))).alias("run"))
-    )
-    met = cells.join(spans, ["place_id", "i"]).where(F.greatest("yp", "yq") > F.col("y_lo"))
-    area = F.sum(F.col("run") * _clipped(F.col("yp"), F.col("yq"), F.col("y_lo"), F.col("y_hi")))
-    whole = (F.col("x_hi") - F.col("x_lo")) * (F.sin(F.radians("y_hi")) - F.sin(F.radians("y_lo")))
-    share = met.groupBy("place_id", "i", "j", "lon", "lat", whole.alias("whole")).agg(area.alias("area"))
-    return share.where("area > 1e-12 * whole").select("place_id", "i", "j", "lon", "lat", F.least(F.lit(1.0), F.col("area") / F.col("whole")).alias("weight"))
+    y_at = lambda at: F.when(at == F.col("ax"), F.col("ay")).when(at == F.col("bx"), F.col("by")).otherwise(F.col("ay") + (at - F.col("ax")) * slope)
+    pieces = pieces.withColumns({"p": F.greatest("left", "x_lo"), "q": F.least("right", "x_hi")})
+    pieces = pieces.select("place_id", "i", y_at(F.col("p")).alias("yp"), y_at(F.col("q")).alias("yq"), ((F.col("q") - F.col("p")) * F.col("sign") * F.signum(F.col("bx") - F.col("ax"))).alias("run"))
+    low, high = F.least("yp", "yq"), F.greatest("yp", "yq")
+    pieces = pieces.withColumns({"j0": y.count("hi", low, closed=True), "j1": y.count("lo", high) - 1})
+    rows = y.cells(F.col("j0"), F.greatest("j0", "j1"), number="j", y_lo="lo", y_hi="hi")  # j0 may lie above the axis: its cells are null
+    met = pieces.select("place_id", "i", "yp", "yq", "run", "j0", "j1", F.inline(rows))
+    inside = F.when(F.col("j") <= F.col("j1"), F.col("run") * _clipped(F.col("yp"), F.col("yq"), F.col("y_lo"), F.col("y_hi"))).otherwise(0.0)
+    border = met.select("place_id", "i", "j", F.coalesce(inside, F.lit(0.0)).alias("part"), F.when(F.col("j") == F.col("j0"), F.col("run")).otherwise(0.0).alias("run"), F.lit(False).alias("wanted"))
+    asked = cells.select("place_id", "i", "j", F.lit(0.0).alias("part"), F.lit(0.0).alias("run"), F.lit(True).alias("wanted"))
+    whole = border.unionByName(asked).groupBy("place_id", "i", "j").agg(F.sum("part").alias("part"), F.sum("run").alias("run"), F.max("wanted").alias("wanted"))
+    above = F.sum("run").over(Window.partitionBy("place_id", "i").orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, -1))  # a column has as many rows as the axis, at most
+    whole = whole.withColumn("above", F.coalesce(above, F.lit(0.0))).where("wanted")
+    side = lambda of, axis, k: F.get(axis.vector(of), F.col(k))
+    height = F.sin(F.radians(side("hi", y, "j"))) - F.sin(F.radians(side("lo", y, "j")))
+    whole = whole.select("place_id", "i", "j", side("centre", x, "i").alias("lon"), side("centre", y, "j").alias("lat"), (F.col("part") + F.col("above") * height).alias("area"), ((side("hi", x, "i") - side("lo", x, "i")) * height).alias("full"))
+    return whole.where("area > 1e-12 * full").select("place_id", "i", "j", "lon", "lat", F.least(F.lit(1.0), F.col("area") / F.col("full")).alias("weight"))
+
+
+def covered_share(edges: DataFrame, cells: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
+    """The share of each cell (place_id, i, j) that the place's parts cover: place_id, i, j, lon, lat, weight."""
+    return _swept(edges, cells, axis_index(ax), axis_index(ay))
 
 
 def grid_mask(edges: DataFrame, lon: DataFrame, lat: DataFrame, weights: bool = True) -> DataFrame:
     """Cells of a lattice (columns ``centre``) covered by places: place_id, latitude, longitude, weight.
 
     With weights, cells inside and their eight neighbours count by the share that the place covers; a
-    place without any cell centre inside takes the cells that its parts' boxes touch.
+    place without any cell centre inside takes the cells that its parts' boxes touch. By place, latitude and longitude.
     """
-    # axes and the cells inside are each used several times
-    ax, ay = axis_edges(lon).persist(), axis_edges(lat).persist()
-    inside = inside_scan(edges, ax, ay)
-    inside = inside.persist() if weights else inside
+    x, y = axis_index(axis_edges(lon)), axis_index(axis_edges(lat))
+    inside = _scan(edges, x, y)
+    named = lambda df, weight: df.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), weight.alias("weight"))
     if not weights:
-        return inside.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.lit(1.0).alias("weight"))
-    x = ax.select(F.col("i"), F.col("centre").alias("lon"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))
-    y = ay.select(F.col("i").alias("j"), F.col("centre").alias("lat"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"))
-    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    around = inside.select("place_id", near("i").alias("i"), "j").select("place_id", "i", near("j").alias("j")).distinct()
+        return named(inside, F.lit(1.0))
+    # the cells inside are made twice from the edges, which costs less than to keep them
+    near = lambda c, n: F.explode(F.sequence(F.greatest(F.col(c) - 1, F.lit(0)), F.least(F.col(c) + 1, F.lit(n - 1)))).alias(c)
+    around = inside.select("place_id", near("i", len(x.centre)), "j").select("place_id", "i", near("j", len(y.centre)))
     missed = part_boxes(edges).join(inside.select("place_id").distinct(), "place_id", "left_anti")
-    touch_x = missed.join(x, (F.col("x_hi") >= F.col("x0")) & (F.col("x_lo") <= F.col("x1"))).select("place_id", "part", "i")
-    touch_y = missed.join(y, (F.col("y_hi") >= F.col("y0")) & (F.col("y_lo") <= F.col("y1"))).select("place_id", "part", "j")
-    seeds = touch_x.join(touch_y, ["place_id", "part"]).select("place_id", "i", "j").distinct()
-    cells = around.unionByName(seeds).join(x, "i").join(y, "j")
-    return covered_share(edges, cells).select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "weight")
+    touch = lambda axis, a, b, name: F.explode(axis.cells(axis.count("hi", F.col(a)), axis.count("lo", F.col(b), closed=True) - 1, number=name))
+    seeds = missed.select("place_id", "y0", "y1", touch(x, "x0", "x1", "i").alias("c")).select("place_id", "c.i", touch(y, "y0", "y1", "j").alias("r")).select("place_id", "i", "r.j")
+    return named(_swept(edges, around.unionByName(seeds), x, y), F.col("weight"))
 
 
 _held: OrderedDict[tuple[str, str], DataFrame] = OrderedDict()

@@ -77,6 +77,86 @@ JOINED = """joined AS (
     ON round(s.latitude::DOUBLE, 3) = round(m.latitude, 3) AND round(s.longitude::DOUBLE, 3) = round(m.longitude, 3))"""
 
 
+# parcels: a place for each supplier, of slanted rings, some with a hole or a second part; its boxes stand for it where areas are compared
+_SHELL = ((0.0, 0.0), (1.0, 0.13), (0.87, 1.0), (0.4, 0.62), (0.05, 0.93))
+_HOLE = ((0.3, 0.2), (0.6, 0.25), (0.45, 0.5))
+_SECOND = ((1.1, 0.2), (1.5, 0.3), (1.2, 0.8))
+#: part, ring, corners, and which suppliers have it.
+_RINGS = ((0, 0, _SHELL, "true"), (0, 1, _HOLE, "s_suppkey % 3 = 0"), (1, 0, _SECOND, "s_suppkey % 5 = 0"))
+_AT = {
+    "x0": f"{LON0} + {STEP} * (s_suppkey * 7 % 10) - 0.0187", "y0": f"{LAT0} + {STEP} * (s_suppkey * 3 % 11) - 0.0213",
+    "dx": f"{STEP} * (1 + s_suppkey % 4) + 0.0113", "dy": f"{STEP} * (1 + s_suppkey % 6) + 0.0071",
+}
+_doubles = lambda text: __import__("re").sub(r"(?<![\w.])(\d+\.\d+)", r"CAST(\1 AS DOUBLE)", text)
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """place_id, parts."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", *[F.expr(_doubles(e)).alias(c) for c, e in _AT.items()])
+    point = lambda p: F.struct((F.col("x0") + F.lit(p[0]) * F.col("dx")).alias("x"), (F.col("y0") + F.lit(p[1]) * F.col("dy")).alias("y"))
+    ring = lambda corners: F.array(*map(point, (*corners, corners[0])))
+    first = F.when(F.expr(_RINGS[1][3]), F.array(ring(_SHELL), ring(_HOLE))).otherwise(F.array(ring(_SHELL)))
+    parts = F.when(F.expr(_RINGS[2][3]), F.array(first, F.array(ring(_SECOND)))).otherwise(F.array(first))
+    return s.select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), parts.alias("parts"))
+
+
+def parcel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.edges_from_parts(parcels(spark, sf_dir))
+
+
+_CORNERS = ", ".join(
+    f"({part}, {ring}, {k}, {', '.join(f'{v}::DOUBLE' for v in (*corners[k], *corners[(k + 1) % len(corners)]))})" for part, ring, corners, _ in _RINGS for k in range(len(corners))
+)
+PARCELS = f"""parcel AS (SELECT s_suppkey, 's' || s_suppkey AS place_id, {', '.join(f'{_doubles(e)} AS {c}' for c, e in _AT.items())} FROM supplier),
+    corner(part, ring, k, px, py, qx, qy) AS (VALUES {_CORNERS}),
+    pe AS (SELECT place_id, part, ring, k, x0 + px * dx AS px, y0 + py * dy AS py, x0 + qx * dx AS qx, y0 + qy * dy AS qy FROM parcel, corner
+           WHERE ring = 0 AND part = 0 OR ring = 1 AND s_suppkey % 3 = 0 OR part = 1 AND s_suppkey % 5 = 0),
+    edges AS (SELECT place_id, part, px, py, qx, qy FROM pe)"""
+
+
+def slab_axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The axes that the slab's rows lie on."""
+    from ..operators.choices import axis_table
+
+    e = read(spark, sf_dir, "events").select(F.expr(_doubles(f"{LON0} + {STEP} * (user_id div {NLAT} % {NLON})")).alias("lon"), F.expr(_doubles(f"{LAT0} + {STEP} * (user_id % {NLAT})")).alias("lat"))
+    return tuple(axis_table(e, c, -360.0, 360.0).withColumnRenamed(c, "centre") for c in ("lon", "lat"))
+
+
+SLAB_AXES = f"""ax AS (SELECT row_number() OVER (ORDER BY lon) - 1 AS i, lon FROM (SELECT DISTINCT {_doubles(f'{LON0} + {STEP} * (user_id // {NLAT} % {NLON})')} AS lon FROM events)),
+    ay AS (SELECT row_number() OVER (ORDER BY lat) - 1 AS j, lat FROM (SELECT DISTINCT {_doubles(f'{LAT0} + {STEP} * (user_id % {NLAT})')} AS lat FROM events))"""
+
+
+def parcel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of parcels whose rings are boxes: each shell, hole or second part by its corners' least and largest shares."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", *[F.expr(_doubles(e)).alias(c) for c, e in _AT.items()])
+    sides = lambda corners: [f(v) for f in (min, max) for v in zip(*corners, strict=True)]
+
+    def ring(corners: tuple) -> Column:
+        w, south, e, n = sides(corners)
+        return F.array(*[F.struct((F.col("x0") + F.lit(x) * F.col("dx")).alias("x"), (F.col("y0") + F.lit(y) * F.col("dy")).alias("y")) for x, y in ((w, south), (e, south), (e, n), (w, n), (w, south))])
+
+    first = F.when(F.expr(_RINGS[1][3]), F.array(ring(_SHELL), ring(_HOLE))).otherwise(F.array(ring(_SHELL)))
+    parts = F.when(F.expr(_RINGS[2][3]), F.array(first, F.array(ring(_SECOND)))).otherwise(F.array(first))
+    return M.edges_from_parts(s.select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), parts.alias("parts")))
+
+
+_SIDES = ", ".join(f"({1 - 2 * ring}, {part}, {ring}, {', '.join(f'{f(v)}::DOUBLE' for f in (min, max) for v in zip(*corners, strict=True))})" for part, ring, corners, _ in _RINGS)
+#: Cells inside or beside one inside (or, of places with none, those that a part touches), by the share that boxes less holes cover.
+BOX_PARCELS = f"""parcel AS (SELECT s_suppkey, 's' || s_suppkey AS place_id, {', '.join(f'{_doubles(e)} AS {c}' for c, e in _AT.items())} FROM supplier),
+    side(sign, part, ring, wx, sy, ex, ny) AS (VALUES {_SIDES}),
+    pb AS (SELECT place_id, part, sign, x0 + wx * dx AS w, y0 + sy * dy AS s, x0 + ex * dx AS e, y0 + ny * dy AS n FROM parcel, side
+           WHERE ring = 0 AND part = 0 OR ring = 1 AND s_suppkey % 3 = 0 OR part = 1 AND s_suppkey % 5 = 0),
+    {SLAB_AXES},
+    ex AS (SELECT i, lon, lon - coalesce((lon - lag(lon) OVER o) / 2, (lead(lon) OVER o - lon) / 2, 0.5::DOUBLE) AS x_lo, lon + coalesce((lead(lon) OVER o - lon) / 2, (lon - lag(lon) OVER o) / 2, 0.5::DOUBLE) AS x_hi FROM ax WINDOW o AS (ORDER BY lon)),
+    ey AS (SELECT j, lat, lat - coalesce((lat - lag(lat) OVER o) / 2, (lead(lat) OVER o - lat) / 2, 0.5::DOUBLE) AS y_lo, lat + coalesce((lead(lat) OVER o - lat) / 2, (lat - lag(lat) OVER o) / 2, 0.5::DOUBLE) AS y_hi FROM ay WINDOW o AS (ORDER BY lat)),
+    ins AS (SELECT DISTINCT place_id, i, j FROM (SELECT place_id, part, i, j FROM pb, ax, ay WHERE lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY ALL HAVING sum(sign) = 1)),
+    want AS (SELECT DISTINCT place_id, i + a AS i, j + b AS j FROM ins, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)
+             UNION SELECT place_id, i, j FROM pb, ex, ey WHERE sign = 1 AND x_hi >= w AND x_lo <= e AND y_hi >= s AND y_lo <= n AND place_id NOT IN (SELECT place_id FROM ins)),
+    mask AS (SELECT place_id, lat AS latitude, lon AS longitude, least(1.0::DOUBLE, sum(sign * greatest(0.0::DOUBLE, least(x_hi, e) - greatest(x_lo, w)) / (x_hi - x_lo)
+                 * greatest(0.0::DOUBLE, sin(radians(least(y_hi, n))) - sin(radians(greatest(y_lo, s)))) / (sin(radians(y_hi)) - sin(radians(y_lo))))) AS weight
+             FROM want JOIN ex USING (i) JOIN ey USING (j) JOIN pb USING (place_id) GROUP BY ALL HAVING weight > 1e-9)"""
+
+
 def box_mask(spark: SparkSession) -> DataFrame:
     return M.held_mask(spark, f"box|{BOX}|{LON0},{LAT0},{STEP},{NLON},{NLAT}|weights", lambda: M.grid_mask(edges(spark, "box"), *axes(spark)).drop("place_id"))
 

@@ -13,6 +13,7 @@ from ..operators import choices as N
 from ..operators import incremental as I
 from ..operators import mask as M
 from ..operators import series as S
+from ..functions.wkb import parts_wkb, wkb_edges
 from ..operators import stats as A
 from ..sources.readers import info_extent
 from . import bindings as B
@@ -102,27 +103,42 @@ def slab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # masks
-@query(f"WITH {B.AXES}, {B.EDGES}, {B.INSIDE} SELECT place_id, round(lat, 6) AS latitude, round(lon, 6) AS longitude, 1.0::DOUBLE AS weight FROM inside")
+_CELLS = f"WITH {B.SLAB_AXES}, {B.PARCELS}, {B.INSIDE}"
+
+
+@query(f"{_CELLS} SELECT place_id, round(lat, 6) AS latitude, round(lon, 6) AS longitude, 1.0::DOUBLE AS weight FROM inside")
 def grid_mask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lon, lat = B.axes(spark)
-    return B.rounded(M.grid_mask(B.edges(spark, *B.PLACES), lon, lat, weights=False))
+    """Suppliers' parcels on the slab's own axes."""
+    return B.rounded(M.grid_mask(B.parcel_edges(spark, sf_dir), *B.slab_axes(spark, sf_dir), weights=False))
 
 
-@query(f"WITH {B.AXES}, {B.EDGES}, {B.INSIDE} SELECT place_id, i, j, round(lon, 6) AS lon, round(lat, 6) AS lat FROM inside")
+@query(f"{_CELLS} SELECT place_id, i, j, round(lon, 6) AS lon, round(lat, 6) AS lat FROM inside")
 def grid_mask_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lon, lat = B.axes(spark)
-    return B.rounded(M.inside_parity(B.edges(spark, *B.PLACES), M.axis_edges(lon), M.axis_edges(lat)).select("place_id", F.col("i").cast("long"), F.col("j").cast("long"), "lon", "lat"))
+    lon, lat = B.slab_axes(spark, sf_dir)
+    return B.rounded(M.inside_parity(B.parcel_edges(spark, sf_dir), M.axis_edges(lon), M.axis_edges(lat)).select("place_id", F.col("i").cast("long"), F.col("j").cast("long"), "lon", "lat"))
+
+
+@query(f"WITH {B.SLAB_AXES}, {B.PARCELS}, box AS (SELECT place_id, part, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM pe WHERE ring = 0 GROUP BY ALL) SELECT DISTINCT place_id, i, j, round(lon, 6) AS lon, round(lat, 6) AS lat FROM box, ax, ay WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1")
+def mask_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = B.slab_axes(spark, sf_dir)
+    return B.rounded(M.candidates(B.parcel_edges(spark, sf_dir), M.axis_edges(lon), M.axis_edges(lat)).select("place_id", F.col("i").cast("long"), F.col("j").cast("long"), "lon", "lat"))
+
+
+@query(f"WITH {B.PARCELS} SELECT place_id, part, ring, k, round(px, 6) AS ax, round(py, 6) AS ay, round(qx, 6) AS bx, round(qy, 6) AS by FROM pe")
+def parcel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to edges, through well-known binary."""
+    places = B.parcels(spark, sf_dir).select("place_id", parts_wkb("parts").alias("geometry"))
+    return B.rounded(wkb_edges(places).where("reason is null").drop("reason"))
 
 
-@query(f"WITH {B.AXES}, {B.BOX_MASK} SELECT 'box' AS place_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(weight, 6) AS weight FROM mask")
+@query(f"WITH {B.BOX_PARCELS} SELECT place_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(weight, 6) AS weight FROM mask")
 def grid_mask_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lon, lat = B.axes(spark)
-    return B.rounded(M.grid_mask(B.edges(spark, "box"), lon, lat))
+    return B.rounded(M.grid_mask(B.parcel_boxes(spark, sf_dir), *B.slab_axes(spark, sf_dir)))
 
 
-@query(f"WITH {B.AXES}, {B.BOX_MASK} SELECT count(*) AS cells, round(sum(weight), 6) AS total_weight, count(*) FILTER (weight < 0.999) AS partial FROM mask")
+@query(f"WITH {B.BOX_PARCELS} SELECT count(*) AS cells, round(sum(weight), 6) AS total_weight, count(*) FILTER (weight < 0.999) AS partial FROM mask")
 def mask_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.rounded(A.mask_summary(B.box_mask(spark)))
+    return B.rounded(A.mask_summary(M.grid_mask(B.parcel_boxes(spark, sf_dir), *B.slab_axes(spark, sf_dir))))
 
 
 @query(f"""WITH {B.EDGES}, pos AS (SELECT DISTINCT {B.LON0} + 0.001::DOUBLE * (c_custkey % 503) AS lon, {B.LAT0} + 0.001::DOUBLE * (c_custkey % 701) AS lat FROM customer),
@@ -502,14 +518,17 @@ def snapped_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(N.snap_lattice(rows, 0.05))
 
 
-_H20, _OFF = B.STEP / 2, 0.00037  # off the places' vertices: a centre on an edge is in or out by the last bit
-_FINE = f"""ax AS (SELECT i, {B.LON0 + _OFF - _H20}::DOUBLE + (i + 0.5::DOUBLE) * {B.STEP / 20}::DOUBLE AS lon FROM range({B.NLON * 20}) t(i)), ay AS (SELECT j, {B.LAT0 - _H20}::DOUBLE + (j + 0.5::DOUBLE) * {B.STEP / 20}::DOUBLE AS lat FROM range({B.NLAT * 20}) t(j))"""
+_OFF = 0.00037  # off the parcels' corners: a centre on an edge is in or out by the last bit
+_FINE = f"""{B.SLAB_AXES.replace('ax AS (SELECT row_number() OVER (ORDER BY lon) - 1 AS i, lon FROM', f'cx AS (SELECT row_number() OVER (ORDER BY lon) - 1 AS i, lon + {_OFF}::DOUBLE AS lon FROM').replace('ay AS (', 'cy AS (')},
+    ex AS (SELECT i, lon - coalesce((lon - lag(lon) OVER o) / 2, (lead(lon) OVER o - lon) / 2, 0.5::DOUBLE) AS lo, lon + coalesce((lead(lon) OVER o - lon) / 2, (lon - lag(lon) OVER o) / 2, 0.5::DOUBLE) AS hi FROM cx WINDOW o AS (ORDER BY lon)),
+    ey AS (SELECT j, lat - coalesce((lat - lag(lat) OVER o) / 2, (lead(lat) OVER o - lat) / 2, 0.5::DOUBLE) AS lo, lat + coalesce((lead(lat) OVER o - lat) / 2, (lat - lag(lat) OVER o) / 2, 0.5::DOUBLE) AS hi FROM cy WINDOW o AS (ORDER BY lat)),
+    ax AS (SELECT i * 20 + k AS i, lo + (hi - lo) * (k + 0.5::DOUBLE) / 20 AS lon FROM ex, range(20) t(k)), ay AS (SELECT j * 20 + k AS j, lo + (hi - lo) * (k + 0.5::DOUBLE) / 20 AS lat FROM ey, range(20) t(k))"""
 
 
-@query(f"WITH {_FINE}, {B.EDGES}, {B.INSIDE} SELECT place_id, i // 20 AS i, j // 20 AS j, round(count(*) / 400.0::DOUBLE, 6) AS weight FROM inside GROUP BY ALL")
+@query(f"WITH {_FINE}, {B.PARCELS}, {B.INSIDE} SELECT place_id, i // 20 AS i, j // 20 AS j, round(count(*) / 400.0::DOUBLE, 6) AS weight FROM inside GROUP BY ALL")
 def sampled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lon, lat = B.axes(spark)
-    return B.rounded(N.sampled_share(B.edges(spark, *B.PLACES), lon.withColumn("centre", F.col("centre") + _OFF), lat))
+    lon, lat = B.slab_axes(spark, sf_dir)
+    return B.rounded(N.sampled_share(B.parcel_edges(spark, sf_dir), lon.withColumn("centre", F.col("centre") + _OFF), lat))
 
 
 @query("""WITH s AS (SELECT o_orderdate::DATE AS date, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT l_shipdate::DATE AS date, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END::DOUBLE AS mean FROM lineitem),

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions.columns import spacing_days, step_label
 from ..schemas import MASK
 
-#: Parts of a place, their rings, their points.
-PARTS = ArrayType(ArrayType(ArrayType(StructType().add("x", DoubleType()).add("y", DoubleType()))))
-
 
 def slabs(spark: SparkSession, *paths: str) -> DataFrame:
     """Slab files of a place's lobes as one table, with the file of each row."""
@@ -75,56 +70,3 @@ def registry(collections: DataFrame) -> DataFrame:
         "c.id", F.col("c.`erddap:dataset_id`").alias("dataset_id"), F.col("c.`erddap:base`").alias("base"), F.coalesce("c.`erddap:protocol`", F.lit("griddap")).alias("protocol"),
         F.col("c.`erddap:lon_range`").alias("lon_range"), F.col("c.`cube:variables`").alias("variables"), F.coalesce("c.`erddap:pending`", F.lit(False)).alias("pending"),
     )
-
-
-def place_by_id(spark: SparkSession, path: str, place_id: str) -> DataFrame:
-    """One place of a file sorted by id: the filter reaches the scan and skips row groups by their statistics."""
-    return spark.read.parquet(path).where(F.col("place_id") == place_id)
-
-
-def _decode(value: bytes | None) -> list | None:
-    """One WKB value: byte order, flags for z, m and SRID, polygons and what holds them."""
-    import struct
-
-    if value is None:
-        return None
-
-    def read(at: int) -> tuple[list, int]:
-        order = "<" if value[at] == 1 else ">"
-        (code,) = struct.unpack_from(order + "I", value, at + 1)
-        at += 5
-        if code & 0x20000000:
-            at += 4
-        thousands = (code & 0x0FFFFFFF) // 1000
-        z, m = bool(code & 0x80000000) or thousands in (1, 3), bool(code & 0x40000000) or thousands in (2, 3)
-        kind, width = (code & 0x0FFFFFFF) % 1000, 2 + z + m
-        if kind not in range(1, 8):
-            raise ValueError(f"unknown WKB geometry type {kind}")
-        if kind == 1:
-            return [], at + 8 * width
-        (n,) = struct.unpack_from(order + "I", value, at)
-        at += 4
-        if kind == 2:
-            return [], at + 8 * width * n
-        if kind == 3:
-            rings = []
-            for _ in range(n):
-                (points,) = struct.unpack_from(order + "I", value, at)
-                at += 4
-                flat = struct.unpack_from(f"{order}{points * width}d", value, at)
-                at += 8 * width * points
-                rings.append([{"x": flat[k], "y": flat[k + 1]} for k in range(0, len(flat), width)])
-            return [rings] if rings else [], at
-        parts = []
-        for _ in range(n):
-            more, at = read(at)
-            parts += more
-        return parts, at
-
-    return read(0)[0]
-
-
-@F.pandas_udf(PARTS)
-def wkb_parts(geometry: pd.Series) -> pd.Series:
-    """Polygons of WKB or EWKB values as an array of parts, rings and points (x, y)."""
-    return geometry.map(_decode)
