@@ -73,6 +73,41 @@ def test_pooling_goes_round_the_year(spark):
     assert got == {365: 10.0, 366: 15.0, 1: 15.0, 2: 20.0}
 
 
+@pytest.mark.parametrize("pool", [0, 1, 4, 182])
+def test_pooled_moments_by_force(spark, pool):
+    """Every band within reach of a row, over sparse and dense years, values far from zero."""
+    rng = random.Random(pool)
+    rows = []
+    for pixel in range(3):
+        bands = list(range(1, 367)) if pixel == 0 else sorted(rng.sample(range(1, 367), 5 if pixel == 1 else 60))
+        for year in (2001, 2002, 2003):
+            rows += [("p", year, b, pixel, 7, rng.choice([None, float("nan"), 1e6 + rng.random()])) for b in bands if rng.random() < 0.9]
+    got = {(r["row"], r["band"]): r for r in S.climatology(spark.createDataFrame(rows, "place_id string, year int, band int, row int, col int, value double"), pool=pool).collect()}
+    want = {}
+    for _, _, band, row, _, value in rows:
+        for shift in range(-pool, pool + 1):
+            want.setdefault((row, (band - 1 + shift) % 366 + 1), []).append(value)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        known = [v for v in values if v is not None and v == v]
+        r = got[key]
+        assert r["n"] == len(known)
+        mean = sum(known) / len(known) if known else None
+        assert r["mean"] == (None if mean is None else pytest.approx(mean, rel=1e-12))
+        assert r["sd"] == (None if len(known) < 2 else pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in known) / (len(known) - 1)), abs=1e-6))
+
+
+def test_a_missing_year_is_an_error_and_the_cube_is_read_once(spark, cube):
+    with pytest.raises(Exception, match="lacks years .2026"):
+        S.climatology(cube, (2024, 2026)).collect()
+    assert S.climatology(cube, (2024, 2025)).count() == S.climatology(cube).count()
+    assert S.mean_of_years(cube, 200, (2024, 2026)).count() == 400
+    plan = S.climatology(cube, pool=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    with pytest.raises(ValueError):
+        S.climatology(cube, pool=183)
+
+
 W = Span(date(2026, 1, 1), date(2026, 4, 17))
 
 

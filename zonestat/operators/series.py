@@ -30,18 +30,69 @@ def cube_bands(pixels: DataFrame, date: str = "date") -> DataFrame:
     return rows.groupBy("place_id", "year", "band", "row", "col").agg(F.max_by("value", "at").alias("value"))
 
 
-def climatology(cube: DataFrame, years: tuple[int, int] | None = None, pool: int = 0) -> DataFrame:
-    """By place, band and pixel: mean, sd (null under two values) and n over years, pooled over ``pool`` days each side."""
-    rows = cube.where(F.col("year").between(*years)) if years else cube
-    rows = rows.withColumn("value", no_nan(F.col("value")))
-    if pool:
-        rows = rows.withColumn("shift", F.explode(F.sequence(F.lit(-pool), F.lit(pool)))).withColumn("band", F.pmod(F.col("band") - 1 + F.col("shift"), F.lit(366)) + 1)
-    return rows.groupBy("place_id", "band", "row", "col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+_PIXEL = ["place_id", "row", "col"]
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """By pixel and band over years: n, mean and the sum of squares about it."""
+    v = F.col("value")
+    return rows.groupBy(*_PIXEL, "band").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("squares"))
+
+
+def _pooled(moments: DataFrame, pool: int) -> DataFrame:
+    """Moments of the bands within ``pool`` days each side, round the year, by a window over each pixel's bands.
+
+    The first and last bands of a year are repeated beyond its ends; bands of which only a neighbour has pixels are put in between.
+    Squares are put together about the pixel's own mean, so that no digits are lost.
+    """
+    if not 0 < pool <= 182:
+        raise ValueError("bands are pooled over 1 to 182 days each side")
+    band = F.col("band")
+    turns = F.filter(F.array(F.lit(0), F.lit(366), F.lit(-366)), lambda t: (t == 0) | ((t > 0) & (band <= pool)) | ((t < 0) & (band > 366 - pool)))
+    round_ = moments.withColumn("band", F.explode(F.transform(turns, lambda t: band + t)))
+    pixel = Window.partitionBy(*_PIXEL)
+    beside = lambda f, far: F.coalesce(f("band").over(pixel.orderBy("band")), band + far).cast("int")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    fuller = round_.withColumns({"last": beside(F.lag, -2 * pool - 1), "next": beside(F.lead, 2 * pool + 1), "centre": F.avg("mean").over(pixel)})
+    left, right = span(F.greatest(F.col("last") + pool + 1, band - pool), band - 1), span(band + 1, F.least(F.col("next") - 1, band + pool))
+    fuller = fuller.withColumn("at", F.explode(F.concat(left, F.array(band), right)))
+    own = F.col("at") == band
+    some = lambda c: F.when(own & (F.col("n") > 0), c).otherwise(F.lit(0.0))
+    off = F.col("mean") - F.col("centre")
+    parts = fuller.select(*_PIXEL, F.col("at").alias("band"), "centre", F.when(own, F.col("n")).otherwise(0).alias("n"), some(F.col("n") * off).alias("s1"), some(F.col("squares") + F.col("n") * off * off).alias("s2"))
+    near = pixel.orderBy("band").rangeBetween(-pool, pool)
+    sums = parts.select(*_PIXEL, "band", "centre", *[F.sum(c).over(near).alias(c) for c in ("n", "s1", "s2")]).where(F.col("band").between(1, 366))
+    n = F.col("n")
+    mean = F.col("centre") + F.try_divide("s1", n)
+    return sums.select(*_PIXEL, "band", n, mean.alias("mean"), F.greatest(F.lit(0.0), F.col("s2") - F.try_divide(F.col("s1") * F.col("s1"), n)).alias("squares"))
+
+
+def _complete(cube: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """Rows of the years; a place that lacks one of them is an error."""
+    rows = cube.where(F.col("year").between(*years))
+    have = rows.groupBy("place_id").agg(F.array_sort(F.collect_set(F.col("year").cast("int"))).alias("have"))  # a row for each place
+    lacks = F.array_except(F.sequence(F.lit(years[0]), F.lit(years[1])), F.col("have"))
+    told = F.when(F.size(lacks) > 0, F.raise_error(F.concat(F.col("place_id"), F.lit(" lacks years "), lacks.cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return rows.join(have.select("place_id", told.alias("whole")), "place_id").where("whole").drop("whole")
+
+
+def climatology(cube: DataFrame, years: tuple[int, int] | None = None, pool: int = 0, complete: bool = True) -> DataFrame:
+    """By place, band and pixel: mean, sd (null under two values) and n over years, pooled over ``pool`` days each side.
+
+    The cube is read once, whatever ``pool`` is: years become moments of each band, and those are pooled. With ``complete``
+    a place that lacks one of ``years`` is an error.
+    """
+    rows = cube if not years else _complete(cube, years) if complete else cube.where(F.col("year").between(*years))
+    found = _moments(rows.withColumn("value", no_nan(F.col("value"))).withColumn("band", F.col("band").cast("int")))
+    found = _pooled(found, pool) if pool else found
+    n = F.col("n")
+    sd = F.when(n > 1, F.sqrt(F.col("squares") / (n - 1)))
+    return found.select("place_id", F.col("band").cast(cube.schema["band"].dataType).alias("band"), "row", "col", "mean", sd.alias("sd"), "n")
 
 
 def mean_of_years(cube: DataFrame, band: int, years: tuple[int, int]) -> DataFrame:
     """A custom Then: the mean of one band over years; years without that band don't count."""
-    return climatology(cube.where(F.col("band") == band), years).select("place_id", "row", "col", "mean", "n")
+    return climatology(cube.where(F.col("band") == band), years, complete=False).select("place_id", "row", "col", "mean", "n")
 
 
 def anomaly(cube: DataFrame, clim: DataFrame) -> DataFrame:
