@@ -1,6 +1,7 @@
 """Statistics inside a mask, on small fixtures with known results."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -102,3 +103,30 @@ def test_empty_slab(spark, grid):
     slab, mask = grid
     assert A.stats_daily(slab.limit(0), mask, value_expr("v")).count() == 0
     assert A.last_step(slab.limit(0), mask, value_expr("v")).count() == 0
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """Ranks in a global order equal percentiles: hot groups, few distinct values, single rows, nulls."""
+    rng = random.Random(2)
+    rows = [("hot", k % 3, rng.gauss(0, 1)) for k in range(3000)] + [("even", 0, float(k % 4)) for k in range(41)] + [("one", 0, 7.0), ("two", 0, 1.0), ("two", 0, 2.0), ("none", 0, None), ("same", 1, 5.5), ("same", 1, 5.5)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(6)
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {(r["g"], r["k"]): r for r in A.quantiles(df, ["g", "k"], "v", shares).collect()}
+    want = df.where("v is not null").groupBy("g", "k").agg(*[F.percentile("v", F.lit(p)).alias(c) for c, p in shares.items()]).collect()
+    assert len(got) == len(want) == 7
+    for r in want:
+        for c in shares:
+            assert got[(r["g"], r["k"])][c] == pytest.approx(r[c], abs=1e-12)
+
+
+def test_daily_statistics_of_days_of_any_size(spark):
+    rng = random.Random(3)
+    rows = [(dt.datetime(2026, 1, 1 + k % 3, 12), 20.0 + 0.05 * (k % 7), -160.0, rng.random() if k % 5 else None) for k in range(700)]
+    slab = spark.createDataFrame(rows, "time timestamp, latitude double, longitude double, v double")
+    mask = spark.createDataFrame([(p, 20.0 + 0.05 * k, -160.0, 0.25 + 0.1 * k) for k in range(6) for p in ("a", "b")][:9], "place_id string, latitude double, longitude double, weight double")
+    for m in (mask, mask.drop("place_id").distinct()):
+        plain, bounded = ({(r["date"], r.asDict().get("place_id")): r for r in A.stats_daily(slab, m, F.col("v"), bounded=b).collect()} for b in (False, True))
+        assert set(plain) == set(bounded) and plain
+        for key, r in plain.items():
+            assert bounded[key].__fields__ == r.__fields__
+            assert [x for x in bounded[key] if isinstance(x, float)] == pytest.approx([x for x in r if isinstance(x, float)])

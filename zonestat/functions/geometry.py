@@ -34,69 +34,121 @@ def snapped(ring: Column, within: float = 1e-4) -> Column:
     return F.transform(ring, lambda p: F.struct(side(p["x"]).alias("x"), p["y"].alias("y")))
 
 
-def unwrapped(ring: Column) -> Column:
-    """A ring without jumps over 180 degrees: longitudes run on beyond the antimeridian."""
-    start = F.struct(F.slice(ring, 1, 0).alias("out"), F.lit(0.0).alias("turn"), F.element_at(ring, 1)["x"].alias("last"))
+def vertices_of(rings: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
+    """Rings as rows: ``by``, k, x, y."""
+    return rings.select(*by, F.posexplode(ring).alias("k", "p")).select(*by, "k", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
 
-    def step(s: Column, p: Column) -> Column:
-        jump = p["x"] - s["last"]
-        turn = s["turn"] + F.when(jump > 180, -360.0).when(jump < -180, 360.0).otherwise(0.0)
-        return F.struct(F.array_append(s["out"], F.struct((p["x"] + turn).alias("x"), p["y"].alias("y"))).alias("out"), turn.alias("turn"), p["x"].alias("last"))
 
-    return F.aggregate(ring, start, step)["out"]
+def rings_from(vertices: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
+    """Rows of vertices as rings: ``by`` and an array of points by k."""
+    points = F.array_sort(F.collect_list(F.struct("k", "x", "y")))
+    return vertices.groupBy(*by).agg(points.alias("points_")).select(*by, F.transform("points_", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias(ring))
 
 
-def clipped(ring: Column, at: float, below: bool) -> Column:
-    """The part of a closed ring on one side of a meridian, closed again; empty if nothing is there."""
-    pairs = F.arrays_zip(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
-    inside = lambda p: (p["x"] <= at) if below else (p["x"] >= at)
+def unwrapped(vertices: DataFrame, by: list[str]) -> DataFrame:
+    """Closed rings without jumps over 180 degrees: longitudes run on beyond the antimeridian. A ring that circles a pole fails.
+
+    Turns of the globe are a running sum of the jumps along the ring.
+    """
+    along = Window.partitionBy(*by).orderBy("k")
+    jump = F.col("x") - F.lag("x").over(along)
+    rows = vertices.withColumn("turn_", F.when(jump > 180, -360.0).when(jump < -180, 360.0).otherwise(0.0))
+    rows = rows.withColumn("x", F.col("x") + F.sum("turn_").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    open_ = F.abs(F.last("x").over(whole) - F.first("x").over(whole)) > 1e-6
+    return rows.withColumn("x", F.when(open_, F.raise_error(F.lit("a ring circles a pole")).cast("double")).otherwise(F.col("x"))).drop("turn_")
+
 
-    def keep(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        y = a["y"] + (F.lit(at) - a["x"]) * F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
-        cross = F.struct(F.lit(float(at)).alias("x"), y.alias("y"))
-        end = F.struct(b["x"].alias("x"), b["y"].alias("y"))
-        none = F.slice(F.array(end), 1, 0)
-        return F.when(inside(a) & inside(b), F.array(end)).when(inside(a), F.array(cross)).when(inside(b), F.array(cross, end)).otherwise(none)
+def clipped(vertices: DataFrame, by: list[str], at: float, below: bool) -> DataFrame:
+    """The parts of closed rings on one side of a meridian, closed again; rings with nothing there are left out.
 
-    points = F.flatten(F.transform(pairs, keep))
-    return F.when(F.size(points) >= 3, F.array_append(points, F.element_at(points, 1))).otherwise(F.slice(points, 1, 0))
+    Each edge gives where it enters the side and, if it ends there, its end: one step from each vertex to the next.
+    """
+    along = Window.partitionBy(*by).orderBy("k")
+    inside = lambda x: (x <= at) if below else (x >= at)
+    edges = vertices.withColumns({"x2": F.lead("x").over(along), "y2": F.lead("y").over(along)}).where(F.col("x2").isNotNull())
+    y = F.col("y") + (F.lit(at) - F.col("x")) * F.try_divide(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
+    cross, end = F.struct(F.lit(float(at)).alias("x"), y.alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    kept = F.when(inside(F.col("x")) & inside(F.col("x2")), F.array(end)).when(inside(F.col("x")), F.array(cross)).when(inside(F.col("x2")), F.array(cross, end)).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+    points = edges.select(*by, "k", F.posexplode(kept).alias("step_", "p")).select(*by, (2 * F.col("k") + F.col("step_")).alias("k"), "p.x", "p.y")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = points.withColumns({"n_": F.count("*").over(whole), "last_": F.col("k") == F.last("k").over(whole), "x0_": F.first("x").over(whole), "y0_": F.first("y").over(whole)}).where("n_ >= 3")
+    closing = F.array(F.struct("k", "x", "y"), F.struct((F.col("k") + 1).alias("k"), F.col("x0_").alias("x"), F.col("y0_").alias("y")))
+    closed = told.select(*by, F.explode(F.when(F.col("last_"), closing).otherwise(F.slice(closing, 1, 1))).alias("p"))
+    return closed.select(*by, "p.k", "p.x", "p.y")
+
+
+def split_vertices(vertices: DataFrame, by: list[str], shell: str | None = None) -> DataFrame:
+    """Closed rings (``by``, k, x, y) in pieces within [-180, 180]: ``by``, world, k, x, y; ``world`` counts turns of the globe.
+
+    Only rings that leave [-180, 180] are cut, each for the worlds that it touches. With ``shell``, the last column of ``by``
+    numbers a part's rings and 0 is its shell: holes are moved by whole turns to where their shell lies. Pole-circling rings fail.
+    """
+    rows = unwrapped(vertices, by)
+    ring = Window.partitionBy(*by)
+    rows = rows.withColumns({"west_": F.min("x").over(ring), "east_": F.max("x").over(ring)})
+    if shell:
+        part = Window.partitionBy(*[c for c in by if c != shell])
+        centre = (F.col("west_") + F.col("east_")) / 2
+        turn = F.round((F.max(F.when(F.col(shell) == 0, centre)).over(part) - centre) / 360) * 360
+        rows = rows.withColumn("turn_", F.coalesce(turn, F.lit(0.0)))
+        rows = rows.withColumns({c: F.col(c) + F.col("turn_") for c in ("x", "west_", "east_")}).drop("turn_")
+    world = lambda x: F.floor((x + 180) / 360).cast("int")
+    last = F.greatest(world(F.col("west_")), F.ceil((F.col("east_") + 180) / 360).cast("int") - 1)
+    rows = rows.withColumn("world", F.explode(F.sequence(world(F.col("west_")), last))).withColumn("x", F.col("x") - 360.0 * F.col("world"))
+    inner = (F.col("west_") >= -180) & (F.col("east_") <= 180)
+    keys = [*by, "world"]
+    cut = clipped(clipped(rows.where(~inner).select(*keys, "k", "x", "y"), keys, -180.0, False), keys, 180.0, True)
+    width = Window.partitionBy(*keys)
+    cut = cut.withColumn("wide_", F.max("x").over(width) - F.min("x").over(width)).where("wide_ > 1e-9").drop("wide_")
+    return rows.where(inner).select(*keys, "k", "x", "y").unionByName(cut.select(*keys, "k", "x", "y"))
 
 
 def split_at_antimeridian(rings: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
-    """Rings in pieces within [-180, 180], with ``world``: -1, 0 or 1 turns of the globe. Pole-circling rings fail."""
-    open_ = F.element_at(unwrapped(F.col(ring)), -1)["x"] - F.element_at(unwrapped(F.col(ring)), 1)["x"]
-    rows = rings.select(*by, F.when(F.abs(open_) > 1e-6, F.raise_error(F.lit("a ring circles a pole"))).otherwise(unwrapped(F.col(ring))).alias("whole"))
-    worlds = rows.withColumn("world", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    moved = F.transform("whole", lambda p: F.struct((p["x"] - F.col("world") * 360.0).alias("x"), p["y"].alias("y")))
-    piece = worlds.withColumn("moved", moved).withColumn("west", clipped(F.col("moved"), -180.0, False)).where(F.size("west") > 3).withColumn(ring, clipped(F.col("west"), 180.0, True))
-    flat = F.array_max(F.transform(ring, lambda p: p["x"])) - F.array_min(F.transform(ring, lambda p: p["x"]))
-    return piece.where((F.size(ring) > 3) & (flat > 1e-9)).select(*by, "world", ring)
+    """Rings (closed arrays of points) in pieces within [-180, 180], with ``world``; see ``split_vertices``."""
+    return rings_from(split_vertices(vertices_of(rings, by, ring), by), [*by, "world"], ring)
 
 
 def widest_jump(rings: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
     """The largest longitude step of each group's edges: over 180 degrees means that a ring crosses unsplit."""
-    steps = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda k: F.abs(F.element_at(F.col(ring), k + 1)["x"] - F.element_at(F.col(ring), k)["x"]))
-    return rings.groupBy(*by).agg(F.max(F.array_max(steps)).alias("jump"))
+    numbered = rings.select(*by, F.xxhash64(ring).alias("ring_"), ring)
+    rows = vertices_of(numbered, [*by, "ring_"], ring)
+    step = F.abs(F.col("x") - F.lag("x").over(Window.partitionBy(*by, "ring_").orderBy("k", "x")))
+    return rows.withColumn("step_", step).groupBy(*by).agg(F.max("step_").alias("jump"))
+
+
+def inner_points(edges: DataFrame, by: list[str]) -> DataFrame:
+    """A point inside each ring (``by``, lon, lat): in the middle of its widest stretch at half its height."""
+    middle = edges.groupBy(*by).agg(((F.min("ay") + F.max("ay")) / 2).alias("lat"))
+    met = edges.join(middle, by).where((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat")))
+    x = F.col("ax") + (F.col("lat") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    rows = met.withColumn("x_", x).withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy("x_")))
+    nxt = F.lead("x_").over(Window.partitionBy(*by).orderBy("x_"))
+    spans = rows.withColumn("to_", nxt).where("n_ % 2 = 1 and to_ is not null")
+    return spans.groupBy(*by, "lat").agg(F.max_by((F.col("x_") + F.col("to_")) / 2, F.col("to_") - F.col("x_")).alias("lon")).select(*by, "lon", "lat")
 
 
 def nested_rings(features: DataFrame, feature: str = "feature") -> DataFrame:
     """Flat rings (feature, k, ring) as parts: clockwise rings are shells, the others holes of the least shell that holds them.
 
-    Returns (feature, part, ring_no, ring), ring_no 0 a shell; a hole without a shell becomes a shell of its own.
+    Returns (feature, part, ring_no, ring), ring_no 0 a shell; a hole without a shell becomes a shell of its own. A point inside
+    each hole meets shells by tiles and their edges by bands of latitude, all in equality joins.
     """
-    x, y = (lambda p: p["x"]), (lambda p: p["y"])
-    rows = features.select(feature, "k", "ring", ring_turn(F.col("ring")).alias("turn")).withColumns(
-        {"x0": F.array_min(F.transform("ring", x)), "x1": F.array_max(F.transform("ring", x)), "y0": F.array_min(F.transform("ring", y)), "y1": F.array_max(F.transform("ring", y))}
-    )
-    shells = rows.where("turn > 0").select(feature, F.col("k").alias("part"), F.col("ring").alias("shell"), F.col("turn").alias("size"), *[F.col(c).alias(f"s_{c}") for c in ("x0", "x1", "y0", "y1")])
-    holes = rows.where("turn <= 0")
-    first = F.element_at("ring", 1)
-    pairs = F.arrays_zip(F.slice("shell", 1, F.size("shell") - 1).alias("a"), F.slice("shell", 2, F.size("shell") - 1).alias("b"))
-    crosses = F.filter(pairs, lambda e: ((e["a"]["y"] > first["y"]) != (e["b"]["y"] > first["y"])) & (first["x"] < e["a"]["x"] + (first["y"] - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
-    boxed = (F.col("x0") >= F.col("s_x0")) & (F.col("x1") <= F.col("s_x1")) & (F.col("y0") >= F.col("s_y0")) & (F.col("y1") <= F.col("s_y1"))
-    held = holes.join(shells, feature).where(boxed & (F.size(crosses) % 2 == 1)).groupBy(feature, "k").agg(F.min_by("part", "size").alias("part"))
-    placed = holes.select(feature, "k", "ring").join(held, [feature, "k"], "left").withColumn("shell", F.col("part").isNull()).withColumn("part", F.coalesce("part", "k"))
+    from ..operators.mask import edges_from_parts, holders
+
+    rows = features.select(feature, "k", "ring", ring_turn(F.col("ring")).alias("turn"))
+    edges = edges_from_parts(rows.select(F.struct(feature, "k", "turn").alias("place_id"), F.array(F.array("ring")).alias("parts")))
+    edges = edges.select(F.col(f"place_id.{feature}").alias("place_id"), F.col("place_id.k").alias("part"), F.col("place_id.turn").alias("turn"), F.lit(0).alias("ring"), "ax", "ay", "bx", "by")
+    points = inner_points(edges.where("turn <= 0"), ["place_id", "part"]).withColumnRenamed("part", "hole")
+    shells = edges.where("turn > 0")
+    box = edges.groupBy("place_id", "part").agg(F.min("ax").alias("x0"), F.min("ay").alias("y0"), F.max("ax").alias("x1"), F.max("ay").alias("y1"), F.first("turn").alias("size"))
+    own = box.select("place_id", F.col("part").alias("hole"), *[F.col(c).alias(f"h_{c}") for c in ("x0", "y0", "x1", "y1")])
+    held = holders(shells, points, ["hole"], within=True).join(box, ["place_id", "part"]).join(own, ["place_id", "hole"])
+    # a shell inside the hole may hold the point as well
+    around = (F.col("x0") <= F.col("h_x0")) & (F.col("y0") <= F.col("h_y0")) & (F.col("x1") >= F.col("h_x1")) & (F.col("y1") >= F.col("h_y1"))
+    held = held.where(around).groupBy("place_id", "hole").agg(F.min_by("part", F.struct("size", "part")).alias("part"))
+    held = held.select(F.col("place_id").alias(feature), F.col("hole").alias("k"), "part")
+    placed = rows.where("turn <= 0").select(feature, "k", "ring").join(held, [feature, "k"], "left").withColumn("shell", F.col("part").isNull()).withColumn("part", F.coalesce("part", "k"))
     all_ = rows.where("turn > 0").select(feature, "k", "ring", F.lit(True).alias("shell"), F.col("k").alias("part")).unionByName(placed)
     order = Window.partitionBy(feature, "part").orderBy(F.desc("shell"), "k")
     return all_.withColumn("ring_no", F.row_number().over(order) - 1).select(feature, "part", "ring_no", "ring")

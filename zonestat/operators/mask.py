@@ -153,7 +153,7 @@ def _bands(edges: DataFrame) -> DataFrame:
 
 
 def _parity(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """Points with an odd number of a part's edges to their right, or on an edge; points carry place_id and part."""
+    """Points (``by``, part) with an odd number of a part's edges to their right; points carry place_id, lon and lat."""
     bands = _bands(edges)  # one row for each part
     y, x = F.col("lat"), F.col("lon")
     band = lambda at: F.floor(F.coalesce(F.try_divide(at - F.col("y0"), F.col("high")), F.lit(0.0)))
@@ -163,20 +163,20 @@ def _parity(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     at = F.col("ax") + (y - F.col("ay")) * F.try_divide(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     crosses = ((F.col("ay") > y) != (F.col("by") > y)) & (x < at)
     met = placed.join(spans, ["place_id", "part", "band"]).groupBy(*by, "part").agg(F.count_if(crosses).alias("n"))
-    return met.where(F.col("n") % 2 == 1).select(*by).distinct()
+    return met.where(F.col("n") % 2 == 1).select(*by, "part")
 
 
 def inside_parity(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     """Cells whose centres are inside, by counting crossings of each candidate: the second, independent way."""
-    return _parity(_within(part_boxes(edges), axis_index(ax), axis_index(ay)), edges, ["place_id", "i", "j", "lon", "lat"])
+    return _parity(_within(part_boxes(edges), axis_index(ax), axis_index(ay)), edges, ["place_id", "i", "j", "lon", "lat"]).drop("part").distinct()
 
 
 def _tile(at: str | Column, side: Column) -> Column:
     return F.floor((F.col(at) if isinstance(at, str) else at) / side).cast("int")
 
 
-def _boxed(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points (lon, lat) with the parts whose boxes hold them.
+def _boxed(points: DataFrame, boxes: DataFrame, by: list[str], within: bool) -> DataFrame:
+    """Points (``by``, lon, lat) with the parts whose boxes hold them; ``within`` their own place_id alone.
 
     A box is dealt to the tiles that it touches, of the least side that makes them few; a point lies in one tile of each side.
     """
@@ -186,14 +186,19 @@ def _boxed(points: DataFrame, boxes: DataFrame) -> DataFrame:
     dealt = boxes.withColumn("side", side)
     dealt = dealt.withColumn("tx", F.explode(F.sequence(_tile("x0", F.col("side")), _tile("x1", F.col("side"))))).withColumn("ty", F.explode(F.sequence(_tile("y0", F.col("side")), _tile("y1", F.col("side")))))
     placed = points.withColumn("side", F.explode(F.array(*map(F.lit, SIDES)))).withColumns({"tx": _tile("lon", F.col("side")), "ty": _tile("lat", F.col("side"))})
-    met = placed.join(dealt, ["side", "tx", "ty"])
-    return met.where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("place_id", "part", "lon", "lat")
+    met = placed.join(dealt, ["side", "tx", "ty", *(["place_id"] if within else [])])
+    return met.where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("place_id", "part", *by, "lon", "lat")
+
+
+def holders(edges: DataFrame, points: DataFrame, by: list[str], within: bool = False) -> DataFrame:
+    """The parts that hold each point (``by``, lon, lat): ``by``, place_id, part, lon, lat; ``within`` parts of the point's own place_id alone."""
+    return _parity(_boxed(points, part_boxes(edges), by, within), edges, ["place_id", *by, "lon", "lat"])
 
 
 def point_mask(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Distinct finite positions (lon, lat) inside a place, with weight 1."""
     finite = points.select(F.col("lon").cast("double"), F.col("lat").cast("double")).where(~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")))
-    return _parity(_boxed(finite.distinct(), part_boxes(edges)), edges, ["place_id", "lon", "lat"]).withColumn("weight", F.lit(1.0))
+    return holders(edges, finite.distinct(), []).select("place_id", "lon", "lat").distinct().withColumn("weight", F.lit(1.0))
 
 
 def _clipped(a: Column, b: Column, low: Column, high: Column) -> Column:
@@ -244,9 +249,16 @@ def _swept(edges: DataFrame, cells: DataFrame, x: AxisIndex, y: AxisIndex) -> Da
     return whole.where("area > 1e-12 * full").select("place_id", "i", "j", "lon", "lat", F.least(F.lit(1.0), F.col("area") / F.col("full")).alias("weight"))
 
 
-def covered_share(edges: DataFrame, cells: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
-    """The share of each cell (place_id, i, j) that the place's parts cover: place_id, i, j, lon, lat, weight."""
-    return _swept(edges, cells, axis_index(ax), axis_index(ay))
+def covered_share(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """The share of each cell (place_id, i, j, lon, lat, x_lo, x_hi, y_lo, y_hi) that the place's parts cover: place_id, i, j, lon, lat, weight.
+
+    The cells' own columns and rows are the axes, whatever their numbers are.
+    """
+    x = axis_index(cells.select(F.col("lon").alias("centre"), F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi")).distinct())
+    y = axis_index(cells.select(F.col("lat").alias("centre"), F.col("y_lo").alias("lo"), F.col("y_hi").alias("hi")).distinct())
+    ranked = cells.select("place_id", F.col("i").alias("i_"), F.col("j").alias("j_"), x.count("lo", F.col("x_lo")).alias("i"), y.count("lo", F.col("y_lo")).alias("j"))
+    shares = _swept(edges, ranked, x, y)
+    return shares.join(ranked, ["place_id", "i", "j"]).select("place_id", F.col("i_").alias("i"), F.col("j_").alias("j"), "lon", "lat", "weight")
 
 
 def grid_mask(edges: DataFrame, lon: DataFrame, lat: DataFrame, weights: bool = True) -> DataFrame:

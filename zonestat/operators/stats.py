@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cell_key, class_code, month_of, quantile, ratio, utc_day
+from ..tables import written
+from .running import running
 
 GRID_DECIMALS, POINT_DECIMALS = 3, 5
 
@@ -40,14 +42,42 @@ def masked(slab: DataFrame, mask: DataFrame, value: Column, decimals: int = GRID
     return given.join(cells, ["klat", "klon"]).drop("klat", "klon")
 
 
-def stats_daily(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
-    """By UTC day: n, mean, mean_wt, sd, min, max, p10, p90, weight_sum."""
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """By group: exact continuous quantiles, linear between neighbours, as columns named by ``shares``; ``by`` columns aren't null.
+
+    For groups of any size: equal values are counted before the shuffle, distinct ones are put in one global order (a group may
+    span many tasks), and running counts give their ranks. No task holds a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("c_"))
+    ranked = running(counts, [*by, "v_"], sums=["c_"])
+    groups = ranked.groupBy(*by).agg(F.sum("c_").alias("n_"), F.min(F.col("running_c_") - F.col("c_")).alias("start_"))
+    end = F.col("running_c_") - F.col("start_")
+    placed = ranked.join(groups, by).withColumns({"to_": end, "from_": end - F.col("c_")})
+    at = lambda rank: F.max(F.when((F.col("from_") <= rank) & (rank < F.col("to_")), F.col("v_")))
+    found, out = [], []
+    for name, share in shares.items():
+        h = F.lit(share) * (F.col("n_") - 1)
+        found += [at(F.floor(h)).alias(f"{name}_low"), at(F.ceil(h)).alias(f"{name}_high"), F.first(h - F.floor(h)).alias(f"{name}_part")]
+        low, high, part = (F.col(f"{name}_{c}") for c in ("low", "high", "part"))
+        out.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
+    return placed.groupBy(*by).agg(*found).select(*by, *out)
+
+
+def stats_daily(slab: DataFrame, mask: DataFrame, value: Column, bounded: bool = False) -> DataFrame:
+    """By UTC day: n, mean, mean_wt, sd, min, max, p10, p90, weight_sum.
+
+    An exact percentile holds a group's distinct values in one task. With ``bounded``, it comes from ``quantiles`` instead: two more
+    shuffles, and days of any number of cells; joined rows are written once to the shared folder.
+    """
     rows = masked(slab, mask, value).withColumn("date", utc_day(F.col("time")))
-    v, w = F.col("value"), F.col("weight")
-    return rows.groupBy(*_places(mask), "date").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), ratio(F.sum(v * w), F.sum(w)).alias("mean_wt"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
-        quantile(v, 0.1).alias("p10"), quantile(v, 0.9).alias("p90"), F.sum(w).alias("weight_sum"),
-    )
+    v, w, by = F.col("value"), F.col("weight"), [*_places(mask), "date"]
+    plain = [F.count(v).alias("n"), F.avg(v).alias("mean"), ratio(F.sum(v * w), F.sum(w)).alias("mean_wt"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")]
+    shares = {"p10": 0.1, "p90": 0.9}
+    if not bounded:
+        return rows.groupBy(*by).agg(*plain, *[quantile(v, p).alias(c) for c, p in shares.items()], F.sum(w).alias("weight_sum"))
+    rows = written(rows.select(*by, "value", "weight"))
+    whole = rows.groupBy(*by).agg(*plain, F.sum(w).alias("weight_sum")).join(quantiles(rows, by, "value", shares), by)
+    return whole.select(*by, "n", "mean", "mean_wt", "sd", "min", "max", *shares, "weight_sum")
 
 
 def stats_categorical(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:

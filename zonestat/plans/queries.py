@@ -48,6 +48,12 @@ def stats_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(A.stats_daily(B.slab(spark, sf_dir), B.box_mask(spark), C.value_expr("value")))
 
 
+@query(f"{_GRID} SELECT time::DATE AS date, {_stats('value')} FROM joined WHERE value IS NOT NULL GROUP BY 1")
+def stats_daily_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by ranks in a global order, for days of any number of cells."""
+    return B.rounded(A.stats_daily(B.slab(spark, sf_dir), B.box_mask(spark), C.value_expr("value"), bounded=True))
+
+
 @query(f"{_GRID} SELECT time::DATE AS date, {_stats('(value - 273.15::DOUBLE)')} FROM joined WHERE value IS NOT NULL GROUP BY 1")
 def stats_daily_kelvin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(A.stats_daily(B.slab(spark, sf_dir), B.box_mask(spark), C.value_expr("value", "degree_Kelvin")))
