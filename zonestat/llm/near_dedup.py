@@ -465,8 +465,6 @@ def settle(reps: DataFrame, labels: DataFrame, given: DataFrame, checked: DataFr
         if pairs.limit(1).count():
             labels = joined(labels, cut(confirm(pairs, texts.select("id", "text"))))
             checked = checked.unionByName(pairs)
-        elif most:
-            break
     return labels
 
 
