@@ -110,3 +110,27 @@ def test_revisits_equal_brute_force(spark):
         q = max(earlier, key=lambda q: (q[2], q[0]))
         want = "unverified" if r[4] is None or q[4] is None else "resolved" if r[4] == q[4] else "mismatch"
         assert got[r[0]] == (want, q[0])
+
+
+def test_revisits_with_null_and_repeated_ids(spark):
+    """Each row is resolved by itself: ids that are null or repeat mix nothing up. Rows are told by a header."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        kind = rng.choice(["response", "revisit", "revisit"])
+        rows.append((rng.choice([None, 1, 2, k]), rng.choice([None, "http://a.org/", "http://b.org/", f"http://c{k}.org/"]), at(k * 7 % 400), kind, rng.choice(['"a"', '"b"']), None, {"row": str(k), "date": f"d{k}"}))
+    got = {r["headers"].get("etag", "") + r["headers"]["date"]: r for r in resolve_revisits(records(spark, rows), slices=5).collect()}
+    assert len(got) == len(rows)
+    for k, r in enumerate(rows):
+        g = got[f"d{k}"]
+        earlier = [q for q in rows if q[3] == "response" and q[1] == r[1] and q[2] <= r[2]]
+        if r[3] == "response":
+            assert (g["outcome"], g["response_id"], g["headers"]["row"]) == ("response", r[0], str(k))
+        elif not earlier:
+            assert (g["outcome"], g["response_id"]) == ("orphan", None)
+        else:
+            q = max(earlier, key=lambda q: q[2])
+            assert g["response_id"] == q[0] and g["outcome"] == ("resolved" if q[4] == r[4] else "mismatch")
+            assert g["headers"]["row"] == (q[6]["row"] if q[4] == r[4] else str(k))
