@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from zonestat.llm import hard_negatives as H
 from zonestat.llm import prefix_trie as T
-from zonestat.llm import running as R
 from zonestat.llm import simhash as S
+from zonestat.operators import running as R
 
 # prefix tries
 

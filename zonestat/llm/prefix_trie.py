@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from .common import cut, shuffle_partitions
-from .running import running
 
 KEY = ["depth", "k1", "k2"]
 #: Ids that are put together as text before they meet the others of their node.
