@@ -120,3 +120,18 @@ def is_polygonal(geometry_type: Column) -> Column:
 
 def is_slug(text: Column) -> Column:
     return text.rlike("^[a-z0-9][a-z0-9_-]*$")
+
+
+def result_name(prefix: str, extension: str | Column, *parts: Column) -> Column:
+    """A result's file name: the prefix and its parts, made safe and joined by underscores; parts that are null or empty are left out."""
+    safe = F.filter(F.transform(F.array(F.lit(prefix), *parts), lambda p: F.when(p != "", file_safe(p))), lambda p: p.isNotNull())
+    ending = F.lit(extension) if isinstance(extension, str) else extension
+    return F.concat(F.array_join(safe, "_"), F.lit("."), F.regexp_replace(ending, r"^\.", ""))
+
+
+def lobe_span(west: Column, east: Column, low: Column, high: Column) -> Column:
+    """A lobe's longitudes in a dataset's frame from ``low`` to ``high``, kept inside it: a struct of west and east."""
+    framed = lambda x: F.when((high > 180) & (x < 0), x + 360).when((low < 0) & (x > 180), x - 360).otherwise(x)
+    kept = lambda x: F.least(F.greatest(x, low), high)
+    a, b = framed(west), framed(east)
+    return F.struct(kept(F.least(a, b)).alias("west"), kept(F.greatest(a, b)).alias("east"))

@@ -17,8 +17,11 @@ def resolve_places(index: DataFrame, wanted: DataFrame) -> DataFrame:
 def resolve_datasets(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     """Names to datasets that aren't pending: exact id, id without case, id under erddap/, then dataset id without case."""
     low = F.lower
-    rows = wanted.join(registry.where(~F.col("pending")), (low("wanted") == low("id")) | (low(F.concat(F.lit("erddap/"), "wanted")) == low("id")) | (low("wanted") == low("dataset_id")))
-    how = F.when(F.col("wanted") == F.col("id"), 1).when(low("wanted") == low("id"), 2).when(low(F.concat(F.lit("erddap/"), "wanted")) == low("id"), 3).otherwise(4)
+    under = F.when(low("id").startswith("erddap/"), F.substring(low("id"), 8, 1 << 20))
+    names = F.explode(F.array(*[F.struct(F.lit(how).alias("how"), name.alias("name")) for how, name in ((2, low("id")), (3, under), (4, low("dataset_id")))]))
+    known = registry.where(~F.col("pending")).select("*", names.alias("n")).select("*", "n.how", "n.name").drop("n").where("name is not null")
+    rows = wanted.join(known, low("wanted") == F.col("name")).drop("name")
+    how = F.when(F.col("wanted") == F.col("id"), 1).otherwise(F.col("how"))
     first = F.row_number().over(Window.partitionBy("wanted").orderBy("how", "id"))
     return rows.withColumn("how", how).withColumn("first_", first).where("first_ = 1").drop("first_")
 
@@ -118,3 +121,58 @@ def outages(failures: DataFrame) -> DataFrame:
 
 def run_totals(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("status").agg(F.count("*").alias("units"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+def group_ranks(places: DataFrame, manifest: DataFrame, curated: tuple[str, ...], folded: tuple[str, ...] = ()) -> DataFrame:
+    """Places with the place of their collection in a list: the curated ones in their order, then the manifest's (slug, rank), then others by name.
+
+    ``shown`` is false for collections that a short list folds away: those that aren't curated, and ``folded`` ones.
+    """
+    fixed = F.element_at(F.create_map(*[F.lit(v) for k, c in enumerate(curated) for v in (c, k)]), F.col("collection")) if curated else F.lit(None).cast("int")
+    ranked = places.join(manifest.select(F.col("slug").alias("collection"), F.col("rank").alias("rank_")), "collection", "left")
+    about = F.struct(F.coalesce(fixed, F.lit(len(curated))).cast("long").alias("curated"), F.coalesce(F.col("rank_").cast("long"), F.lit((1 << 62))).alias("rank"), F.col("collection").alias("slug"))
+    shown = fixed.isNotNull() & ~F.col("collection").isin(list(folded)) if folded else fixed.isNotNull()
+    return ranked.withColumns({"group_order": about, "shown": shown}).drop("rank_")
+
+
+def sections(ranked: DataFrame, cap: int = 50) -> DataFrame:
+    """The rows of each collection by name, at most ``cap``, with how many more there are, collections in order."""
+    return capped(ranked, "collection", [F.col("name"), F.col("place_id")], cap).orderBy("group_order", "place")
+
+
+def by_name(rows: DataFrame) -> DataFrame:
+    """One list from A to Z, equal names by id."""
+    return rows.orderBy("name", "place_id")
+
+
+#: What failed attempts say when a host was out of reach: a pattern and its kind.
+UNREACHED = ((r"(?i)^HTTP 5\d\d", "5xx"), (r"(?i)time(d )?-?out|no response|abort", "timeout"), (r"(?i)fetch failed|terminated|network|ECONN|ENOTFOUND|EAI_AGAIN|socket", "network"))
+
+
+def failure_kind(message: Column) -> Column:
+    """5xx, timeout or network where a message tells of an outage; null for an error of the unit itself."""
+    told = F.lit(None).cast("string")
+    for pattern, kind in reversed(UNREACHED):
+        told = F.when(message.rlike(pattern), kind).otherwise(told)
+    return told
+
+
+def outcomes(units: DataFrame, attempts: DataFrame) -> DataFrame:
+    """By unit (unit, host) of a run: status completed, skipped, error or deferred, kind, tries and reason.
+
+    ``attempts`` has unit, host, at, ok and message. A unit's last attempt decides: done, an outage (skipped), or its own error. A unit
+    without attempts is skipped if its host's last attempt of all was an outage, else deferred to the next run.
+    """
+    tried = attempts.withColumn("kind", F.when(~F.col("ok"), failure_kind(F.coalesce("message", F.lit("")))))
+    last = lambda df, key: df.groupBy(key).agg(F.max(F.struct("at", "ok", "kind", "message")).alias("last"), F.count_if(~F.col("ok") & F.col("kind").isNotNull()).alias("tries"))
+    own = last(tried, "unit").select("unit", F.col("last").alias("own"), "tries")
+    host = last(tried, "host").select("host", F.col("last").alias("of_host"))  # a row for each host
+    rows = units.select("unit", "host").join(own, "unit", "left").join(host, "host", "left")
+    down = ~F.col("of_host.ok") & F.col("of_host.kind").isNotNull()
+    status = (
+        F.when(F.col("own.ok"), "completed").when(F.col("own").isNotNull() & F.col("own.kind").isNotNull(), "skipped").when(F.col("own").isNotNull(), "error")
+        .when(down, "skipped").otherwise("deferred")
+    )
+    reason = F.when(status == "completed", F.lit(None).cast("string")).when(F.col("own").isNotNull(), F.split(F.coalesce("own.message", F.lit("")), "\n")[0]).when(down, "not reached: host still down")
+    kind = F.when(status == "skipped", F.coalesce("own.kind", "of_host.kind"))
+    return rows.select("unit", "host", status.alias("status"), kind.alias("kind"), F.coalesce("tries", F.lit(0)).alias("tries"), reason.alias("reason"))

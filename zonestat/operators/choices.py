@@ -120,3 +120,32 @@ def with_daily_mean(series: DataFrame, external: DataFrame, name: str = "mean_ex
 def year_contents(valid: DataFrame) -> DataFrame:
     """By place and year: bands with valid pixels, and whether the year is empty; ``valid`` as in ``series.now_choice``."""
     return valid.groupBy("place_id", "year").agg(F.count_if(F.coalesce("n", F.lit(0)) > 0).alias("days")).withColumn("empty", F.col("days") == 0)
+
+
+def lattice_axes(rasters: DataFrame) -> DataFrame:
+    """Pixel centres of rasters (place_id, width, height, west, south, east, north): place_id, axis, k, centre; rows run from north to south."""
+    dx, dy = (F.col("east") - F.col("west")) / F.col("width"), (F.col("north") - F.col("south")) / F.col("height")
+    along = lambda name, n, at: rasters.withColumn("k", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))).select("place_id", F.lit(name).alias("axis"), "k", at.alias("centre"))
+    return along("lon", "width", F.col("west") + (F.col("k") + 0.5) * dx).unionByName(along("lat", "height", F.col("north") - (F.col("k") + 0.5) * dy))
+
+
+def on_lattice(cells: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Mask cells (place_id, longitude, latitude, weight) as pixels of their place's raster: place_id, row, col, weight; cells outside are left out."""
+    col = F.floor((F.col("longitude") - F.col("west")) / (F.col("east") - F.col("west")) * F.col("width")).cast("int")
+    row = F.floor((F.col("north") - F.col("latitude")) / (F.col("north") - F.col("south")) * F.col("height")).cast("int")
+    placed = cells.join(rasters, "place_id").select("place_id", row.alias("row"), col.alias("col"), "weight", "width", "height")
+    return placed.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") < F.col("width"))).drop("width", "height")
+
+
+def spacings(cells: DataFrame, by: list[str] | None = None, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """By group, the steps of cells (dx, dy): medians of the gaps between neighbouring values; an axis with one value takes the other's step."""
+    by = by or []
+
+    def gaps(axis: str, name: str) -> DataFrame:
+        values = cells.select(*by, no_nan(F.col(axis)).alias("v_")).where("v_ is not null").distinct()
+        gap = F.col("v_") - F.lag("v_").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("v_"))  # an axis: few distinct values
+        return values.withColumn("gap_", gap).groupBy(*by).agg(F.coalesce(F.median("gap_"), F.lit(0.0)).alias(name))
+
+    x, y = gaps(lon, "dx"), gaps(lat, "dy")
+    both = x.join(y, by) if by else x.crossJoin(y)  # one row each
+    return both.select(*by, F.when(F.col("dx") > 0, F.col("dx")).otherwise(F.col("dy")).alias("dx"), F.when(F.col("dy") > 0, F.col("dy")).otherwise(F.col("dx")).alias("dy"))

@@ -65,12 +65,24 @@ def chunk_days(cells_per_step: int, step_days: float = 1, steps: int = 90, value
     return max(1, min(most, int(max(1, values // cells_per_step) * step_days)))
 
 
+def oldest_rows(chunks: DataFrame, keys: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """The row of each key from the oldest chunk whose span holds it; of equally old ones the least. Chunks meet in partial aggregates."""
+    held = chunks.where(F.col("date").between(F.col("span_start"), F.col("span_end")))
+    rest = [c for c in chunks.columns if c not in {*by, *keys, "span_start", "span_end"}]
+    first = held.groupBy(*by, *keys).agg(F.min(F.struct("span_start", "span_end", *rest)).alias("first_"))
+    return first.select(*[c if c in {*by, *keys} else F.col("first_")[c].alias(c) for c in chunks.columns if c not in ("span_start", "span_end")])
+
+
 def assemble(chunks: DataFrame, identity: dict[str, str], keys: tuple[str, ...] = ("date",), by: tuple[str, ...] = ()) -> DataFrame:
     """Chunk rows (with span_start and span_end) as one series: a row for each key, from the oldest chunk whose span holds it."""
-    held = chunks.where(F.col("date").between(F.col("span_start"), F.col("span_end")))
-    first = F.row_number().over(Window.partitionBy(*by, *keys).orderBy("span_start", "span_end"))
-    kept = held.withColumn("first_", first).where("first_ = 1").drop("first_", "span_start", "span_end")
-    return kept.withColumns({k: F.lit(v) for k, v in identity.items()})
+    return oldest_rows(chunks, keys, by).withColumns({k: F.lit(v) for k, v in identity.items()})
+
+
+def record_windows(extents: DataFrame, days: int | None = 30) -> DataFrame:
+    """By dataset, the last ``days`` of its record (start, end), or all of it (None); never before its first day."""
+    last = F.to_date("end")
+    start = F.to_date("start") if days is None else F.greatest(F.to_date("start"), F.date_add(last, 1 - days))
+    return extents.withColumns({"start": start, "end": last})
 
 
 def with_file_spans(chunks: DataFrame) -> DataFrame:

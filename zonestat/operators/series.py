@@ -95,8 +95,18 @@ def mean_of_years(cube: DataFrame, band: int, years: tuple[int, int]) -> DataFra
     return climatology(cube.where(F.col("band") == band), years, complete=False).select("place_id", "row", "col", "mean", "n")
 
 
-def anomaly(cube: DataFrame, clim: DataFrame) -> DataFrame:
-    """Each pixel less its climatology on the same lattice."""
+def anomaly(cube: DataFrame, clim: DataFrame, lattices: tuple[DataFrame, DataFrame] | None = None, width: int = 1) -> DataFrame:
+    """Each pixel less its climatology on the same lattice.
+
+    ``lattices`` are those of both (place_id, x0, y0, dx, dy): a place whose two differ by over a hundredth of a pixel, at its origin
+    or ``width`` pixels on, is an error.
+    """
+    if lattices:
+        from .choices import same_lattice
+
+        refused = F.raise_error(F.concat(F.col("place_id"), F.lit(": the lattices differ"))).cast("boolean")
+        told = same_lattice(*lattices, "place_id", width).select("place_id", F.when(F.col("same"), True).otherwise(refused).alias("same_"))  # a row for each place
+        cube = cube.join(told, "place_id").where("same_").drop("same_")
     return cube.join(clim.select("place_id", "band", "row", "col", "mean"), ["place_id", "band", "row", "col"]).select(
         "place_id", "year", "band", "row", "col", (no_nan(F.col("value")) - F.col("mean")).alias("anom")
     )
@@ -159,6 +169,11 @@ def chart_lines(series: DataFrame, then: tuple[int, int], now: int) -> DataFrame
     return series.withColumn("line", label)
 
 
+def then_line(series: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each band of a series by day: the Then mean, which all years' rows repeat (``by``, band, clim, line)."""
+    return series.where(F.col("clim").isNotNull()).groupBy(*by, "band").agg(F.first("clim").alias("clim")).withColumn("line", F.lit("clim"))
+
+
 def value_at(cube: DataFrame, points: DataFrame, bbox: tuple[float, float, float, float], width: int, height: int) -> DataFrame:
     """Pixel values under points (lon, lat): an equality join on the row and column that hold each."""
     west, south, east, north = bbox

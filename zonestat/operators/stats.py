@@ -134,3 +134,26 @@ def without_repeats(*slabs: DataFrame) -> DataFrame:
 def mask_summary(mask: DataFrame) -> DataFrame:
     w = F.col("weight")
     return mask.agg(F.count("*").alias("cells"), F.sum(w).alias("total_weight"), F.count_if(w < 0.999).alias("partial"))
+
+
+#: Columns that a written series names otherwise than the query does.
+PUBLISHED = {"fraction": "frac_area", "percent_cells": "pct_cells"}
+
+
+def published(series: DataFrame) -> DataFrame:
+    """Class columns by the names that written series have."""
+    return series.withColumnsRenamed(PUBLISHED)
+
+
+def as_queried(series: DataFrame) -> DataFrame:
+    """The reverse of ``published``."""
+    return series.withColumnsRenamed({v: k for k, v in PUBLISHED.items()})
+
+
+def joined_lobes(*masks: DataFrame) -> DataFrame:
+    """The cells of a place's lobes as one mask. Lobes that touch may both have a cell: it counts once, with its larger weight."""
+    whole = masks[0]
+    for m in masks[1:]:
+        whole = whole.unionByName(m)
+    keys = [c for c in whole.columns if c != "weight"]
+    return whole.groupBy(*keys).agg(F.max("weight").alias("weight"))

@@ -100,6 +100,11 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), parts.alias("parts"))
 
 
+def parcel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """place_id, x0, y0."""
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), *[F.expr(_doubles(_AT[c])).alias(c) for c in ("x0", "y0")])
+
+
 def parcel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.edges_from_parts(parcels(spark, sf_dir))
 

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import geometry as G
+from ..functions.wkb import parts_wkb, wkb_box, wkb_edges
 from ..operators import catalog as K
 from ..operators import choices as N
 from ..operators import incremental as I
 from ..operators import mask as M
 from ..operators import series as S
-from ..functions.wkb import parts_wkb, wkb_edges
 from ..operators import stats as A
+from ..sources import places as P
+from ..sources import readers as R
+from ..sources import writers as W
+from ..sources.gridded import read_gridded
 from ..sources.readers import info_extent
+from ..streaming.assemble import read_chunks, write_assembled
+from ..tables import fresh_path
 from . import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,3 +582,248 @@ def map_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = B.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"))
     return S.chart_lines(years, (1993, 1994), 1997)
+
+
+# places and grids in files
+def _written_places(spark: SparkSession, sf_dir: str, order: str) -> str:
+    """Parcels as GeoParquet, in the shared folder."""
+    rows = B.parcels(spark, sf_dir).select("place_id", F.concat(F.lit("g"), F.length("place_id")).alias("authority"), F.concat(F.lit("parcel "), "place_id").alias("name"), (F.length("place_id") * 1.5).alias("area_km2"), parts_wkb("parts").alias("geometry"))
+    path = fresh_path(spark, "places")
+    P.write_places(rows.withColumn("bbox", wkb_box("geometry")), path, order=order, row_group=20)
+    return path
+
+
+_PARCEL_BOX = f"WITH {B.PARCELS}, b AS (SELECT place_id, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM pe GROUP BY 1)"
+
+
+@query(f"{_PARCEL_BOX} SELECT 'g' || length(place_id) AS gazetteer, place_id, 'parcel ' || place_id AS name, length(place_id) * 1.5::DOUBLE AS area_km2, round(x0, 6) AS x0, round(y1, 6) AS y1 FROM b")
+def places_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six columns of written places, in order."""
+    rows = P.scan_places(spark, _written_places(spark, sf_dir, "id"))
+    return rows.select("gazetteer", "place_id", "name", "area_km2", F.round("bbox.xmin", 6).alias("x0"), F.round("bbox.ymax", 6).alias("y1"))
+
+
+@query(f"{_PARCEL_BOX} SELECT place_id, round(x0, 6) AS x0, round(y0, 6) AS y0 FROM b WHERE x1 >= {B.LON0 + 0.21} AND x0 <= {B.LON0 + 0.34} AND y1 >= {B.LAT0 + 0.11} AND y0 <= {B.LAT0 + 0.3}")
+def places_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.places_in_box(spark, _written_places(spark, sf_dir, "space"), B.LON0 + 0.21, B.LAT0 + 0.11, B.LON0 + 0.34, B.LAT0 + 0.3)
+    return found.select("place_id", F.round("bbox.xmin", 6).alias("x0"), F.round("bbox.ymin", 6).alias("y0"))
+
+
+@query(f"WITH {B.SLAB} SELECT time::DATE AS date, count(*) AS n, round(sum(value), 4) AS total FROM slab WHERE latitude BETWEEN {B.LAT0 + 0.12} AND {B.LAT0 + 0.44} AND longitude >= {B.LON0 + 0.08} AND longitude < {B.LON0 + 0.33} AND time >= (SELECT min(time)::DATE + 5 FROM slab) AND time < (SELECT min(time)::DATE + 12 FROM slab) GROUP BY 1")
+def gridded_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box and a week of a dataset behind requests: the filters become one request for each slice of days."""
+    slab = B.slab(spark, sf_dir)
+    first, last = slab.agg(F.min(F.to_date("time")), F.max(F.to_date("time"))).first()
+    base = fresh_path(spark, "mirror")
+    slab.select("time", "latitude", "longitude", "value").write.parquet(f"{base}/griddap/slab.parquet")
+    rows = read_gridded(spark, base=base, dataset="slab", variable="value", start=first.isoformat(), end=last.isoformat(), slice_days=4)
+    day = lambda n: F.lit((first + timedelta(n)).isoformat()).cast("timestamp")
+    box = F.col("latitude").between(B.LAT0 + 0.12, B.LAT0 + 0.44) & (F.col("longitude") >= B.LON0 + 0.08) & (F.col("longitude") < B.LON0 + 0.33)
+    return rows.where(box & (F.col("time") >= day(5)) & (F.col("time") < day(12))).groupBy(F.to_date("time").alias("date")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# rings
+_TURN = f"""{B.PARCELS}, far AS (SELECT place_id, part, ring, px + {179.93 - B.LON0}::DOUBLE - 0.05::DOUBLE * (s_suppkey % 3) AS px, py, qx + {179.93 - B.LON0}::DOUBLE - 0.05::DOUBLE * (s_suppkey % 3) AS qx, qy FROM pe JOIN parcel USING (place_id)),
+    w AS (SELECT *, unnest([0, 1]) AS world FROM far), c AS (SELECT *, greatest(least(px, qx), -180 + 360 * world) AS a, least(greatest(px, qx), 180 + 360 * world) AS b FROM w)"""
+
+
+@query(f"""WITH {_TURN} SELECT place_id, part, ring, world, round(abs(sum(sign(qx - px) * (b - a) * (py + (a - px) * (qy - py) / (qx - px) + py + (b - px) * (qy - py) / (qx - px)) / 2)), 9) AS area
+    FROM c WHERE b > a GROUP BY ALL HAVING area > 1e-8""")
+def antimeridian_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels moved to the antimeridian, folded to [-180, 180] and split: the area of each piece."""
+    key = F.substring("place_id", 2, 20).cast("long") % 3
+    edges = B.parcel_edges(spark, sf_dir).withColumn("off", F.lit(179.93 - B.LON0) - F.lit(0.05) * key)
+    closing = F.max(F.struct("k", F.col("bx").alias("x"), F.col("by").alias("y"))).alias("end")
+    by = ["place_id", "part", "ring"]
+    last = edges.groupBy(*by, "off").agg(closing).select(*by, "off", (F.col("end.k") + 1).alias("k"), "end.x", "end.y")
+    points = edges.select(*by, "off", "k", F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(last).withColumn("x", F.col("x") + F.col("off")).drop("off")
+    folded = points.withColumn("x", F.when(F.col("x") > 180, F.col("x") - 360).otherwise(F.col("x")))
+    pieces = G.split_vertices(folded, by)
+    along = Window.partitionBy(*by, "world").orderBy("k")
+    step = (F.lead("x").over(along) - F.col("x")) * (F.lead("y").over(along) + F.col("y")) / 2
+    side = F.when(F.col("x") > 0, 0).otherwise(1)
+    sums = pieces.withColumn("step", step).groupBy(*by, "world").agg(F.round(F.abs(F.sum("step")), 9).alias("area"), F.min(side).alias("side")).where("area > 1e-8")
+    return sums.select(*by, F.col("side").alias("world"), "area")
+
+
+@query(f"WITH {B.PARCELS} SELECT DISTINCT place_id AS feature, part * 2 AS part, ring AS ring_no, count(*) OVER (PARTITION BY place_id, part, ring) + 1 AS points FROM pe")
+def nested_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels' rings without their order, shells clockwise: holes find their shells."""
+    rings = B.parcels(spark, sf_dir).select("place_id", F.posexplode("parts").alias("part", "rings")).select("place_id", "part", F.posexplode("rings").alias("r", "ring"))
+    flat = rings.select(F.col("place_id").alias("feature"), (F.col("part") * 2 + F.col("r")).alias("k"), F.when(F.col("r") == 0, F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))
+    return G.nested_rings(flat).select("feature", "part", "ring_no", F.size("ring").cast("long").alias("points"))
+
+
+# series that are kept up to date
+@query(SQL["assemble_dedupe"])
+def assemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of chunk files, one at a time."""
+    rows = B.chunks(spark, sf_dir).withColumn("place_id", F.lit("p"))
+    chunks, out, at = (fresh_path(spark, kind) for kind in ("chunks", "series", "progress"))
+    rows.repartition(5, "span_start").write.parquet(chunks)
+    stream = read_chunks(spark, chunks, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes))
+    write_assembled(stream, out, at).awaitTermination()
+    identity = {"place_id": "pid", "dataset_id": "ds", "variable": "v"}
+    return B.rounded(spark.read.parquet(out).select("date", "n", "mean", *[F.lit(v).alias(c) for c, v in identity.items()]))
+
+
+@query("SELECT 'd' || (o_custkey % 40) AS dataset, min(o_orderdate)::DATE AS first, greatest(min(o_orderdate)::DATE, max(o_orderdate)::DATE - 29) AS start, max(o_orderdate)::DATE AS end FROM orders GROUP BY 1")
+def record_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extents = B.read(spark, sf_dir, "orders").groupBy(F.concat(F.lit("d"), F.col("o_custkey") % 40).alias("dataset")).agg(F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("end"))
+    return I.record_windows(extents.withColumn("first", F.to_date("start")), 30).select("dataset", "first", "start", "end")
+
+
+@query("""WITH u AS (SELECT c_custkey AS unit, 'h' || (c_custkey % 7) AS host FROM customer),
+    a AS (SELECT o_custkey AS unit, 'h' || (o_custkey % 7) AS host, o_orderkey AS t, o_orderkey % 3 = 0 AS ok, CASE o_orderkey % 3 WHEN 1 THEN 'HTTP 503 busy' WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'no such variable' ELSE 'fetch failed' END END AS message FROM orders WHERE o_custkey % 7 <> 5 OR o_orderkey % 3 = 1),
+    k AS (SELECT *, CASE WHEN ok THEN NULL WHEN message LIKE 'HTTP 5%' THEN '5xx' WHEN message = 'fetch failed' THEN 'network' END AS kind FROM a),
+    own AS (SELECT unit, arg_max(ok, t) AS ok, arg_max(coalesce(kind, '-'), t) AS kind, arg_max(coalesce(message, '-'), t) AS message, count(*) FILTER (NOT ok AND kind IS NOT NULL) AS tries FROM k GROUP BY 1),
+    hs AS (SELECT host, arg_max(ok, t) AS ok, arg_max(coalesce(kind, '-'), t) AS kind FROM k GROUP BY 1)
+    SELECT unit, host, CASE WHEN own.ok THEN 'completed' WHEN own.kind <> '-' THEN 'skipped' WHEN own.unit IS NOT NULL THEN 'error' WHEN NOT hs.ok AND hs.kind <> '-' THEN 'skipped' ELSE 'deferred' END AS status,
+           CASE WHEN own.unit IS NOT NULL THEN CASE WHEN NOT own.ok AND own.kind <> '-' THEN own.kind END WHEN NOT hs.ok AND hs.kind <> '-' THEN hs.kind END AS kind, coalesce(tries, 0) AS tries,
+           CASE WHEN own.ok THEN NULL WHEN own.unit IS NOT NULL THEN own.message WHEN NOT hs.ok AND hs.kind <> '-' THEN 'not reached: host still down' END AS reason
+    FROM u LEFT JOIN own USING (unit) LEFT JOIN hs USING (host)""")
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), F.concat(F.lit("h"), F.col("c_custkey") % 7).alias("host"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    message = F.when(k % 3 == 1, "HTTP 503 busy").when(k % 3 == 2, F.when(k % 2 == 0, "no such variable").otherwise("fetch failed"))
+    attempts = B.read(spark, sf_dir, "orders").where((c % 7 != 5) | (k % 3 == 1)).select(c.alias("unit"), F.concat(F.lit("h"), c % 7).alias("host"), k.alias("at"), (k % 3 == 0).alias("ok"), message.alias("message"))
+    return K.outcomes(units, attempts)
+
+
+# lists, names, frames and lattices
+@query(f"""WITH {B.INDEX}, o AS (SELECT *, CASE collection WHEN 'sanctuaries' THEN 0 ELSE 1 END AS c, collection = 'sanctuaries' AS shown FROM idx)
+    SELECT place_id, name, collection, shown, row_number() OVER (ORDER BY c, rank, collection, name, place_id) AS place, more FROM (
+        SELECT *, row_number() OVER (PARTITION BY collection ORDER BY name, place_id) AS k, greatest(count(*) OVER (PARTITION BY collection) - 20, 0) AS more FROM o) WHERE k <= 20""")
+def curated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = B.index(spark, sf_dir)
+    manifest = index.select(F.col("collection").alias("slug"), "rank").distinct()
+    shown = K.sections(K.group_ranks(index.drop("rank"), manifest, ("sanctuaries", "absent")), 20)
+    number = F.row_number().over(Window.orderBy("group_order", "place")).cast("long")  # capped lists: few rows
+    return shown.select("place_id", "name", "collection", "shown", number.alias("place"), "more")
+
+
+@query(r"""SELECT c_custkey AS k, regexp_replace(concat_ws('_', 'stats', 'c' || c_nationkey || '-x', CASE WHEN c_custkey % 3 > 0 THEN 'v' || (c_custkey % 5) END, nullif(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '2026-01-0' || (c_custkey % 9 + 1) END, '')), '\s', '') || '.csv' AS file,
+    CASE WHEN c_custkey % 720 - 360 < 0 THEN c_custkey % 720 ELSE c_custkey % 720 - 360 END::DOUBLE AS raw, least(greatest(least(w, e), 0.125), 359.875)::DOUBLE AS west, least(greatest(greatest(w, e), 0.125), 359.875)::DOUBLE AS east
+    FROM (SELECT *, CASE WHEN c_custkey % 360 - 180 < 0 THEN c_custkey % 360 + 180 ELSE c_custkey % 360 - 180 END AS w, CASE WHEN c_custkey % 360 - 170 < 0 THEN c_custkey % 360 + 190 ELSE c_custkey % 360 - 170 END AS e FROM customer)""")
+def result_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = C.result_name("stats", ".csv", F.concat(F.lit("c"), F.col("c_nationkey"), F.lit(":x ")), F.when(k % 3 > 0, F.concat(F.lit("v"), k % 5)), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("2026-01-0"), k % 9 + 1)))
+    span = C.lobe_span((k % 360 - 180).cast("double"), (k % 360 - 170).cast("double"), F.lit(0.125), F.lit(359.875))
+    raw = C.lobe_span((k % 720 - 360).cast("double"), (k % 720 - 360).cast("double"), F.lit(-1000.0), F.lit(1000.0))["west"]
+    return B.read(spark, sf_dir, "customer").select(k.alias("k"), name.alias("file"), F.when(raw < 0, raw + 360).otherwise(raw).alias("raw"), span["west"].alias("west"), span["east"].alias("east"))
+
+
+@query("""WITH r AS (SELECT 's' || s_suppkey AS place_id, 3 + s_suppkey % 5 AS w, 2 + s_suppkey % 3 AS h, s_suppkey::DOUBLE AS west FROM supplier)
+    SELECT place_id, 'lon' AS axis, k::INTEGER AS k, round(west + (k + 0.5::DOUBLE) * (2.0::DOUBLE / w), 6) AS centre FROM r, range(10) t(k) WHERE k < w
+    UNION ALL SELECT place_id, 'lat', k::INTEGER, round(7.5::DOUBLE - (k + 0.5::DOUBLE) * (1.5::DOUBLE / h), 6) FROM r, range(10) t(k) WHERE k < h""")
+def lattice_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rasters = B.read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k).alias("place_id"), (3 + k % 5).alias("width"), (2 + k % 3).alias("height"), k.cast("double").alias("west"), F.lit(6.0).alias("south"), (k.cast("double") + 2).alias("east"), F.lit(7.5).alias("north"))
+    return B.rounded(N.lattice_axes(rasters))
+
+
+@query(f"""WITH {B.SLAB_AXES}, {B.PARCELS}, {B.INSIDE}, r AS (SELECT place_id, x0 AS west, y0 AS south, x0 + 0.3::DOUBLE AS east, y0 + 0.4::DOUBLE AS north FROM parcel)
+    SELECT place_id, row, col, count(*) AS cells FROM (SELECT place_id, floor((north - lat) / (north - south) * 4)::INTEGER AS row, floor((lon - west) / (east - west) * 3)::INTEGER AS col FROM inside JOIN r USING (place_id)) WHERE row BETWEEN 0 AND 3 AND col BETWEEN 0 AND 2 GROUP BY ALL""")
+def cells_on_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = B.parcel_corners(spark, sf_dir)
+    rasters = boxes.select("place_id", F.lit(3).alias("width"), F.lit(4).alias("height"), F.col("x0").alias("west"), F.col("y0").alias("south"), (F.col("x0") + 0.3).alias("east"), (F.col("y0") + 0.4).alias("north"))
+    cells = M.grid_mask(B.parcel_edges(spark, sf_dir), *B.slab_axes(spark, sf_dir), weights=False)
+    return N.on_lattice(cells, rasters).groupBy("place_id", "row", "col").agg(F.count("*").alias("cells"))
+
+
+@query(f"""WITH {B.SLAB} , c AS (SELECT DISTINCT event_type, round(longitude::DOUBLE, 4) AS lon, round(latitude::DOUBLE, 4) AS lat FROM slab),
+    x AS (SELECT event_type, coalesce(median(g), 0) AS dx FROM (SELECT event_type, lon - lag(lon) OVER (PARTITION BY event_type ORDER BY lon) AS g FROM (SELECT DISTINCT event_type, lon FROM c)) GROUP BY 1),
+    y AS (SELECT event_type, coalesce(median(g), 0) AS dy FROM (SELECT event_type, lat - lag(lat) OVER (PARTITION BY event_type ORDER BY lat) AS g FROM (SELECT DISTINCT event_type, lat FROM c)) GROUP BY 1)
+    SELECT event_type, round(CASE WHEN dx > 0 THEN dx ELSE dy END, 6) AS dx, round(CASE WHEN dy > 0 THEN dy ELSE dx END, 6) AS dy FROM x JOIN y USING (event_type)""")
+def cell_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = B.slab(spark, sf_dir).select("event_type", F.round(F.col("longitude").cast("double"), 4).alias("longitude"), F.round(F.col("latitude").cast("double"), 4).alias("latitude"))
+    return B.rounded(N.spacings(cells, ["event_type"]))
+
+
+@query(f"WITH {B.DAILY}, s AS (SELECT year(date) AS year, dayofyear(make_date(2000, month(date), day(date))) AS band, mean FROM raw) SELECT band, round(avg(mean), 6) AS clim, 'clim' AS line FROM s WHERE year BETWEEN 1995 AND 1998 GROUP BY 1")
+def then_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(S.then_line(S.series_by_day(B.daily_orders(spark, sf_dir), (1995, 1998))))
+
+
+@query(f"""WITH {B.ITEMS}, m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'partial' ELSE 'complete' END AS status FROM items WHERE k % 4 <> 0)
+    SELECT collection, strftime(min(start), '%Y-%m-%dT00:00:00Z') AS first, strftime(max("end"), '%Y-%m-%dT00:00:00Z') AS last, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial, any_value(p) AS pending,
+           array_to_string(list_sort(list(DISTINCT variable)), ',') AS variables, min((k % 300)::DOUBLE - 170) AS west FROM m JOIN (SELECT collection, count(*) AS p FROM items WHERE k % 4 = 0 GROUP BY 1) USING (collection) GROUP BY 1""")
+def stac_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of collections, and what they say."""
+    all_ = B.items(spark, sf_dir)
+    west = (F.col("k") % 300).cast("double") - 170
+    made = all_.where("k % 4 <> 0").withColumns({"status": F.when(F.col("k") % 3 == 0, "partial").otherwise("complete"), "dataset_id": F.col("collection"), "west": west, "south": F.lit(1.0), "east": west + 1, "north": F.lit(2.0)})
+    doc = F.from_json("body", "extent struct<spatial: struct<bbox: array<array<double>>>, temporal: struct<interval: array<array<string>>>>, summaries struct<variable: array<string>>, item_counts struct<complete: long, partial: long, pending: long>")
+    rows = W.collections(made, all_).select("collection", doc.alias("d"))
+    return rows.select("collection", F.col("d.extent.temporal.interval")[0][0].alias("first"), F.col("d.extent.temporal.interval")[0][1].alias("last"), "d.item_counts.*", F.array_join("d.summaries.variable", ",").alias("variables"), F.col("d.extent.spatial.bbox")[0][0].alias("west"))
+
+
+# files of a run
+@query(f"WITH {B.CHUNKS} SELECT span_start, span_end, count(*) AS rows, min(date) AS first, round(avg(mean), 6) AS mean FROM chunk GROUP BY ALL")
+def file_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks in files that are named by their spans."""
+    path = fresh_path(spark, "chunks")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    name = F.concat(day("span_start"), F.lit("_"), day("span_end"), F.lit(".parquet"))
+    B.chunks(spark, sf_dir).withColumn("file", name).drop("span_start", "span_end").repartition("file").write.partitionBy("file").parquet(path)
+    rows = I.with_file_spans(spark.read.parquet(path))
+    return B.rounded(rows.groupBy("span_start", "span_end").agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.avg("mean").alias("mean")))
+
+
+@query(f"WITH {B.SLAB} SELECT event_type, count(*) AS n, count(DISTINCT latitude > 20.3::FLOAT) AS lobes, round(sum(value), 4) AS total, (SELECT count(*) FROM slab) AS written FROM slab GROUP BY 1")
+def lobe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slab's lobes as files of their own, read as one table with the file of each row, and the rows that were written."""
+    path, slab = fresh_path(spark, "lobes"), B.slab(spark, sf_dir)
+    north = F.col("latitude") > F.lit(20.3).cast("float")
+    for lobe, rows in (("N", slab.where(north)), ("S", slab.where(~north))):
+        rows.coalesce(1).write.parquet(f"{path}/{lobe}")
+    read = R.slabs(spark, f"{path}/N", f"{path}/S")
+    n = sum(R.row_count(spark, f"{path}/{lobe}") for lobe in "NS")
+    return read.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("file_name").alias("lobes"), F.round(F.sum("value"), 4).alias("total"), F.lit(n).cast("long").alias("written"))
+
+
+@query(f"{_CELLS} SELECT place_id, count(*) AS cells, round(sum(CASE WHEN i % 3 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END), 6) AS weight FROM inside WHERE i % 3 < 2 GROUP BY 1")
+def masks_of_lobes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks that overlap, one of them from a CSV file, put together: a cell counts once, with its larger weight."""
+    lon, lat = B.slab_axes(spark, sf_dir)
+    inside = M.inside_scan(B.parcel_edges(spark, sf_dir), M.axis_edges(lon), M.axis_edges(lat))
+    named = lambda df, w: df.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.lit(w).alias("weight"))
+    path = fresh_path(spark, "mask")
+    named(inside.where("i % 3 = 0"), 0.5).write.option("header", True).partitionBy("place_id").csv(path)
+    held = R.mask_csv(spark, path).withColumn("place_id", F.regexp_extract(F.col("_metadata.file_path"), "place_id=([^/]*)/", 1))
+    whole = A.joined_lobes(named(inside.where("i % 3 < 2"), 0.25), held.select("place_id", "latitude", "longitude", "weight"))
+    return B.rounded(whole.groupBy("place_id").agg(F.count("*").alias("cells"), F.sum("weight").alias("weight")))
+
+
+@query(f"""WITH p AS (SELECT 'p' || (l_linenumber % 2) AS place_id, l_suppkey % 8 AS row, l_partkey % 8 AS col, l_shipdate::TIMESTAMP + to_hours((l_orderkey % 5)::INTEGER) AS t, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL),
+    c AS (SELECT place_id, year(t)::INTEGER AS year, dayofyear(make_date(2000, month(t), day(t)))::INTEGER AS band, row, col, arg_max(value, t) AS value FROM p GROUP BY ALL)
+    SELECT place_id, year, count(*) AS n, count(DISTINCT band) AS bands, round(sum(value * {B.UNEVEN}::DOUBLE), 2) AS total FROM c GROUP BY ALL""")
+def cube_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of several times a day on the leap calendar: a day takes its latest."""
+    rows = B.read(spark, sf_dir, "lineitem")
+    at = F.to_date("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("l_orderkey") % 5).cast("int"))
+    pixels = rows.groupBy(F.concat(F.lit("p"), F.col("l_linenumber") % 2).alias("place_id"), (F.col("l_suppkey") % 8).alias("row"), (F.col("l_partkey") % 8).alias("col"), at.alias("date")).agg(F.avg("l_extendedprice").alias("value"))
+    return S.cube_bands(pixels).groupBy("place_id", "year").agg(F.count("*").alias("n"), F.count_distinct("band").alias("bands"), F.round(F.sum(F.col("value") * B.UNEVEN), 2).alias("total"))
+
+
+@query(f"""WITH {B.CUBE}, pts AS (SELECT c_custkey AS k, (c_custkey % 97)::DOUBLE / 10 - 81.3::DOUBLE AS lon, (c_custkey % 89)::DOUBLE / 9 + 23.1::DOUBLE AS lat FROM customer WHERE c_custkey % 5 = 0),
+    at AS (SELECT k, floor((lon + 80) / (8.0::DOUBLE / 8)) AS col, floor((31.5::DOUBLE - lat) / (6.5::DOUBLE / 8)) AS row FROM pts WHERE lon BETWEEN -80 AND -72 AND lat BETWEEN 25 AND 31.5)
+    SELECT k, place_id, round(value, 6) AS value FROM at JOIN (SELECT * FROM cube WHERE year = 1996 AND band = 100) USING (row, col)""".replace(" at AS", " spot AS").replace("FROM at ", "FROM spot "))
+def value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    points = B.read(spark, sf_dir, "customer").where(k % 5 == 0).select(k.alias("k"), ((k % 97).cast("double") / 10 - 81.3).alias("lon"), ((k % 89).cast("double") / 9 + 23.1).alias("lat"))
+    return B.rounded(S.value_at(B.cube(spark, sf_dir).where("year = 1996 and band = 100"), points, (-80.0, 25.0, -72.0, 31.5), 8, 8).select("k", "place_id", "value"))
+
+
+@query(f"""WITH {B.SLAB}, {B.AXES}, {B.BOX_MASK}, {B.JOINED}, cells AS (SELECT time::DATE AS date, length(event_type)::BIGINT AS class, weight FROM joined), t AS (SELECT date, count(*) AS nt, sum(weight) AS wt FROM cells GROUP BY 1)
+    SELECT date, class, round(sum(weight) / any_value(wt), 6) AS frac_area, round(100.0::DOUBLE * count(*) / any_value(nt), 6) AS pct_cells FROM cells JOIN t USING (date) GROUP BY date, class""")
+def published_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = A.stats_categorical(B.slab(spark, sf_dir), B.box_mask(spark), F.length("event_type") + 0.25)
+    return B.rounded(A.published(A.as_queried(A.published(classes))).select("date", "class", "frac_area", "pct_cells"))
+
+
+@query("SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'multipolygon' WHEN 2 THEN 'MultiPoint' WHEN 3 THEN 'Polygons' END AS kind, coalesce(c_custkey % 5 < 2, false) AS polygonal FROM customer")
+def polygonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    kind = F.when(k % 5 == 0, "Polygon").when(k % 5 == 1, "multipolygon").when(k % 5 == 2, "MultiPoint").when(k % 5 == 3, "Polygons")
+    return B.read(spark, sf_dir, "customer").select(k.alias("k"), kind.alias("kind"), F.coalesce(C.is_polygonal(kind), F.lit(False)).alias("polygonal"))

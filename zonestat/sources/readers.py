@@ -14,6 +14,11 @@ def slabs(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
+def row_count(spark: SparkSession, path: str) -> int:
+    """The rows of a written table, from its files' footers."""
+    return spark.read.parquet(path).count()
+
+
 def mask_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MASK).option("header", True).csv(path)
 
