@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ _AT = {
     "x0": f"{LON0} + {STEP} * (s_suppkey * 7 % 10) - 0.0187", "y0": f"{LAT0} + {STEP} * (s_suppkey * 3 % 11) - 0.0213",
     "dx": f"{STEP} * (1 + s_suppkey % 4) + 0.0113", "dy": f"{STEP} * (1 + s_suppkey % 6) + 0.0071",
 }
-_doubles = lambda text: __import__("re").sub(r"(?<![\w.])(\d+\.\d+)", r"CAST(\1 AS DOUBLE)", text)
+_doubles = lambda text: re.sub(r"(?<![\w.])(\d+\.\d+)", r"CAST(\1 AS DOUBLE)", text)
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +102,14 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), parts.alias("parts"))
 
 
+def parcel_of_boxes(spark: SparkSession, sf_dir: str, corners: tuple[tuple[float, float, float, float], ...]) -> DataFrame:
+    """place_id and parts, each a box by shares of the parcel's width and height."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", *[F.expr(_doubles(e)).alias(c) for c, e in _AT.items()])
+    point = lambda x, y: F.struct((F.col("x0") + F.lit(x) * F.col("dx")).alias("x"), (F.col("y0") + F.lit(y) * F.col("dy")).alias("y"))
+    box = lambda w, s, e, n: F.array(F.array(point(w, s), point(e, s), point(e, n), point(w, n), point(w, s)))
+    return s.select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), F.array(*[box(*c) for c in corners]).alias("parts"))
+
+
 def parcel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """place_id, x0, y0."""
     return read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("place_id"), *[F.expr(_doubles(_AT[c])).alias(c) for c in ("x0", "y0")])

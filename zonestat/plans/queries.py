@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import geometry as G
+from ..functions.clean import cleaned
 from ..functions.wkb import parts_wkb, wkb_box, wkb_edges
 from ..operators import catalog as K
 from ..operators import choices as N
@@ -654,6 +655,16 @@ def nested_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nested_rings(flat).select("feature", "part", "ring_no", F.size("ring").cast("long").alias("points"))
 
 
+@query(f"WITH {B.PARCELS} SELECT place_id, 2::BIGINT AS parts, 14::BIGINT AS points, round(1.28::DOUBLE * dx * dy, 9) AS area FROM parcel")
+def cleaned_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes that overlap, as one self-crossing place: by the even-odd rule two parts of seven points are left."""
+    corners = ((0.0, 0.0, 1.0, 1.0), (0.5, 0.4, 1.3, 1.5))
+    places = cleaned(B.parcel_of_boxes(spark, sf_dir, corners))
+    rings = places.select("place_id", F.size("parts").cast("long").alias("parts"), F.explode("parts").alias("rings")).select("place_id", "parts", F.explode("rings").alias("ring"))
+    sums = rings.groupBy("place_id", "parts").agg(F.sum(F.size("ring")).cast("long").alias("points"), F.round(-F.sum(G.ring_turn(F.col("ring"))) / 2, 9).alias("area"))
+    return sums.select("place_id", "parts", "points", "area")
+
+
 # series that are kept up to date
 @query(SQL["assemble_dedupe"])
 def assemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
