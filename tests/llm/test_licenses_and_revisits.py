@@ -58,6 +58,27 @@ def test_wrapped_headers_and_whole_files(spark):
     assert {got[p] for p in got if p not in want} == {(None, "none")}
 
 
+def test_relatives_are_told_apart(spark, sf):
+    """Notices of licences that share most of their words, wrapped and beside ordinary documents, get their own names."""
+    import textwrap
+
+    gnu = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.".format
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    notices = {
+        "GPL-2.0": gnu("program", ";", "", ";", "2"), "GPL-3.0": gnu("program", ":", "", ",", "3"), "LGPL-2.1": gnu("library", ";", "Lesser ", ";", "2.1"), "AGPL-3.0": gnu("program", ":", "Affero ", ",", "3"), "BSD-2-Clause": bsd,
+        "BSD-3-Clause": bsd + third, "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    rows = [(-k - 1, f"n/{name}.c", "int x;\n" + "\n".join(f" * {line}" for line in textwrap.wrap(text, 70)) + "\nint y;") for k, (name, text) in enumerate(notices.items())]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "concat('d/', doc_id) AS path", "text")
+    got = {r["path"]: r["license"] for r in license_scan(docs.unionByName(spark.createDataFrame(rows, docs.schema))).where("path LIKE 'n/%'").collect()}
+    assert got == {f"n/{name}.c": name for name in notices}
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [

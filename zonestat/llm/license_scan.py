@@ -4,7 +4,7 @@ Headers are windows of 1, 2, 4, 8 and 16 lines (lines without a term don't count
 wrapped; licence files (LICENSE, COPYING, NOTICE, with any extension) are compared as a whole besides.
 Both are compared to licence templates by the cosine of sparse TF-IDF vectors; document frequencies are
 counted over all documents for all terms. A file's own licence is its best window's best template, if
-that reaches THRESHOLD. A window begins at a line with one of the templates' anchors: a template's commonest
+that reaches THRESHOLD; one whose text another licence holds and extends counts only where that one's own clause isn't there. A window begins at a line with one of the templates' anchors: a template's commonest
 terms, its anchors left out, have less than THRESHOLD of its norm, so no line that could reach it is left
 out, and a wider window begins where its first anchor is. Windows whose cosine can't reach THRESHOLD are
 dropped in their own row before any shuffle: the dot products are exact there, and the norm is at least that
@@ -53,6 +53,7 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
         "BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -62,8 +63,42 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    "ISC": (
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.",),
 }
+#: Licences whose text holds another's: that one, and the text of their own clause (by place), which decides.
+EXTENDS = {"BSD-3-Clause": ("BSD-2-Clause", 3)}
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[^/]*)?$"
 THRESHOLD = 0.5
@@ -148,9 +183,14 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> Dat
     norm = vectors.groupBy("unit", "line", "width").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     shared = vectors.join(F.broadcast(model), "term")  # the templates' terms
     dot = shared.groupBy("unit", "line", "width", "template", "rank", "variant").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, ["unit", "line", "width"]).select("unit", "template", "rank", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= THRESHOLD)
-    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("low"), "rank", "template")).alias("best"))
-    return best.select("unit", F.col("best.template").alias("own"), (-F.col("best.low")).alias("score"))
+    cosine = dot.join(norm, ["unit", "line", "width"]).select("unit", "template", "rank", "variant", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= THRESHOLD)
+    one = F.struct((-F.col("score")).alias("low"), "rank", "template")
+    found = cosine.groupBy("unit").agg(F.min(one).alias("best"), *[F.min(F.when(F.col("template") != held, one)).alias(f"but_{k}") for k, (held, _) in enumerate(EXTENDS.values())],
+                                       *[F.max((F.col("template") == name) & (F.col("variant") == clause)).alias(f"clause_{k}") for k, (name, (_, clause)) in enumerate(EXTENDS.items())])
+    best = F.col("best")
+    for k, (held, _) in enumerate(EXTENDS.values()):
+        best = F.when((F.col("best.template") == held) & F.col(f"clause_{k}"), F.col(f"but_{k}")).otherwise(best)
+    return found.select("unit", best.alias("best")).select("unit", F.col("best.template").alias("own"), (-F.col("best.low")).alias("score"))
 
 
 def ancestors(directory: Column) -> Column:

@@ -11,7 +11,7 @@ from .common import lower_ascii, table
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives, integer_vectors
 from .language_id import language_id
-from .license_scan import TEMPLATES, TERM, license_scan
+from .license_scan import EXTENDS, TEMPLATES, TERM, license_scan
 from .media_chunks import media_column
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -126,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _TEMPLATE_ROWS = ", ".join(f"('{name}', {rank}, {variant}, '{text}')" for rank, (name, texts) in enumerate(TEMPLATES.items()) for variant, text in enumerate(texts))
+_HELD = ", ".join(f"('{name}', '{held}', {clause})" for name, (held, clause) in EXTENDS.items())
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 
 SQL: dict[str, str] = {
@@ -147,8 +148,9 @@ SQL: dict[str, str] = {
         tf AS (SELECT id, i, k, term, count(*) AS tf FROM (SELECT id, i, k, unnest(regexp_extract_all(words, '{TERM}')) AS term FROM part) GROUP BY ALL),
         v AS (SELECT id, i, k, term, tf * (ln((docs + 1) / (coalesce(df, 0) + 1)) + 1) AS x FROM tf LEFT JOIN df USING (term), n),
         norm AS (SELECT id, i, k, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
-        c AS (SELECT id, template, rank, round(sum(x * weight) / any_value(norm), 6) AS score FROM v JOIN m USING (term) JOIN norm USING (id, i, k) GROUP BY id, i, k, template, rank, variant),
-        own AS (SELECT * FROM c WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rank) = 1),
+        c AS (SELECT id, template, rank, variant, round(sum(x * weight) / any_value(norm), 6) AS score FROM v JOIN m USING (term) JOIN norm USING (id, i, k) GROUP BY id, i, k, template, rank, variant),
+        clause AS (SELECT DISTINCT id, held FROM c JOIN (VALUES {_HELD}) h(extending, held, clause) ON template = extending AND variant = clause WHERE score >= 0.5),
+        own AS (SELECT * FROM c WHERE score >= 0.5 AND (id, template) NOT IN (SELECT id, held FROM clause) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rank) = 1),
         p AS (SELECT f.id, path, dir, is_file, own.template AS own, own.score FROM f LEFT JOIN own USING (id)),
         g AS (SELECT dir AS above, own AS dir_license FROM p WHERE is_file AND own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, id) = 1),
         d AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM p WHERE own IS NULL)),
