@@ -40,3 +40,12 @@ def test_query(spark, sf, db, name):
     assert {c: KINDS.get(kind, kind) for c, kind in df.dtypes} == kinds
     assert sorted(names) == sorted(df.columns)
     assert rows_of(got, df.columns) == rows_of(cursor.fetchall(), names)
+
+
+@pytest.mark.parametrize(
+    ("name", "keys"),
+    [("stats_daily", ["date"]), ("stats_daily_places", ["place_id", "date"]), ("stats_categorical", ["date", "class"]), ("stats_monthly_points", ["date"]), ("points_station", ["latitude", "longitude"]), ("last_step", ["latitude", "longitude"]), ("series_doy", ["year", "band"]), ("grid_mask_scan", ["place_id", "latitude", "longitude"]), ("grid_mask_weights", ["place_id", "latitude", "longitude"])],
+)
+def test_results_come_in_order(spark, sf, name, keys):
+    rows = [tuple(r[k] for k in keys) for r in QUERIES[name](spark, sf.replace("sf0.001", "sf0.01")).collect()]
+    assert rows == sorted(rows) and len(rows) > 1

@@ -269,7 +269,7 @@ def grid_mask(edges: DataFrame, lon: DataFrame, lat: DataFrame, weights: bool =
     """
     x, y = axis_index(axis_edges(lon)), axis_index(axis_edges(lat))
     inside = _scan(edges, x, y)
-    named = lambda df, weight: df.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), weight.alias("weight"))
+    named = lambda df, weight: df.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), weight.alias("weight")).orderBy("place_id", "latitude", "longitude")
     if not weights:
         return named(inside, F.lit(1.0))
     # the cells inside are made twice from the edges, which costs less than to keep them

@@ -21,7 +21,7 @@ def series_by_day(series: DataFrame, then: tuple[int, int], smooth: int = 0, dat
         rows = rows.withColumn("value", F.avg("value").over(near))
     clim = rows.where(F.col("year").between(*then)).groupBy(*by, "band").agg(F.avg("value").alias("clim"))
     joined = rows.join(clim, [*by, "band"], "left")  # at most 366 rows a place: Spark broadcasts it where that is small
-    return joined.select(*by, "year", "band", "date", "value", "clim", (F.col("value") - F.col("clim")).alias("anom"))
+    return joined.select(*by, "year", "band", "date", "value", "clim", (F.col("value") - F.col("clim")).alias("anom")).orderBy(*by, "year", "band")
 
 
 def cube_bands(pixels: DataFrame, date: str = "date") -> DataFrame:

@@ -23,16 +23,20 @@ SMALL_ROWS = 1_000_000
 
 
 def small_side(df: DataFrame, most_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df``, computed once and kept, with a broadcast hint if it has at most ``most_rows`` rows."""
-    kept = df.persist()
-    few = kept.limit(most_rows + 1).count() <= most_rows
-    return F.broadcast(kept) if few else kept
+    """``df`` as a table in the shared folder, with a broadcast hint if it has at most ``most_rows`` rows."""
+    kept = written(df)  # nothing stays in the executors' memory
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
 
 
 def _places(mask: DataFrame) -> list[str]:
     return ["place_id"] if "place_id" in mask.columns else []
 
 
+def _in_order(result: DataFrame, *keys: str) -> DataFrame:
+    """A result by place and its keys: few rows beside the slab's. Joins and sums of it drop the order again."""
+    return result.orderBy(*[c for c in ("place_id",) if c in result.columns], *keys)
+
+
 def masked(slab: DataFrame, mask: DataFrame, value: Column, decimals: int = GRID_DECIMALS, drop_nulls: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Slab rows inside the mask: time, the mask's position and weight, value (and the slab's ``keep`` columns)."""
     given = slab.select(cell_key(F.col("latitude"), decimals).alias("klat"), cell_key(F.col("longitude"), decimals).alias("klon"), "time", value.alias("value"), *keep)
@@ -74,10 +78,10 @@ def stats_daily(slab: DataFrame, mask: DataFrame, value: Column, bounded: bool =
     plain = [F.count(v).alias("n"), F.avg(v).alias("mean"), ratio(F.sum(v * w), F.sum(w)).alias("mean_wt"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")]
     shares = {"p10": 0.1, "p90": 0.9}
     if not bounded:
-        return rows.groupBy(*by).agg(*plain, *[quantile(v, p).alias(c) for c, p in shares.items()], F.sum(w).alias("weight_sum"))
+        return _in_order(rows.groupBy(*by).agg(*plain, *[quantile(v, p).alias(c) for c, p in shares.items()], F.sum(w).alias("weight_sum")), "date")
     rows = written(rows.select(*by, "value", "weight"))
     whole = rows.groupBy(*by).agg(*plain, F.sum(w).alias("weight_sum")).join(quantiles(rows, by, "value", shares), by)
-    return whole.select(*by, "n", "mean", "mean_wt", "sd", "min", "max", *shares, "weight_sum")
+    return _in_order(whole.select(*by, "n", "mean", "mean_wt", "sd", "min", "max", *shares, "weight_sum"), "date")
 
 
 def stats_categorical(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
@@ -86,9 +90,10 @@ def stats_categorical(slab: DataFrame, mask: DataFrame, value: Column) -> DataFr
     rows = masked(slab, mask, value).select(*_places(mask), utc_day(F.col("time")).alias("date"), class_code(F.col("value")).alias("class"), "weight")
     classes = rows.groupBy(*by, "class").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     day = Window.partitionBy(*by)
-    return classes.select(
+    shares = classes.select(
         *by, "class", "n", "weight", ratio(F.col("weight"), F.sum("weight").over(day)).alias("fraction"), (F.lit(100.0) * F.col("n") / F.sum("n").over(day)).alias("percent_cells")
     )
+    return _in_order(shares, "date", "class")
 
 
 def stats_points(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
@@ -96,16 +101,18 @@ def stats_points(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
     kept = masked(slab.withColumns({"lon_": F.col("longitude").cast("double"), "lat_": F.col("latitude").cast("double")}), mask, value, POINT_DECIMALS, keep=("lon_", "lat_"))
     rows = kept.withColumn("date", month_of(utc_day(F.col("time"))))
     v = F.col("value")
-    return rows.groupBy(*_places(mask), "date").agg(
+    months = rows.groupBy(*_places(mask), "date").agg(
         F.count(v).alias("n"), F.count_distinct(F.struct("time", "lon_", "lat_")).alias("n_casts"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
         F.min(v).alias("min"), F.max(v).alias("max"), quantile(v, 0.1).alias("p10"), quantile(v, 0.9).alias("p90"),
     )
+    return _in_order(months, "date")
 
 
 def station_means(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
     """By station: latitude, longitude, weight 1, mean value, n, the last day with a value."""
     rows = masked(slab, mask, value, POINT_DECIMALS)
-    return rows.groupBy(*_places(mask), "latitude", "longitude").agg(F.lit(1.0).alias("weight"), F.avg("value").alias("value"), F.count("value").alias("n"), utc_day(F.max("time")).alias("date"))
+    means = rows.groupBy(*_places(mask), "latitude", "longitude").agg(F.lit(1.0).alias("weight"), F.avg("value").alias("value"), F.count("value").alias("n"), utc_day(F.max("time")).alias("date"))
+    return _in_order(means, "latitude", "longitude")
 
 
 def last_step(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
@@ -113,9 +120,8 @@ def last_step(slab: DataFrame, mask: DataFrame, value: Column) -> DataFrame:
     rows = masked(slab, mask, value, drop_nulls=False)
     by = _places(mask)
     last = rows.groupBy(*by).agg(F.max("time").alias("last"))
-    # one row, or one for each place
-    latest = rows.join(F.broadcast(last), by) if by else rows.crossJoin(F.broadcast(last))
-    return latest.where(F.col("time") == F.col("last")).select(*by, utc_day(F.col("time")).alias("date"), "latitude", "longitude", "weight", "value")
+    latest = rows.join(last, by) if by else rows.crossJoin(F.broadcast(last))  # one row
+    return _in_order(latest.where(F.col("time") == F.col("last")).select(*by, utc_day(F.col("time")).alias("date"), "latitude", "longitude", "weight", "value"), "latitude", "longitude")
 
 
 def stations(slab: DataFrame) -> DataFrame:
