@@ -80,20 +80,28 @@ class AxisIndex:
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(self.centre).bit_length()))]).cast("array<int>")
         return F.aggregate(steps, F.lit(0), lambda n, step: F.when(before(n + step), n + step).otherwise(n))
 
-    def cells(self, first: Column, last: Column, **names: str) -> Column:
-        """Cells from ``first`` to ``last``: their numbers (name of ``number``) and centres or edges, as an array of structs; empty if there are none."""
-        number = names.pop("number")
-        given = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(given, lambda k: F.struct(k.alias(number), *[F.get(self.vector(of), k).alias(name) for name, of in names.items()]))
+    def spread(self, rows: DataFrame, first: str, last: str, number: str, **names: str) -> DataFrame:
+        """A row for each cell from ``first`` to ``last``: its number, and its centre or edges by ``names``; cells off the axis have null ones."""
+        cells = rows.where(F.col(first) <= F.col(last)).withColumn(number, F.explode(F.sequence(first, last)))
+        return cells.withColumns({name: F.get(self.vector(of), F.col(number)) for name, of in names.items()})
+
+
+def _indexes(*axes: DataFrame) -> list[AxisIndex]:
+    """The indexes of axes (centre, lo, hi), read in one job."""
+    tagged = [a.select(F.lit(k).alias("k"), *[F.col(c).cast("double").alias(c) for c in ("centre", "lo", "hi")]).limit(LONGEST + 1) for k, a in enumerate(axes)]
+    whole = tagged[0]
+    for t in tagged[1:]:
+        whole = whole.unionByName(t)
+    rows = whole.collect()
+    found = [sorted(tuple(r)[1:] for r in rows if r["k"] == k) for k in range(len(axes))]
+    if any(len(f) > LONGEST for f in found):
+        raise ValueError(f"an axis has more than {LONGEST} cells")
+    return [AxisIndex(*([r[k] for r in f] for k in range(3))) for f in found]
 
 
 def axis_index(axis: DataFrame) -> AxisIndex:
     """The index of ``axis_edges``' rows."""
-    rows = axis.select("centre", "lo", "hi").limit(LONGEST + 1).collect()
-    if len(rows) > LONGEST:
-        raise ValueError(f"an axis has more than {LONGEST} cells")
-    rows = sorted((float(r["centre"]), float(r["lo"]), float(r["hi"])) for r in rows)
-    return AxisIndex(*([r[k] for r in rows] for k in range(3)))
+    return _indexes(axis)[0]
 
 
 def axis_spacing(centres: DataFrame) -> DataFrame:
@@ -110,22 +118,21 @@ def part_boxes(edges: DataFrame) -> DataFrame:
 
 def _within(boxes: DataFrame, x: AxisIndex, y: AxisIndex) -> DataFrame:
     """Cells (by part) whose centres lie in a part's box."""
-    columns = x.cells(x.count("centre", F.col("x0")), x.count("centre", F.col("x1"), closed=True) - 1, number="i", lon="centre")
-    rows = y.cells(y.count("centre", F.col("y0")), y.count("centre", F.col("y1"), closed=True) - 1, number="j", lat="centre")
-    return boxes.select("place_id", "part", columns.alias("c"), F.explode(rows).alias("r")).select("place_id", "part", "r.j", "r.lat", F.inline("c"))
+    ends = {"i0": x.count("centre", F.col("x0")), "i1": x.count("centre", F.col("x1"), closed=True) - 1, "j0": y.count("centre", F.col("y0")), "j1": y.count("centre", F.col("y1"), closed=True) - 1}
+    rows = y.spread(boxes.withColumns(ends), "j0", "j1", "j", lat="centre")
+    return x.spread(rows, "i0", "i1", "i", lon="centre").select("place_id", "part", "i", "j", "lon", "lat")
 
 
 def candidates(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     """Cells whose centres lie in the box of one of the place's parts."""
-    return _within(part_boxes(edges), axis_index(ax), axis_index(ay)).select("place_id", "i", "j", "lon", "lat").distinct()
+    return _within(part_boxes(edges), *_indexes(ax, ay)).select("place_id", "i", "j", "lon", "lat").distinct()
 
 
 def _crossings(edges: DataFrame, y: AxisIndex) -> DataFrame:
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    met = y.cells(y.count("centre", low), y.count("centre", high) - 1, number="j", lat="centre")
-    rows = edges.where(F.col("ay") != F.col("by")).select("place_id", "part", "ax", "ay", "bx", "by", F.inline(met))
+    ends = {"j0": y.count("centre", F.least("ay", "by")), "j1": y.count("centre", F.greatest("ay", "by")) - 1}
+    rows = y.spread(edges.where(F.col("ay") != F.col("by")).withColumns(ends), "j0", "j1", "j", lat="centre")
     at = F.col("ax") + (F.col("lat") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    return rows.groupBy("place_id", "part", "j", "lat").agg(F.array_sort(F.collect_list(at)).alias("xs"))
+    return rows.groupBy("place_id", "part", "j", "lat").agg(F.sort_array(F.collect_list(at)).alias("xs"))
 
 
 def crossings(edges: DataFrame, ay: DataFrame) -> DataFrame:
@@ -133,16 +140,20 @@ def crossings(edges: DataFrame, ay: DataFrame) -> DataFrame:
     return _crossings(edges, axis_index(ay))
 
 
+def _spans(edges: DataFrame, x: AxisIndex, y: AxisIndex) -> DataFrame:
+    """Runs of cells whose centres are inside, between pairs of crossings of a row: place_id, j, lat, i0 and i1."""
+    rows = _crossings(edges, y).where(F.size("xs") >= 2).withColumn("pair", F.explode(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2))))
+    spans = rows.select("place_id", "j", "lat", F.element_at("xs", F.col("pair")).alias("a"), F.element_at("xs", F.col("pair") + 1).alias("b"))
+    return spans.select("place_id", "j", "lat", x.count("centre", F.col("a")).alias("i0"), (x.count("centre", F.col("b"), closed=True) - 1).alias("i1")).where("i0 <= i1")
+
+
 def _scan(edges: DataFrame, x: AxisIndex, y: AxisIndex) -> DataFrame:
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.element_at("xs", 2 * k + 1).alias("a"), F.element_at("xs", 2 * k + 2).alias("b")))
-    spans = _crossings(edges, y).where(F.size("xs") >= 2).select("place_id", "j", "lat", F.explode(pairs).alias("s"))
-    filled = x.cells(x.count("centre", F.col("s.a")), x.count("centre", F.col("s.b"), closed=True) - 1, number="i", lon="centre")
-    return spans.select("place_id", "j", "lat", F.inline(filled)).select("place_id", "i", "j", "lon", "lat").distinct()
+    return x.spread(_spans(edges, x, y), "i0", "i1", "i", lon="centre").select("place_id", "i", "j", "lon", "lat").distinct()
 
 
 def inside_scan(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     """Cells whose centres are inside, by filling rows between pairs of crossings (closed in longitude)."""
-    return _scan(edges, axis_index(ax), axis_index(ay))
+    return _scan(edges, *_indexes(ax, ay))
 
 
 def _bands(edges: DataFrame) -> DataFrame:
@@ -168,7 +179,7 @@ def _parity(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
 
 def inside_parity(edges: DataFrame, ax: DataFrame, ay: DataFrame) -> DataFrame:
     """Cells whose centres are inside, by counting crossings of each candidate: the second, independent way."""
-    return _parity(_within(part_boxes(edges), axis_index(ax), axis_index(ay)), edges, ["place_id", "i", "j", "lon", "lat"]).drop("part").distinct()
+    return _parity(_within(part_boxes(edges), *_indexes(ax, ay)), edges, ["place_id", "i", "j", "lon", "lat"]).drop("part").distinct()
 
 
 def _tile(at: str | Column, side: Column) -> Column:
@@ -227,16 +238,15 @@ def _swept(edges: DataFrame, cells: DataFrame, x: AxisIndex, y: AxisIndex) -> Da
     turn = edges.groupBy("place_id", "part", "ring").agg(F.sum((F.col("bx") - F.col("ax")) * (F.col("by") + F.col("ay"))).alias("turn"))
     signed = edges.join(turn, ["place_id", "part", "ring"]).where(F.col("ax") != F.col("bx"))
     signed = signed.withColumns({"sign": F.signum("turn") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0), "left": F.least("ax", "bx"), "right": F.greatest("ax", "bx")})
-    columns = x.cells(x.count("hi", F.col("left"), closed=True), x.count("lo", F.col("right")) - 1, number="i", x_lo="lo", x_hi="hi")
-    pieces = signed.select("place_id", "ax", "ay", "bx", "by", "left", "right", "sign", F.inline(columns))
+    signed = signed.withColumns({"i0": x.count("hi", F.col("left"), closed=True), "i1": x.count("lo", F.col("right")) - 1})
+    pieces = x.spread(signed, "i0", "i1", "i", x_lo="lo", x_hi="hi")
     slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
     y_at = lambda at: F.when(at == F.col("ax"), F.col("ay")).when(at == F.col("bx"), F.col("by")).otherwise(F.col("ay") + (at - F.col("ax")) * slope)
     pieces = pieces.withColumns({"p": F.greatest("left", "x_lo"), "q": F.least("right", "x_hi")})
     pieces = pieces.select("place_id", "i", y_at(F.col("p")).alias("yp"), y_at(F.col("q")).alias("yq"), ((F.col("q") - F.col("p")) * F.col("sign") * F.signum(F.col("bx") - F.col("ax"))).alias("run"))
     low, high = F.least("yp", "yq"), F.greatest("yp", "yq")
-    pieces = pieces.withColumns({"j0": y.count("hi", low, closed=True), "j1": y.count("lo", high) - 1})
-    rows = y.cells(F.col("j0"), F.greatest("j0", "j1"), number="j", y_lo="lo", y_hi="hi")  # j0 may lie above the axis: its cells are null
-    met = pieces.select("place_id", "i", "yp", "yq", "run", "j0", "j1", F.inline(rows))
+    pieces = pieces.withColumns({"j0": y.count("hi", low, closed=True), "j1": y.count("lo", high) - 1}).withColumn("last", F.greatest("j0", "j1"))
+    met = y.spread(pieces, "j0", "last", "j", y_lo="lo", y_hi="hi")  # j0 may lie above the axis: its cells' sides are null
     inside = F.when(F.col("j") <= F.col("j1"), F.col("run") * _clipped(F.col("yp"), F.col("yq"), F.col("y_lo"), F.col("y_hi"))).otherwise(0.0)
     border = met.select("place_id", "i", "j", F.coalesce(inside, F.lit(0.0)).alias("part"), F.when(F.col("j") == F.col("j0"), F.col("run")).otherwise(0.0).alias("run"), F.lit(False).alias("wanted"))
     asked = cells.select("place_id", "i", "j", F.lit(0.0).alias("part"), F.lit(0.0).alias("run"), F.lit(True).alias("wanted"))
@@ -254,8 +264,8 @@ def covered_share(edges: DataFrame, cells: DataFrame) -> DataFrame:
 
     The cells' own columns and rows are the axes, whatever their numbers are.
     """
-    x = axis_index(cells.select(F.col("lon").alias("centre"), F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi")).distinct())
-    y = axis_index(cells.select(F.col("lat").alias("centre"), F.col("y_lo").alias("lo"), F.col("y_hi").alias("hi")).distinct())
+    side = lambda centre, axis: cells.select(F.col(centre).alias("centre"), F.col(f"{axis}_lo").alias("lo"), F.col(f"{axis}_hi").alias("hi")).distinct()
+    x, y = _indexes(side("lon", "x"), side("lat", "y"))
     ranked = cells.select("place_id", F.col("i").alias("i_"), F.col("j").alias("j_"), x.count("lo", F.col("x_lo")).alias("i"), y.count("lo", F.col("y_lo")).alias("j"))
     shares = _swept(edges, ranked, x, y)
     return shares.join(ranked, ["place_id", "i", "j"]).select("place_id", F.col("i_").alias("i"), F.col("j_").alias("j"), "lon", "lat", "weight")
@@ -267,17 +277,16 @@ def grid_mask(edges: DataFrame, lon: DataFrame, lat: DataFrame, weights: bool =
     With weights, cells inside and their eight neighbours count by the share that the place covers; a
     place without any cell centre inside takes the cells that its parts' boxes touch. By place, latitude and longitude.
     """
-    x, y = axis_index(axis_edges(lon)), axis_index(axis_edges(lat))
-    inside = _scan(edges, x, y)
+    x, y = _indexes(axis_edges(lon), axis_edges(lat))
     named = lambda df, weight: df.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), weight.alias("weight")).orderBy("place_id", "latitude", "longitude")
     if not weights:
-        return named(inside, F.lit(1.0))
-    # the cells inside are made twice from the edges, which costs less than to keep them
-    near = lambda c, n: F.explode(F.sequence(F.greatest(F.col(c) - 1, F.lit(0)), F.least(F.col(c) + 1, F.lit(n - 1)))).alias(c)
-    around = inside.select("place_id", near("i", len(x.centre)), "j").select("place_id", "i", near("j", len(y.centre)))
-    missed = part_boxes(edges).join(inside.select("place_id").distinct(), "place_id", "left_anti")
-    touch = lambda axis, a, b, name: F.explode(axis.cells(axis.count("hi", F.col(a)), axis.count("lo", F.col(b), closed=True) - 1, number=name))
-    seeds = missed.select("place_id", "y0", "y1", touch(x, "x0", "x1", "i").alias("c")).select("place_id", "c.i", touch(y, "y0", "y1", "j").alias("r")).select("place_id", "i", "r.j")
+        return named(_scan(edges, x, y), F.lit(1.0))
+    spans = _spans(edges, x, y)  # read twice, from one shuffle of the crossings
+    beside = lambda a, b, n: F.sequence(F.greatest(a - 1, F.lit(0)), F.least(b + 1, F.lit(n - 1)))
+    around = spans.select("place_id", beside(F.col("i0"), F.col("i1"), len(x.centre)).alias("is"), F.explode(beside(F.col("j"), F.col("j"), len(y.centre))).alias("j")).select("place_id", F.explode("is").alias("i"), "j")
+    missed = part_boxes(edges).join(spans.select("place_id").distinct(), "place_id", "left_anti")
+    ends = {"i0": x.count("hi", F.col("x0")), "i1": x.count("lo", F.col("x1"), closed=True) - 1, "j0": y.count("hi", F.col("y0")), "j1": y.count("lo", F.col("y1"), closed=True) - 1}
+    seeds = x.spread(y.spread(missed.withColumns(ends), "j0", "j1", "j"), "i0", "i1", "i").select("place_id", "i", "j")
     return named(_swept(edges, around.unionByName(seeds), x, y), F.col("weight"))
 
 
