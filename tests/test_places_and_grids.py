@@ -132,6 +132,16 @@ def test_places_are_written_and_looked_up(spark, tmp_path, order):
         assert scanned(found) <= 3000
 
 
+@pytest.mark.parametrize("n", [19, 20, 40, 41])
+def test_places_that_fill_whole_row_groups(spark, tmp_path, n):
+    path = str(tmp_path / "places")
+    P.write_places(carried(spark, n), path, order="id", row_group=20, files=1)
+    (file,) = (tmp_path / "places").glob("part-*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert [meta.row_group(k).num_rows for k in range(meta.num_row_groups)] == [20] * (n // 20) + [n % 20] * (n % 20 > 0)
+    assert sorted(r["place_id"] for r in P.scan_places(spark, path).collect()) == sorted(r["place_id"] for r in carried(spark, n).collect())
+
+
 def test_projected_scan(spark, tmp_path):
     path = str(tmp_path / "places")
     P.write_places(carried(spark, 900), path)

@@ -75,6 +75,8 @@ class GeoParquetWriter(DataSourceArrowWriter):
 
         def flush(last: bool) -> None:
             nonlocal held
+            if not held:  # the rows before filled whole groups
+                return
             table = pa.Table.from_batches(held)
             full = len(table) if last else len(table) // self.rows * self.rows
             if full:
