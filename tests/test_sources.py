@@ -91,3 +91,15 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     want = {(r["date"], r["n"], round(r["mean_wt"], 9)) for r in stats_daily(slab, mask, F.col("value").cast("double")).collect()}
     assert got == want and want
+
+
+def test_masks_of_many_places_are_few_files(spark, sf, tmp_path, monkeypatch):
+    from zonestat.plans import queries as Q
+
+    monkeypatch.setattr(Q, "fresh_path", lambda spark, kind: f"file://{tmp_path}/{kind}")
+    n = Q.QUERIES["masks_of_lobes"](spark, sf).count()
+    files = list((tmp_path / "mask").rglob("*.csv"))
+    assert files and not [f for f in files if f.parent != tmp_path / "mask"]  # no folder for a place
+    held = readers.mask_csv(spark, f"file://{tmp_path}/mask", keyed=True)
+    assert held.columns == ["place_id", "latitude", "longitude", "weight"]
+    assert 0 < held.select("place_id").distinct().count() <= n and not held.where("place_id is null or latitude is null or weight <> 0.5").count()

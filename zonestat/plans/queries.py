@@ -795,14 +795,13 @@ def lobe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CELLS} SELECT place_id, count(*) AS cells, round(sum(CASE WHEN i % 3 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END), 6) AS weight FROM inside WHERE i % 3 < 2 GROUP BY 1")
 def masks_of_lobes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks that overlap, one of them from a CSV file, put together: a cell counts once, with its larger weight."""
+    """Masks that overlap, one of them from CSV files, put together: a cell counts once, with its larger weight."""
     lon, lat = B.slab_axes(spark, sf_dir)
     inside = M.inside_scan(B.parcel_edges(spark, sf_dir), M.axis_edges(lon), M.axis_edges(lat))
     named = lambda df, w: df.select("place_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.lit(w).alias("weight"))
     path = fresh_path(spark, "mask")
-    named(inside.where("i % 3 = 0"), 0.5).write.option("header", True).partitionBy("place_id").csv(path)
-    held = R.mask_csv(spark, path).withColumn("place_id", F.regexp_extract(F.col("_metadata.file_path"), "place_id=([^/]*)/", 1))
-    whole = A.joined_lobes(named(inside.where("i % 3 < 2"), 0.25), held.select("place_id", "latitude", "longitude", "weight"))
+    named(inside.where("i % 3 = 0"), 0.5).write.option("header", True).csv(path)  # a file for each task, not for each place
+    whole = A.joined_lobes(named(inside.where("i % 3 < 2"), 0.25), R.mask_csv(spark, path, keyed=True))
     return B.rounded(whole.groupBy("place_id").agg(F.count("*").alias("cells"), F.sum("weight").alias("weight")))
 
 

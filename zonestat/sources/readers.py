@@ -19,8 +19,9 @@ def row_count(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-def mask_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MASK).option("header", True).csv(path)
+def mask_csv(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+    """A mask's cells; ``keyed``, those of many places, whose place_id is the files' first column."""
+    return spark.read.schema(f"place_id string, {MASK}" if keyed else MASK).option("header", True).csv(path)
 
 
 def csv_with_units(spark: SparkSession, path: str, numeric: tuple[str, ...] = ()) -> DataFrame:
