@@ -31,6 +31,17 @@ def test_ids_that_are_null_or_repeat(spark):
     assert got == [("a/x", "MIT", "header"), ("a/y", None, "none"), ("a/z", "MIT", "header"), ("b/LICENSE", "CC-BY-4.0", "file"), ("b/q", "CC-BY-4.0", "inherited")]
 
 
+def test_licence_files_without_terms_and_terms_without_end(spark):
+    """A licence file may hold no term at all (a norm of zero), and a term thousands of parts."""
+    long = "a" + "-b" * 30_000
+    rows = [
+        (1, "a/LICENSE", ""), (2, "a/x", "plain"), (3, "b/COPYING", "---\n* * *"), (4, "b/c/LICENSE", "\u0414\u043e\u043c"), (5, "NOTICE", None), (6, "d/LICENSE", f"Released under the MIT License.\n{long}"), (7, "d/x", long),
+        (8, "d/y", "All rights reserved."),
+    ]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: (None, "none") for k in range(1, 6)} | {6: ("MIT", "file"), 7: ("MIT", "inherited"), 8: ("Proprietary", "header")}
+
+
 def test_wrapped_headers_and_whole_files(spark):
     import os
     import textwrap
